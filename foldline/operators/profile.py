@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foldline.operators.moments import product_sums, scalar_stats, shift_to_means
+from foldline.operators.ranks import exact_quantiles
 from foldline.roles import columns_of_kind, kind, numeric_cols
 
 BATCH = 100
@@ -263,8 +264,8 @@ def feature_vs_target(df: DataFrame, x: str, y: str, fraction: float | None = No
     both = df.select(x, y).dropna()
     if kind(df.schema[x].dataType) == "numeric":
         return both.sample(fraction=fraction, seed=seed) if fraction else both
-    q = F.percentile(F.col(y).cast("double"), F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    out = both.groupBy(x).agg(q.alias("q"), F.count("*").alias("count"))
+    quart = exact_quantiles(both, y, (0.0, 0.25, 0.5, 0.75, 1.0), [x])
+    out = both.groupBy(x).agg(F.count("*").alias("count")).join(quart, x)
     return out.select(
         x, "count", *[F.element_at("q", i + 1).alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))]
     )

@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldline.operators.moments import centred, collect_moments, scalar_stats, shift_to_means
+from foldline.operators.moments import centred, collect_moments, shift_to_means
 from foldline.operators.profile import _long, corr_to_target
+from foldline.operators.ranks import exact_quantiles
 from foldline.roles import Roles
 
 
@@ -79,10 +80,9 @@ def align_columns(df: DataFrame, cols: Sequence[str], fill: float = 0) -> DataFr
 def clip_quantile(df: DataFrame, col: str, lo: float, hi: float, ref: DataFrame | None = None, ref_col: str | None = None) -> DataFrame:
     """Clip to exact interpolated quantiles of the reference values."""
     base = ref if ref is not None else df
-    x = F.col(ref_col or col).cast("double")
-    q = scalar_stats(base, lo=F.percentile(x, F.lit(lo)), hi=F.percentile(x, F.lit(hi)))
+    q = exact_quantiles(base, ref_col or col, [lo, hi]).scalar()
     v = F.col(col).cast("double")
-    return df.withColumn(col, F.when(v.isNotNull(), F.least(F.greatest(v, q["lo"]), q["hi"])))
+    return df.withColumn(col, F.when(v.isNotNull(), F.least(F.greatest(v, q[0]), q[1])))
 
 
 def to_label(p: Column, threshold: float = 0.5, inclusive: bool = True) -> Column:

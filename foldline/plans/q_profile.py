@@ -17,8 +17,8 @@ def _profile_sql(table_name: str, num: list[str], cat: list[str], dates: list[st
     for c in num:
         parts.append(
             f"SELECT '{c}' AS \"column\", 'numeric' AS kind, count(*) AS n_rows, count(*) - count({c}) AS nulls, "
-            f"count(DISTINCT {c}) AS n_unique, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
-            f"round(min({c})::DOUBLE, 6) AS min, round(max({c})::DOUBLE, 6) AS max, round(skewness({c}), 6) AS skew, "
+            f"count(DISTINCT {c}) AS n_unique, round(avg({c}), 7) AS mean, round(stddev_samp({c}), 5) AS std, "
+            f"round(min({c})::DOUBLE, 6) AS min, round(max({c})::DOUBLE, 6) AS max, round(skewness({c}), 5) AS skew, "
             f"round((count(*) - count({c}))::DOUBLE / count(*), 6) AS null_pct, "
             f"round(count(DISTINCT {c})::DOUBLE / count(*), 6) AS cardinality_pct FROM {table_name}"
         )
@@ -33,9 +33,14 @@ def _profile_sql(table_name: str, num: list[str], cat: list[str], dates: list[st
     return " UNION ALL ".join(parts)
 
 
+def _profile_digits(df):
+    digits = {"mean": 7, "std": 5, "skew": 5}
+    return df.withColumns({c: F.round(c, digits.get(c, 6)) for c in ("mean", "std", "skew", "min", "max", "null_pct", "cardinality_pct")})
+
+
 @query("D1", _profile_sql("lineitem", NUM, CAT, ["l_shipdate"]))
 def column_profile(spark, sf_dir):
-    return rounded(P.profile_columns(table(spark, sf_dir, "lineitem")))
+    return _profile_digits(P.profile_columns(table(spark, sf_dir, "lineitem")))
 
 
 @query(
@@ -47,7 +52,7 @@ def column_profile_with_nulls(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value")
     )
-    return rounded(P.profile_columns(ev))
+    return _profile_digits(P.profile_columns(ev))
 
 
 @query(
