@@ -297,7 +297,7 @@ def anchor_offsets(spark, sf_dir):
 
 @query(
     "E16",
-    f"""WITH e AS {ENTITY_SQL} SELECT entity, row_index, lo AS curve_min, hi AS curve_max, round(mean, 6) AS curve_mean, round(sd, 6) AS curve_std, round(hi - lo, 6) AS curve_range
+    f"""WITH e AS {ENTITY_SQL} SELECT entity, row_index, round(lo, 6) AS curve_min, round(hi, 6) AS curve_max, round(mean, 6) AS curve_mean, round(sd, 6) AS curve_std, round(hi - lo, 6) AS curve_range
         FROM e JOIN (SELECT entity, min(gr) lo, max(gr) hi, avg(gr) mean, stddev_samp(gr) sd FROM e WHERE row_index % 2 = 0 GROUP BY entity) USING (entity)""",
 )
 def curve_summary(spark, sf_dir):
