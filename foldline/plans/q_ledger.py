@@ -167,7 +167,7 @@ def popped_reserves(spark, sf_dir):
     return best.select("seq", F.lit("popped").alias("state")).unionByName(rest.select("seq", F.lit("left").alias("state")))
 
 
-@query("F6", "SELECT user_id, n FROM (SELECT user_id, n, row_number() OVER (ORDER BY n, user_id) - 1 AS pos, count(*) OVER () AS c FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)) WHERE pos IN (SELECT round(k * (c - 1) / 5.0) FROM range(6) t(k), (SELECT count(DISTINCT user_id) AS c FROM events))")
+@query("F6", "SELECT user_id, n FROM (SELECT user_id, n, row_number() OVER (ORDER BY n, user_id) - 1 AS pos, count(*) OVER () AS c FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)) WHERE pos IN (SELECT floor(k * (c - 1) / 5.0) FROM range(6) t(k), (SELECT count(DISTINCT user_id) AS c FROM events))")
 def evenly_spaced_entities(spark, sf_dir):
     from foldline.operators.sequence import quantile_sample
 
