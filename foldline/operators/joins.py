@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldline.operators.ranks import group_medians, quantile_scalar
-from foldline.operators.series import CHUNK_ROWS, ordered_positions, running
+from foldline.operators.series import CHUNK_ROWS, lay_out, ordered_positions, running
 
 
 def align_to_template(template: DataFrame, preds: DataFrame, id: str) -> DataFrame:
@@ -106,8 +106,9 @@ def neighbours(query: DataFrame, curve: DataFrame, entity: str, x: str, value: s
     merged = tagged.withColumn(x, F.col(x).cast("double")).unionByName(pts, allowMissingColumns=True)
     point = F.when(F.col("__q") == 0, F.struct(F.col(x).alias("x"), F.col("__v").alias("v")))
     order = [x, "__q"]
-    seen = running(merged, {"before": ("last", point)}, order, [entity], chunk_rows=chunk_rows)
-    seen = running(seen, {"after": ("last", point)}, order, [entity], reverse=True, chunk_rows=chunk_rows)
+    merged, lay, _ = lay_out(merged, order, [entity], chunk_rows)
+    seen = running(merged, {"before": ("last", point)}, order, [entity], chunk_rows=lay)
+    seen = running(seen, {"after": ("last", point)}, order, [entity], reverse=True, chunk_rows=lay)
     rows = seen.filter(F.col("__q") == 1)
     return rows.select(entity, x, *([F.col(f"__row.{c}").alias(c) for c in cols]), "before", "after")
 

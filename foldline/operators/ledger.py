@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foldline.operators.series import CHUNK_ROWS, bounded_frames, fits_one_task, ordered_positions, running
+from foldline.operators.series import CHUNK_ROWS, POS, bounded_frames, lay_out, ordered_positions, running, tidy
 from foldline.session import cut_lineage
 
 
@@ -36,13 +36,14 @@ def running_best(
 ) -> DataFrame:
     """Best score so far, whether the row improved it, and scored rows since the last improvement."""
     s = signed(F.col(score), direction)
-    df = running(ledger, {"__prior": ("max", s)}, order, part, exclusive=True, chunk_rows=chunk_rows)
+    ledger, lay, own = lay_out(ledger, order, part, chunk_rows)
+    df = running(ledger, {"__prior": ("max", s)}, order, part, exclusive=True, chunk_rows=lay)
     improved = F.col(score).isNotNull() & (F.col("__prior").isNull() | (s > F.col("__prior")))
     df = df.withColumn("improved", improved)
     counted = F.col(score).isNotNull().cast("long")
-    df = running(df, {"__nth": ("sum", counted), "__best": ("max", s)}, order, part, chunk_rows=chunk_rows)
-    df = running(df, {"__at": ("last", F.when(F.col("improved"), F.col("__nth")))}, order, part, chunk_rows=chunk_rows)
-    return df.withColumns(
+    df = running(df, {"__nth": ("sum", counted), "__best": ("max", s)}, order, part, chunk_rows=lay)
+    df = running(df, {"__at": ("last", F.when(F.col("improved"), F.col("__nth")))}, order, part, chunk_rows=lay)
+    return tidy(df, own).withColumns(
         {"best": signed(F.col("__best"), direction), "stale": F.coalesce(F.col("__nth") - F.col("__at"), F.lit(0))}
     ).drop("__prior", "__nth", "__best", "__at")
 
@@ -56,15 +57,15 @@ def score_trend(
         return {"__d": F.col(score) - F.lag(score, 1).over(w)}
 
     scored = ledger.filter(F.col(score).isNotNull())
-    df = bounded_frames(scored, [diff], order, part, before=1, chunk_rows=chunk_rows)
+    scored, lay, _ = lay_out(scored, order, part, chunk_rows)
+    df = bounded_frames(scored, [diff], order, part, before=1, chunk_rows=lay)
     key = F.struct(*[F.col(c) for c in order])
-    if fits_one_task(df, part, chunk_rows):
+    if lay.small:
         w = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
         last = df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k)
     else:
-        placed = ordered_positions(df, order, part, "__pos")
-        top = placed.groupBy(*part).agg(F.max("__pos").alias("__max"))
-        last = placed.join(top, list(part)).filter(F.col("__pos") > F.col("__max") - k)
+        top = df.groupBy(*part).agg(F.max(POS).alias("__max"))
+        last = df.join(top, list(part)).filter(F.col(POS) > F.col("__max") - k)
     worse = (F.col("__d") >= 0) if direction == "minimize" else (F.col("__d") <= 0)
     out = last.groupBy(*part).agg(
         F.count("__d").alias("n"),

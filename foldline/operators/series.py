@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -89,14 +90,44 @@ def fits_one_task(df: DataFrame, part: Sequence[str], chunk_rows: int) -> bool:
     return bool(part) and longest_series(df, part) <= chunk_rows
 
 
+POS = "__series_pos"
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How the series of a table are cut: plain windows if ``small``, else chunks of a position column."""
+
+    small: bool
+    chunk_rows: int
+
+
+def lay_out(df: DataFrame, order: Sequence[str], part: Sequence[str], chunk_rows: int | Layout) -> tuple[DataFrame, Layout, bool]:
+    """Decide the layout once and number the rows if they must be chunked.
+
+    Operators accept a ready :class:`Layout` in place of ``chunk_rows``, so a chain of window features
+    checks sizes and sorts the table a single time. The last value tells whether it was made here.
+    """
+    if isinstance(chunk_rows, Layout):
+        return df, chunk_rows, False
+    if fits_one_task(df, part, chunk_rows):
+        return df, Layout(True, chunk_rows), True
+    return ordered_positions(df, order, part, POS), Layout(False, chunk_rows), True
+
+
+def tidy(df: DataFrame, made_here: bool) -> DataFrame:
+    """Drop the position column in the function that added it."""
+    return df.drop(POS) if made_here else df
+
+
 def positions(
-    df: DataFrame, order: Sequence[str], part: Sequence[str] = (), out: str = "pos", chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, order: Sequence[str], part: Sequence[str] = (), out: str = "pos", chunk_rows: int | Layout = CHUNK_ROWS
 ) -> DataFrame:
     """Positions through a plain window where every series is short, else :func:`ordered_positions`."""
-    if fits_one_task(df, part, chunk_rows):
+    df, lay, own = lay_out(df, order, part, chunk_rows)
+    if lay.small:
         w = Window.partitionBy(*part).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w).cast("long") - 1)
-    return ordered_positions(df, order, part, out)
+    return tidy(df.withColumn(out, F.col(POS)), own)
 
 
 def bounded_frames(
@@ -106,7 +137,7 @@ def bounded_frames(
     part: Sequence[str] = (),
     before: int = 0,
     after: int = 0,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | Layout = CHUNK_ROWS,
 ) -> DataFrame:
     """Apply window expressions whose frames reach at most ``before`` / ``after`` rows away.
 
@@ -114,15 +145,15 @@ def bounded_frames(
     ``before`` and ``after`` are the reach of all levels together.
     """
     part = list(part)
-    if fits_one_task(df, part, chunk_rows):
+    df, lay, own = lay_out(df, order, part, chunk_rows)
+    if lay.small:
         w = Window.partitionBy(*part).orderBy(*order)
         for level in levels:
             df = df.withColumns(level(w))
         return df
-    size = max(chunk_rows, before + after + 1)
-    placed = ordered_positions(df, order, part, "__pos")
-    home = F.floor(F.col("__pos") / size)
-    slot = F.col("__pos") % size
+    size = max(lay.chunk_rows, before + after + 1)
+    home = F.floor(F.col(POS) / size)
+    slot = F.col(POS) % size
     targets = F.array_compact(
         F.array(
             home,
@@ -130,11 +161,11 @@ def bounded_frames(
             F.when((slot < after) & (home > 0), home - 1) if after else F.lit(None).cast("long"),
         )
     )
-    spread = placed.withColumn("__home", home).withColumn("__chunk", F.explode(targets))
-    w = Window.partitionBy(*part, "__chunk").orderBy("__pos")
+    spread = df.withColumn("__home", home).withColumn("__chunk", F.explode(targets))
+    w = Window.partitionBy(*part, "__chunk").orderBy(POS)
     for level in levels:
         spread = spread.withColumns(level(w))
-    return spread.filter("__home = __chunk").drop("__pos", "__home", "__chunk")
+    return tidy(spread.filter("__home = __chunk").drop("__home", "__chunk"), own)
 
 
 _COMBINE = {
@@ -152,7 +183,7 @@ def running(
     part: Sequence[str] = (),
     reverse: bool = False,
     exclusive: bool = False,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | Layout = CHUNK_ROWS,
 ) -> DataFrame:
     """Running ``max`` / ``min`` / ``sum`` / ``last`` (non-null) along the series.
 
@@ -161,19 +192,20 @@ def running(
     """
     part = list(part)
     edge = -1 if exclusive else 0
-    if fits_one_task(df, part, chunk_rows):
+    df, lay, own = lay_out(df, order, part, chunk_rows)
+    if lay.small:
         key = [F.col(c).desc() for c in order] if reverse else [F.col(c) for c in order]
         w = Window.partitionBy(*part).orderBy(*key).rowsBetween(Window.unboundedPreceding, edge)
         return df.withColumns({out: _COMBINE[fn][0](c).over(w) for out, (fn, c) in specs.items()})
-    placed = ordered_positions(df, order, part, "__pos").withColumn("__chunk", F.floor(F.col("__pos") / chunk_rows))
-    along = F.col("__pos").desc() if reverse else F.col("__pos")
+    placed = df.withColumn("__chunk", F.floor(F.col(POS) / lay.chunk_rows))
+    along = F.col(POS).desc() if reverse else F.col(POS)
     w = Window.partitionBy(*part, "__chunk").orderBy(along).rowsBetween(Window.unboundedPreceding, edge)
     local = placed.withColumns({f"__l_{out}": _COMBINE[fn][0](c).over(w) for out, (fn, c) in specs.items()})
 
     def of_chunk(fn: str, c: Column) -> Column:
         if fn != "last":
             return _COMBINE[fn][0](c)
-        present = F.when(c.isNotNull(), F.col("__pos"))
+        present = F.when(c.isNotNull(), F.col(POS))
         return F.min_by(c, present) if reverse else F.max_by(c, present)
 
     chunks = placed.groupBy(*part, "__chunk").agg(*[of_chunk(fn, c).alias(f"__c_{o}") for o, (fn, c) in specs.items()])
@@ -189,7 +221,7 @@ def running(
         {o: _COMBINE[fn][1](F.col(f"__l_{o}"), F.col(f"__k_{o}")) for o, (fn, _) in specs.items()}
     )
     extra = [f"__{tag}_{o}" for o in specs for tag in ("l", "k")]
-    return done.drop("__pos", "__chunk", *extra)
+    return tidy(done.drop("__chunk", *extra), own)
 
 
 EMA_BLOCK = 256
@@ -200,7 +232,7 @@ def ema(
     specs: dict[str, tuple[Column, int]],
     order: Sequence[str],
     part: Sequence[str] = (),
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | Layout = CHUNK_ROWS,
 ) -> DataFrame:
     """Exponential means ``sum(b^k x) / sum(b^k)``, ``b = 1 - 2/(span+1)``, nulls decay but add nothing.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from foldline.operators.series import CHUNK_ROWS, bounded_frames, ema, running
+from foldline.operators.series import CHUNK_ROWS, bounded_frames, ema, lay_out, running, tidy
 
 LAGS = (1, 2, 3, 5, 10)
 WINDOWS = (5, 10, 20, 50)
@@ -63,9 +63,10 @@ def rsi(df, col, n: int = 14, order=(), part=(), out: str | None = None, chunk_r
 
 
 def macd(df, col, fast: int = 12, slow: int = 26, signal: int = 9, order=(), part=(), chunk_rows=CHUNK_ROWS) -> DataFrame:
-    df = ema(df, {"__fast": (F.col(col), fast), "__slow": (F.col(col), slow)}, order, part, chunk_rows)
+    df, lay, own = lay_out(df, order, part, chunk_rows)
+    df = ema(df, {"__fast": (F.col(col), fast), "__slow": (F.col(col), slow)}, order, part, lay)
     df = df.withColumn(f"{col}_macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
-    return ema(df, {f"{col}_macd_signal": (F.col(f"{col}_macd"), signal)}, order, part, chunk_rows)
+    return tidy(ema(df, {f"{col}_macd_signal": (F.col(f"{col}_macd"), signal)}, order, part, lay), own)
 
 
 def _bollinger(col: str, n: int, k: float):
@@ -89,8 +90,9 @@ def moving_averages(df, col, periods: Sequence[int] = (5, 10, 20, 50), order=(),
     def level(w):
         return {f"{col}_sma_{n}": full(F.avg, F.col(col), n, w) for n in periods}
 
-    df = bounded_frames(df, [level], order, part, before=max(periods) - 1, chunk_rows=chunk_rows)
-    return ema(df, {f"{col}_ema_{n}": (F.col(col), n) for n in periods}, order, part, chunk_rows)
+    df, lay, own = lay_out(df, order, part, chunk_rows)
+    df = bounded_frames(df, [level], order, part, before=max(periods) - 1, chunk_rows=lay)
+    return tidy(ema(df, {f"{col}_ema_{n}": (F.col(col), n) for n in periods}, order, part, lay), own)
 
 
 def padded(df, col, out: str, order=(), part=(), chunk_rows=CHUNK_ROWS) -> DataFrame:
@@ -100,18 +102,20 @@ def padded(df, col, out: str, order=(), part=(), chunk_rows=CHUNK_ROWS) -> DataF
 
 def pct_change(df, col, steps: Sequence[int] = (1, 5), order=(), part=(), chunk_rows=CHUNK_ROWS) -> DataFrame:
     """Relative change over ``k`` rows after forward padding; a zero base gives null."""
-    df = padded(df, col, "__pad", order, part, chunk_rows)
+    df, lay, own = lay_out(df, order, part, chunk_rows)
+    df = padded(df, col, "__pad", order, part, lay)
 
     def level(w):
         return {f"{col}_return_{k}": F.try_divide(F.col("__pad"), F.lag("__pad", k).over(w)) - 1 for k in steps}
 
-    return bounded_frames(df, [level], order, part, before=max(steps), chunk_rows=chunk_rows).drop("__pad")
+    return tidy(bounded_frames(df, [level], order, part, before=max(steps), chunk_rows=lay).drop("__pad"), own)
 
 
 def return_volatility(df, col, windows: Sequence[int] = (10, 20), order=(), part=(), names: str = "volatility", scale: float = 1.0,
                       chunk_rows=CHUNK_ROWS) -> DataFrame:
     """Rolling sample std of one-row returns."""
-    df = padded(df, col, "__pad", order, part, chunk_rows)
+    df, lay, own = lay_out(df, order, part, chunk_rows)
+    df = padded(df, col, "__pad", order, part, lay)
 
     def returns(w):
         return {"__ret": F.try_divide(F.col("__pad"), F.lag("__pad", 1).over(w)) - 1}
@@ -119,7 +123,8 @@ def return_volatility(df, col, windows: Sequence[int] = (10, 20), order=(), part
     def stds(w):
         return {f"{names}_{n}": full(F.stddev_samp, F.col("__ret"), n, w) * scale for n in windows}
 
-    return bounded_frames(df, [returns, stds], order, part, before=max(windows), chunk_rows=chunk_rows).drop("__pad", "__ret")
+    done = bounded_frames(df, [returns, stds], order, part, before=max(windows), chunk_rows=lay)
+    return tidy(done.drop("__pad", "__ret"), own)
 
 
 def technical_indicators(df, col, order=(), part=(), chunk_rows=CHUNK_ROWS) -> DataFrame:
@@ -127,7 +132,8 @@ def technical_indicators(df, col, order=(), part=(), chunk_rows=CHUNK_ROWS) -> D
 
     All bounded frames share one window sort; only the exponential means need their own pass.
     """
-    df = padded(df, col, "__pad", order, part, chunk_rows)
+    df, lay, own = lay_out(df, order, part, chunk_rows)
+    df = padded(df, col, "__pad", order, part, lay)
     periods = (5, 10, 20, 50)
 
     def moves(w):
@@ -148,13 +154,13 @@ def technical_indicators(df, col, order=(), part=(), chunk_rows=CHUNK_ROWS) -> D
         out |= {f"{col}_volatility_{n}": full(F.stddev_samp, F.col(f"{col}_return_1"), n, w) for n in (10, 20)}
         return out
 
-    df = bounded_frames(df, [moves, frames], order, part, before=49, chunk_rows=chunk_rows)
+    df = bounded_frames(df, [moves, frames], order, part, before=49, chunk_rows=lay)
     df = df.drop("__pad", "__gain", "__loss")
     x = F.col(col)
     spans = {f"{col}_ema_{n}": (x, n) for n in periods} | {"__fast": (x, 12), "__slow": (x, 26)}
-    df = ema(df, spans, order, part, chunk_rows)
+    df = ema(df, spans, order, part, lay)
     df = df.withColumn(f"{col}_macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
-    return ema(df, {f"{col}_macd_signal": (F.col(f"{col}_macd"), 9)}, order, part, chunk_rows)
+    return tidy(ema(df, {f"{col}_macd_signal": (F.col(f"{col}_macd"), 9)}, order, part, lay), own)
 
 
 def true_range_atr(df, high, low, n: int = 14, order=(), part=(), chunk_rows=CHUNK_ROWS) -> DataFrame:
@@ -169,7 +175,8 @@ def true_range_atr(df, high, low, n: int = 14, order=(), part=(), chunk_rows=CHU
 def realized_vol(df, close, windows: Sequence[int] = (5, 20), annual: float = 252, of: int = 20, order=(), part=(),
                  chunk_rows=CHUNK_ROWS) -> DataFrame:
     """Annualised std of returns, and the rolling std of the ``of``-row one."""
-    df = padded(df, close, "__pad", order, part, chunk_rows)
+    df, lay, own = lay_out(df, order, part, chunk_rows)
+    df = padded(df, close, "__pad", order, part, lay)
     scale = math.sqrt(annual)
 
     def returns(w):
@@ -181,9 +188,8 @@ def realized_vol(df, close, windows: Sequence[int] = (5, 20), annual: float = 25
     def vol_of_vol(w):
         return {"vol_of_vol": full(F.stddev_samp, F.col(f"realized_vol_{of}"), of, w)}
 
-    return bounded_frames(
-        df, [returns, vols, vol_of_vol], order, part, before=max(windows) + of, chunk_rows=chunk_rows
-    ).drop("__pad", "__ret")
+    done = bounded_frames(df, [returns, vols, vol_of_vol], order, part, before=max(windows) + of, chunk_rows=lay)
+    return tidy(done.drop("__pad", "__ret"), own)
 
 
 def volume_ratio(df, volume, n: int = 10, order=(), part=(), chunk_rows=CHUNK_ROWS) -> DataFrame:
@@ -195,13 +201,14 @@ def volume_ratio(df, volume, n: int = 10, order=(), part=(), chunk_rows=CHUNK_RO
 
 
 def volatility(df, high=None, low=None, close=None, volume=None, order=(), part=(), chunk_rows=CHUNK_ROWS) -> DataFrame:
+    df, lay, own = lay_out(df, order, part, chunk_rows)
     if high and low:
-        df = true_range_atr(df, high, low, 14, order, part, chunk_rows)
+        df = true_range_atr(df, high, low, 14, order, part, lay)
     if close:
-        df = realized_vol(df, close, (5, 20), 252, 20, order, part, chunk_rows)
+        df = realized_vol(df, close, (5, 20), 252, 20, order, part, lay)
     if volume:
-        df = volume_ratio(df, volume, 10, order, part, chunk_rows)
-    return df
+        df = volume_ratio(df, volume, 10, order, part, lay)
+    return tidy(df, own)
 
 
 # ---------------------------------------------------------------- gaps, anchors and progress of entities
@@ -210,8 +217,9 @@ def volatility(df, high=None, low=None, close=None, volume=None, order=(), part=
 def gap_features(df, value, coord, order, part, chunk_rows=CHUNK_ROWS) -> DataFrame:
     """Previous and next observed coordinate and value, distances, span and position in the gap."""
     seen = F.when(F.col(value).isNotNull(), F.struct(F.col(coord).alias("c"), F.col(value).alias("v")))
-    df = running(df, {"__prev": ("last", seen)}, order, part, chunk_rows=chunk_rows)
-    df = running(df, {"__next": ("last", seen)}, order, part, reverse=True, chunk_rows=chunk_rows)
+    df, lay, own = lay_out(df, order, part, chunk_rows)
+    df = running(df, {"__prev": ("last", seen)}, order, part, chunk_rows=lay)
+    df = tidy(running(df, {"__next": ("last", seen)}, order, part, reverse=True, chunk_rows=lay), own)
     df = df.withColumns(
         {
             "prev_coord": F.col("__prev.c"), "prev_value": F.col("__prev.v"),

@@ -266,3 +266,54 @@ def transcript_blocks(spark, sf_dir):
         F.size(codes).cast("long").alias("n_code"), F.try_element_at(codes, F.lit(1)).alias("first_code"),
         TX.before_fence(text).alias("lead"), TX.head_tail(text, 300, 100).alias("short"),
     )
+
+
+@query(
+    "P-1 P-2 P-4 B1",
+    """WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 6 <> 1 THEN c_acctbal END AS bal, c_mktsegment FROM customer),
+        r AS (SELECT *, (c_custkey + c_nationkey + coalesce(bal, 0)) / (CASE WHEN bal IS NULL THEN 2 ELSE 3 END) AS m FROM c)
+       SELECT c_custkey, round(m, 6) AS row_mean, CASE WHEN bal IS NULL THEN 1 ELSE 0 END::BIGINT AS row_null_count, round(c_custkey * c_nationkey::DOUBLE, 6) AS c_custkey_x_c_nationkey,
+         round(c_custkey / nullif(bal, 0), 6) AS c_custkey_div_bal, round(n::DOUBLE / (SELECT count(*) FROM c), 6) AS c_mktsegment_freq, CASE WHEN bal IS NULL THEN 1 ELSE 0 END AS bal_is_null
+       FROM r JOIN (SELECT c_mktsegment, count(*) AS n FROM c GROUP BY 1) USING (c_mktsegment)""",
+)
+def tabular_preset(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 6 != 1, F.col("c_acctbal")).alias("bal"), "c_mktsegment"
+    )
+    built = FE.build_features(c, ["null_indicator"])
+    out = FE.interactions(FE.row_stats(built.drop("bal_is_null")).withColumn("bal_is_null", F.col("bal").isNull().cast("int")), ["c_custkey", "c_nationkey", "bal"])
+    out = FE.freq_encode(out, ["c_mktsegment"])
+    return rounded(out.select("c_custkey", "row_mean", "row_null_count", "c_custkey_x_c_nationkey", "c_custkey_div_bal", "c_mktsegment_freq", "bal_is_null"))
+
+
+@query("P-4 H3 H4", f"SELECT conv_id, turn, length(text) AS text_len, {_WORDS}::BIGINT AS text_word_count, round({_WORDS} * 1.3::DOUBLE, 6) AS text_approx_tokens FROM conversations")
+def text_preset(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = FE.build_features(turns, FE.preset("text"))
+    return rounded(out.select("conv_id", "turn", "text_len", "text_word_count", "text_approx_tokens"))
+
+
+@query(
+    "P-2 P-4 E1 E2",
+    """SELECT event_id, lag(value, 3) OVER w AS value_lag_3, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS value_roll_min_10 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+)
+def series_preset(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    out = FE.build_features(ev, FE.preset("crypto")[:2], order=["ts", "event_id"], part=["user_id"])
+    return out.select("event_id", "value_lag_3", "value_roll_min_10")
+
+
+@query(
+    "B2 D9",
+    "SELECT o_orderkey, o_totalprice, n AS cust_orders FROM orders JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) USING (o_custkey)",
+)
+def features_without_target(spark, sf_dir):
+    from foldline.operators.select import without_target
+    from foldline.roles import Roles
+
+    def build(df):
+        assert "o_totalprice" not in df.columns
+        return FE.group_size(df, "o_custkey", "cust_orders")
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return without_target(o, Roles(target="o_totalprice", id="o_orderkey"), build).select("o_orderkey", "o_totalprice", "cust_orders")
