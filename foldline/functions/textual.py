@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# Fixed value: the whitespace class of Unicode text, inside a bracket expression.
-WHITESPACE = r"\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Fixed value: Unicode whitespace inside a bracket expression. The (?U) flag of the patterns makes the class s the
+# Unicode property, which matches faster than spelled-out ranges; the separators 1C-1F complete it.
+WHITESPACE = r"\s\x1c-\x1f"
 
 
 def word_count(text: Column) -> Column:
     """Whitespace-separated words; an empty or blank text has none."""
-    return F.regexp_count(text, F.lit(f"[^{WHITESPACE}]+")).cast("long")
+    return F.regexp_count(text, F.lit(f"(?U)[^{WHITESPACE}]+")).cast("long")
 
 
 def text_measures(text: Column) -> dict[str, Column]:
@@ -24,11 +25,11 @@ def text_measures(text: Column) -> dict[str, Column]:
     return {
         "len": n,
         "word_count": words,
-        "sentence_count": F.regexp_count(t, F.lit(r"[.!?]+")).cast("long"),
+        "sentence_count": F.regexp_count(t, F.lit("[.!?]+")).cast("long"),
         "avg_word_len": n / F.greatest(words, F.lit(1)).cast("double"),
         "uppercase_ratio": F.regexp_count(t, F.lit("[A-Z]")) / by_len,
         "digit_ratio": F.regexp_count(t, F.lit(r"\p{Nd}")) / by_len,
-        "special_char_ratio": F.regexp_count(t, F.lit(f"[^a-zA-Z0-9{WHITESPACE}]")) / by_len,
+        "special_char_ratio": F.regexp_count(t, F.lit(f"(?U)[^a-zA-Z0-9{WHITESPACE}]")) / by_len,
     }
 
 

@@ -471,7 +471,7 @@ def simplex_ls(stats: DeltaStats, streams: Sequence[str]) -> SimplexFit:
             w = np.zeros(k)
             w[idx] = sol[:size]
             solved = bool(np.isfinite(w).all() and gap <= 1e-9 * scale)
-            feasible = solved and bool((w >= -FEASIBLE).all()) and abs(w.sum() - 1) <= 1e-9
+            feasible = bool(solved and (w >= -FEASIBLE).all() and abs(w.sum() - 1) <= 1e-9)
             if feasible:
                 w = np.maximum(w, 0.0)
                 w = w / w.sum()

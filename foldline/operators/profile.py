@@ -91,9 +91,10 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
 
 
 def top_values(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:
-    """Most frequent values of each column, ties by value."""
+    """Most frequent values of each column, ties by value; a distributed top-k per column."""
+    tops = [value_counts(df, [c]).orderBy(F.desc("count"), F.asc("value")).limit(k) for c in cols]
     w = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
-    return value_counts(df, cols).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, tops).withColumn("rank", F.row_number().over(w))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
