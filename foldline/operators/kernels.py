@@ -29,46 +29,49 @@ BEAM_CONFIGS = (
 )
 
 
-def beam_forward(signal, curve, places, costs, beam_size: int, move_cost: float, scale: float, max_step: int = 2):
-    """Extend the beam over a piece of the signal.
+def beam_start(place: int, count: int):
+    """State of ``count`` beams that all start at one position: beam number, position and cost arrays."""
+    return np.arange(count), np.full(count, place, dtype=np.int64), np.zeros(count)
 
-    ``places`` / ``costs`` are the live beam positions on the curve, cheapest first. Returns the kept
-    positions and their parents per row, and the beam at the end.
+
+def beam_forward(signals, curve, state, sizes, fees, scales, max_step: int = 2):
+    """Extend several beams at once over a piece of their signals ``(rows, beams)``.
+
+    The state lists live positions grouped by beam, cheapest first. Returns per row the beam numbers,
+    positions and parents (ranks within the beam) that were kept, and the state at the end.
     """
-    steps = np.arange(-max_step, max_step + 1)
-    fee = move_cost * np.abs(steps)
-    kept_places, kept_parents = [], []
-    for value in signal:
-        nxt = (places[:, None] + steps).ravel()
-        parent = np.repeat(np.arange(len(places)), len(steps))
-        ok = (nxt >= 0) & (nxt < len(curve))
-        nxt, parent = nxt[ok], parent[ok]
-        gap = value - curve[nxt]
-        cost = costs[parent] + gap * gap / scale + np.tile(fee, len(places))[ok]
-        # cheapest arrival per position, the earliest one on ties
-        seen = np.arange(len(nxt))
-        order = np.lexsort((seen, cost, nxt))
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = nxt[order][1:] != nxt[order][:-1]
-        best = order[first]
-        arrival = np.zeros(len(best), dtype=np.int64)
-        spot = nxt[best]
-        arrival_order = np.argsort(nxt, kind="stable")
-        arrival[:] = arrival_order[np.searchsorted(nxt[arrival_order], spot, side="left")]
-        rank = np.lexsort((arrival, cost[best]))[:beam_size]
-        chosen = best[rank]
-        places, costs = nxt[chosen], cost[chosen]
-        kept_places.append(places)
-        kept_parents.append(parent[chosen])
-    return kept_places, kept_parents, places, costs
-
-
-def beam_backward(kept_places, kept_parents, pointer: int):
-    """Positions of the best path over a piece, from its last row back, and the pointer before it."""
-    path = np.zeros(len(kept_places), dtype=np.int64)
-    for t in range(len(kept_places) - 1, -1, -1):
-        path[t] = kept_places[t][pointer]
-        pointer = int(kept_parents[t][pointer])
+    sizes, fees, scales = np.asarray(sizes), np.asarray(fees, dtype=float), np.asarray(scales, dtype=float)
+    which, place, cost = state
+    n, steps = len(curve), np.arange(-max_step, max_step + 1)
+    kept = []
+    for row in signals:
+        rank = np.arange(len(which)) - np.searchsorted(which, which, side="left")
+        nxt = (place[:, None] + steps).ravel()
+        ok = (nxt >= 0) & (nxt < n)
+        src = np.repeat(np.arange(len(which)), len(steps))[ok]
+        nxt, beam = nxt[ok], which[src]
+        gap = row[beam] - curve[nxt]
+        total = cost[src] + gap * gap / scales[beam] + fees[beam] * np.abs(np.tile(steps, len(which))[ok])
+        # cheapest arrival per beam and position, the earliest one on ties
+        key = beam * n + nxt
+        order = np.lexsort((total, key))
+        starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        best, met = order[starts], np.minimum.reduceat(order, starts)
+        chosen = best[np.lexsort((met, total[best], beam[best]))]
+        of = beam[chosen]
+        chosen = chosen[np.arange(len(of)) - np.searchsorted(of, of, side="left") < sizes[of]]
+        kept.append((beam[chosen], nxt[chosen], rank[src[chosen]]))
+        which, place, cost = beam[chosen], nxt[chosen], total[chosen]
+    return kept, (which, place, cost)
+
+
+def beam_backward(kept, beam: int, pointer: int):
+    """Positions of one beam's best path over a piece, from its last row back, and the pointer before it."""
+    path = np.zeros(len(kept), dtype=np.int64)
+    for t in range(len(kept) - 1, -1, -1):
+        which, place, parent = kept[t]
+        at = int(np.searchsorted(which, beam)) + pointer
+        path[t], pointer = place[at], int(parent[at])
     return path, pointer
 
 

@@ -129,6 +129,6 @@ def line_inventory(spark, sf_dir):
 
 @query("A19 A14", "SELECT 0::BIGINT AS changed, true AS same_fingerprint FROM region LIMIT 1")
 def input_hash_contract(spark, sf_dir):
-    before, after = (FI.file_hashes(spark, [sf_dir], glob="*.parquet") for _ in range(2))
+    before, after = (FI.snapshot(spark, [sf_dir], glob="*.parquet") for _ in range(2))
     same = FI.fingerprint(spark, [sf_dir], glob="*.parquet") == FI.fingerprint(spark, [sf_dir], glob="*.parquet")
     return FI.hash_contract(before, after).agg(F.count("*").alias("changed")).withColumn("same_fingerprint", F.lit(same))

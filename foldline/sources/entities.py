@@ -29,7 +29,7 @@ def read_entities(spark: SparkSession, folder: str, suffix: str, schema: T.Struc
     The CSV reader does not expose line positions, so a file is read whole (it is one bounded entity),
     split into lines and parsed; entities spread over tasks.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(folder)
+    files = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
     name = F.col("_metadata.file_name")
     lines = files.select(
         F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("entity"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldline.session import cut_lineage
+
 
 def file_hashes(spark: SparkSession, paths: Sequence[str], mode: str = "content", glob: str | None = None) -> DataFrame:
     """``(name, length, digest)`` per file; ``metadata`` mode hashes name, size and mtime only."""
@@ -23,6 +25,11 @@ def file_hashes(spark: SparkSession, paths: Sequence[str], mode: str = "content"
     return files.select("path", "name", "length", digest.alias("digest"))
 
 
+def snapshot(spark: SparkSession, paths: Sequence[str], mode: str = "content", glob: str | None = None) -> DataFrame:
+    """File hashes as of now, written down so that a later comparison does not read the files again."""
+    return cut_lineage(file_hashes(spark, paths, mode, glob))
+
+
 def fingerprint(spark: SparkSession, paths: Sequence[str], mode: str = "content", glob: str | None = None) -> str:
     """One digest for a file set, independent of listing order.
 
@@ -51,7 +58,7 @@ def file_inventory(spark: SparkSession, root: str, glob: str | None = None) -> D
 
 
 def hash_contract(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Files whose digest changed, appeared or vanished between two :func:`file_hashes` tables."""
+    """Files whose digest changed, appeared or vanished between two :func:`snapshot` tables."""
     a = before.select("path", F.col("digest").alias("digest_before"))
     b = after.select("path", F.col("digest").alias("digest_after"))
     return a.join(b, "path", "full_outer").filter(~F.col("digest_before").eqNullSafe(F.col("digest_after")))

@@ -83,16 +83,18 @@ def _brute_beam(signal, curve, start, fee, scale, max_step):
 
 def test_wide_beam_is_exact_and_pieces_agree():
     rng = np.random.default_rng(3)
-    curve, signal = rng.normal(size=12), rng.normal(size=9)
-    places, parents, p, cost = K.beam_forward(signal, curve, np.array([5]), np.zeros(1), 50, 0.3, 0.7)
-    path, _ = K.beam_backward(places, parents, 0)
-    want_cost, want = _brute_beam(signal, curve, 5, 0.3, 0.7, 2)
-    assert path.tolist() == want and cost[0] == pytest.approx(want_cost)
-    a = K.beam_forward(signal[:4], curve, np.array([5]), np.zeros(1), 50, 0.3, 0.7)
-    b = K.beam_forward(signal[4:], curve, a[2], a[3], 50, 0.3, 0.7)
-    tail, pointer = K.beam_backward(b[0], b[1], 0)
-    head, _ = K.beam_backward(a[0], a[1], pointer)
-    assert [*head, *tail] == want
+    curve, signal = rng.normal(size=12), rng.normal(size=(9, 2))
+    args = (curve, K.beam_start(5, 2), [50, 50], [0.3, 1.1], [0.7, 0.4])
+    kept, state = K.beam_forward(signal, *args)
+    a, mid = K.beam_forward(signal[:4], *args)
+    b, _ = K.beam_forward(signal[4:], curve, mid, *args[2:])
+    for beam, fee, scale in ((0, 0.3, 0.7), (1, 1.1, 0.4)):
+        path, _ = K.beam_backward(kept, beam, 0)
+        cost, want = _brute_beam(signal[:, beam], curve, 5, fee, scale, 2)
+        assert path.tolist() == want and state[2][state[0] == beam][0] == pytest.approx(cost)
+        tail, pointer = K.beam_backward(b, beam, 0)
+        head, _ = K.beam_backward(a, beam, pointer)
+        assert [*head, *tail] == want
 
 
 def test_particles_follow_a_ramp():
