@@ -1,10 +1,15 @@
-"""Small NumPy recurrences used inside Spark groups; each works on one piece of a sequence."""
+"""Small recurrences used inside Spark tasks; each works on one piece of a sequence with a small state."""
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import cloudpickle
+
+# Tasks receive these functions with the job, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # ---------------------------------------------------------------- beam alignment
 
@@ -295,3 +300,36 @@ def lattice_summary(alpha, beta, offsets, rates) -> tuple[float, float, float, f
     eo = float(po[:OFFSET_EDGE_CELLS].sum() + po[-OFFSET_EDGE_CELLS:].sum())
     er = float(pr[:RATE_EDGE_CELLS].sum() + pr[-RATE_EDGE_CELLS:].sum())
     return mo, float(so), mr, float(sr), eo, er
+
+
+# ---------------------------------------------------------------- ledger decisions
+
+
+@dataclass(frozen=True)
+class Policy:
+    """Rules for a submission: mode, daily budget, direction and the margin over the best so far."""
+
+    max_daily: int = 2
+    threshold: float = 0.0
+    direction: str = "minimize"
+    mode: str = "api"
+
+
+def decide_one(state: tuple, day, valid: bool, cv, force: bool, policy: Policy) -> tuple[str, tuple]:
+    """Decision for one event and the new ``(best, day, used)`` of its ledger."""
+    best, last_day, used = state
+    if day != last_day:
+        last_day, used = day, 0
+    if not valid:
+        return "invalid", (best, last_day, used)
+    if policy.mode != "api":
+        return f"{policy.mode}_required", (best, last_day, used)
+    if used >= policy.max_daily:
+        return "queued_budget", (best, last_day, used)
+    sign = 1.0 if policy.direction == "maximize" else -1.0
+    scored = cv is not None and cv == cv
+    if not force and scored and best is not None and sign * cv < sign * best + policy.threshold:
+        return "queued_threshold", (best, last_day, used)
+    if scored and (best is None or sign * cv > sign * best):
+        best = cv
+    return "accepted", (best, last_day, used + 1)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foldline.operators.kernels import Policy, decide_one
 from foldline.operators.series import CHUNK_ROWS, POS, bounded_frames, lay_out, ordered_positions, running, tidy
 from foldline.session import cut_lineage
 
@@ -97,36 +97,6 @@ def score_gap(ledger: DataFrame, cv: str, lb: str) -> DataFrame:
 # ---------------------------------------------------------------- accept / queue decisions
 
 
-@dataclass(frozen=True)
-class Policy:
-    """Rules for a submission: mode, daily budget, direction and the margin over the best so far."""
-
-    max_daily: int = 2
-    threshold: float = 0.0
-    direction: str = "minimize"
-    mode: str = "api"
-
-
-def decide_one(state: tuple, day, valid: bool, cv, force: bool, policy: Policy) -> tuple[str, tuple]:
-    """Decision for one event and the new ``(best, day, used)`` of its ledger."""
-    best, last_day, used = state
-    if day != last_day:
-        last_day, used = day, 0
-    if not valid:
-        return "invalid", (best, last_day, used)
-    if policy.mode != "api":
-        return f"{policy.mode}_required", (best, last_day, used)
-    if used >= policy.max_daily:
-        return "queued_budget", (best, last_day, used)
-    sign = 1.0 if policy.direction == "maximize" else -1.0
-    scored = cv is not None and cv == cv
-    if not force and scored and best is not None and sign * cv < sign * best + policy.threshold:
-        return "queued_threshold", (best, last_day, used)
-    if scored and (best is None or sign * cv > sign * best):
-        best = cv
-    return "accepted", (best, last_day, used + 1)
-
-
 def decide_submissions(events: DataFrame, ledger: str, order: Sequence[str], ts: str, valid: str, cv: str, force: str, policy: Policy) -> DataFrame:
     """Replay events per ledger: validity, mode, budget, then threshold against earlier accepted scores.
 

@@ -100,7 +100,7 @@ def target_balance(spark, sf_dir):
 @query(
     "D4",
     """SELECT 'mean' AS stat, round(avg(o_totalprice), 6) AS value FROM orders
-       UNION ALL SELECT 'std', round(stddev_samp(o_totalprice), 4) FROM orders
+       UNION ALL SELECT 'std', round(stddev_samp(o_totalprice), 6) FROM orders
        UNION ALL SELECT 'min', min(o_totalprice) FROM orders UNION ALL SELECT 'max', max(o_totalprice) FROM orders""",
 )
 def target_moments(spark, sf_dir):

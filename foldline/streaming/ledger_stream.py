@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from foldline.operators.ledger import Policy, decide_one
+from foldline.operators.kernels import Policy, decide_one
 from foldline.session import scratch_root
 
 OUTPUT = "ledger long, seq long, decision string"
