@@ -22,6 +22,7 @@ def _files(spark, sf_dir):
 @query(
     "M1",
     """SELECT 'error' AS severity, 'rows' AS rule, 'expected ' || count(*) || ', got ' || (count(*) FILTER (WHERE o_orderkey % 5000 <> 1) + count(*) FILTER (WHERE o_orderkey % 5000 <> 1 AND o_orderkey % 3000 = 2)) AS detail FROM orders
+         HAVING count(*) FILTER (WHERE o_orderkey % 5000 = 1) <> count(*) FILTER (WHERE o_orderkey % 5000 <> 1 AND o_orderkey % 3000 = 2)
        UNION ALL SELECT 'error', 'nulls', 'prediction' UNION ALL SELECT 'error', 'ids', '0 unknown, ' || count(*) FILTER (WHERE o_orderkey % 5000 = 1) || ' missing' FROM orders
        UNION ALL SELECT 'error', 'duplicate_ids', 'id' UNION ALL SELECT 'warning', 'extreme', 'prediction' UNION ALL SELECT 'error', 'infinity', 'prediction'""",
 )

@@ -128,7 +128,7 @@ def _streams_sql(outer: str) -> str:
     h AS (SELECT entity, surface, bias, sqrt(avg((tvt - (level - z + cal)) ** 2)) AS rmse FROM l JOIN lv USING (entity, surface) WHERE back BETWEEN 1 AND 10 GROUP BY ALL),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY rmse, surface) AS k FROM h) WHERE k = 1),
     f AS (SELECT entity, bias AS first_bias FROM lv WHERE surface = 'f1')
-    SELECT l.entity, l.row_index, b.surface AS selected, round(max(CASE WHEN l.surface = 'f1' THEN level - z + first_bias END), 5) AS plane_first, round(max(CASE WHEN l.surface = b.surface THEN level - z + b.bias END), 5) AS plane_best
+    SELECT l.entity, l.row_index, b.surface AS selected, round(max(CASE WHEN l.surface = 'f1' THEN level - z + first_bias END), 4) AS plane_first, round(max(CASE WHEN l.surface = b.surface THEN level - z + b.bias END), 4) AS plane_best
     FROM l JOIN b USING (entity) JOIN f USING (entity) WHERE back < 1 GROUP BY l.entity, l.row_index, b.surface"""
 
 
@@ -138,7 +138,7 @@ def surface_streams(spark, sf_dir):
     marked = SP.prefix_windows(rows, "tvt", "entity", ["row_index"]).filter("back IS NULL OR back <= 30")
     planes = SP.local_plane(marked, donors, ["entity", "row_index"], FS, qid="entity", did="entity", x="x", y="y", qfold="fold", dfold="fold")
     out = SP.surface_streams(planes, ["entity"], "row_index", "back", "tvt", "z", FS, **WINDOWS)
-    return rounded(out, 5)
+    return rounded(out, 4)
 
 
 @query("L11 C12", f"SELECT s.entity, s.row_index, s.plane_first, s.plane_best, n.plane_first AS nested_first, n.plane_best AS nested_best FROM ({_streams_sql('fold')}) s JOIN ({_streams_sql('((fold + 1) % 5)::INTEGER')}) n USING (entity, row_index)")
@@ -147,7 +147,7 @@ def cross_fitted_surface_streams(spark, sf_dir):
     out = SP.cross_fitted_streams(rows, donors, "entity", "row_index", "fold", range(5), "tvt", "z", "x", "y", FS, windows=WINDOWS)
     nxt = lambda c: F.coalesce(*[F.when(F.col("fold") == (f - 1) % 5, F.col(f"nested_outer_{f}__{c}")) for f in range(5)])
     out = out.select("entity", "row_index", "plane_first", "plane_best", nxt("plane_first").alias("nested_first"), nxt("plane_best").alias("nested_best"))
-    return rounded(out, 5)
+    return rounded(out, 4)
 
 
 @query(
