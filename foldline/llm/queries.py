@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.llm import host_reputation
+from foldline.llm import best_fit_packing, host_reputation, simhash_dedup
 from foldline.llm.common import table
 
 QUERIES: dict = {}
@@ -54,3 +57,33 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome of a page: the quality label of its id (0 is bad)."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     return host_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes, spark.sql(URL_RULES))
+
+
+@query()
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "links")
+
+
+#: Token id that ends a document.
+END_ID = 1
+DIGEST = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def word_bpe():
+    import public_tokenizers
+
+    return best_fit_packing.word_bpe_encoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = best_fit_packing.pack(table(spark, sf_dir, "documents"), word_bpe(), END_ID)
+
+    def digest(batches):
+        for b in batches:
+            at, ids = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy().astype("<u4")
+            crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(crc, pa.int64()), *b.columns[5:]], names=DIGEST)
+
+    return packed.mapInArrow(digest, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
