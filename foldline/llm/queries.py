@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.llm import best_fit_packing, host_reputation, simhash_dedup
-from foldline.llm.common import table
+from foldline.llm import best_fit_packing, host_reputation, language_codes, pii_spans, simhash_dedup, toxicity
+from foldline.llm.common import crc_remainder, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,3 +87,40 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(crc, pa.int64()), *b.columns[5:]], names=DIGEST)
 
     return packed.mapInArrow(digest, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def _held_out(modulus: int, remainder: int):
+    return F.coalesce(crc_remainder(F.col("doc_id"), modulus) == remainder, F.lit(False)).alias("held_out")
+
+
+#: Score from which a document counts as toxic.
+TOXIC_SCORE = 0.7
+
+
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
+
+
+@query()
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii_spans.mark(docs, pii_spans.fit(docs), ["doc_id"])
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii_spans.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query()
+def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_codes.predict(docs, language_codes.fit(docs), ["doc_id"])
+    return found.select("doc_id", _held_out(3, 1), "lang_pred", "score", "ambiguous")
