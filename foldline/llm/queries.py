@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.llm import best_fit_packing, host_reputation, language_codes, pii_spans, simhash_dedup, toxicity
+from foldline.llm import best_fit_packing, deleted_interpolation, host_reputation, language_codes, pii_spans, simhash_dedup, toxicity
 from foldline.llm.common import crc_remainder, table
 
 QUERIES: dict = {}
@@ -104,6 +104,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
 
 
+#: Remainder of crc32(doc_id) mod 7 of the training texts that are set aside for the mixture weights.
+ASIDE = 4
+
+
+@query()
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = crc_remainder(F.col("doc_id"), 7)
+    scored = deleted_interpolation.score(table(spark, sf_dir, "documents"), F.coalesce(part != 2, F.lit(False)), F.coalesce(part == ASIDE, F.lit(False)))
+    return scored.select("doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query()
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
