@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.llm import best_fit_packing, deleted_interpolation, host_reputation, language_codes, pii_spans, simhash_dedup, toxicity
+from foldline.llm import best_fit_packing, deleted_interpolation, host_reputation, language_codes, pii_spans, simhash_dedup, template_decontamination, toxicity
 from foldline.llm.common import crc_remainder, table
 
 QUERIES: dict = {}
@@ -93,6 +93,12 @@ def _held_out(modulus: int, remainder: int):
     return F.coalesce(crc_remainder(F.col("doc_id"), modulus) == remainder, F.lit(False)).alias("held_out")
 
 
+@query()
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template_decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "kind", F.round("coverage", 6).alias("coverage"), "windows", "at").distinct()
+
+
 #: Score from which a document counts as toxic.
 TOXIC_SCORE = 0.7
 
