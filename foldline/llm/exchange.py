@@ -34,15 +34,13 @@ def unpack_column(packed: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(dtype).reshape(-1)
 
 
-def ask(batches: DataFrame, reduce: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]], total_keys: int) -> DataFrame:
-    """(batch, range, answers) for ``batches`` (batch, keys, columns): one row per batch, columns an array of packed int64 arrays.
+def range_bits(total_keys: int) -> int:
+    """Logarithm of the number of key ranges: as many as keep a range near ``TASK_KEYS`` keys."""
+    return max(3, int(np.ceil(np.log2(max(1, total_keys / TASK_KEYS)))))
 
-    Keys of a batch are sorted and distinct. ``reduce(group, columns)`` gets the rows of all batches in one range of
-    keys, ``group`` numbering equal keys from 0, and returns arrays in the order of the groups. Each batch gets the
-    answers of its keys in the order of its keys. A key has at most one row per batch, however often it occurs, and
-    hashed keys spread evenly, so ranges are alike in size; their number follows ``total_keys``.
-    """
-    bits = max(3, int(np.ceil(np.log2(max(1, total_keys / TASK_KEYS)))))
+
+def dealt(batches: DataFrame, bits: int) -> DataFrame:
+    """(range, batch, keys, columns): each row of ``batches`` (batch, keys, columns) cut by the top ``bits`` of its keys."""
 
     def deal(parts):
         for rows in parts:
@@ -62,6 +60,18 @@ def ask(batches: DataFrame, reduce: Callable[[np.ndarray, list[np.ndarray]], lis
                         names=["range", "batch", "keys", "columns"],
                     )
 
+    return batches.select("batch", "keys", "columns").mapInArrow(deal, "range long, batch long, keys binary, columns array<binary>")
+
+
+def ask(batches: DataFrame, reduce: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]], total_keys: int) -> DataFrame:
+    """(batch, range, answers) for ``batches`` (batch, keys, columns): one row per batch, columns an array of packed int64 arrays.
+
+    Keys of a batch are sorted and distinct. ``reduce(group, columns)`` gets the rows of all batches in one range of
+    keys, ``group`` numbering equal keys from 0, and returns arrays in the order of the groups. Each batch gets the
+    answers of its keys in the order of its keys. A key has at most one row per batch, however often it occurs, and
+    hashed keys spread evenly, so ranges are alike in size; their number follows ``total_keys``.
+    """
+
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack_keys(k) for k in pdf["keys"]]
         _, group = np.unique(np.concatenate(parts), return_inverse=True)
@@ -71,8 +81,7 @@ def ask(batches: DataFrame, reduce: Callable[[np.ndarray, list[np.ndarray]], lis
         split = [np.split(np.asarray(f, np.int64)[group], ends) for f in found]
         return pd.DataFrame({"batch": pdf["batch"], "range": pdf["range"], "answers": [[pack_column(s[i]) for s in split] for i in range(len(parts))]})
 
-    sent = batches.select("batch", "keys", "columns").mapInArrow(deal, "range long, batch long, keys binary, columns array<binary>")
-    return sent.groupBy("range").applyInPandas(answer, "batch long, range long, answers array<binary>")
+    return dealt(batches, range_bits(total_keys)).groupBy("range").applyInPandas(answer, "batch long, range long, answers array<binary>")
 
 
 def gathered(answers: DataFrame) -> DataFrame:

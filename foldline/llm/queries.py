@@ -8,7 +8,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.llm import best_fit_packing, deleted_interpolation, host_reputation, language_codes, pii_spans, simhash_dedup, template_decontamination, toxicity
+from foldline.llm import (
+    best_fit_packing,
+    deleted_interpolation,
+    host_reputation,
+    language_codes,
+    line_dedup,
+    pii_spans,
+    simhash_dedup,
+    template_decontamination,
+    toxicity,
+)
 from foldline.llm.common import crc_remainder, table
 
 QUERIES: dict = {}
@@ -59,6 +69,11 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes, spark.sql(URL_RULES))
 
 
+@query()
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "cut_runs")
+
+
 @query()
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
