@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import deque
 from collections.abc import Callable
 
@@ -114,13 +115,14 @@ def word_bpe_encoder(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
         letters = _byte_letters()
 
         def whole(word: str) -> bytes:
-            return np.array(tok.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return array("I", tok.encode(word, add_special_tokens=False).ids).tobytes()
 
         def run_of_letters(run: str) -> bytes:
             spelled = run if run.isascii() else "".join(map(letters.__getitem__, run.encode()))
-            return np.array([t.id for t in tok.model.tokenize(spelled)], dtype="<u4").tobytes()
+            return array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
 
-        runs, marks = HashCache(run_of_letters, 600_000), HashCache(whole)
+        model = tok.model
+        runs, marks = HashCache(run_of_letters, 300_000), HashCache(whole, 50_000)
 
         def word_ids(word: bytes) -> bytes:
             text = word.decode()
@@ -129,7 +131,7 @@ def word_bpe_encoder(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
                 return whole(text)
             return (marks[m[1]] if m[1] else b"") + runs[m[2].lower()] + (marks[m[3]] if m[3] else b"")
 
-        words = HashCache(word_ids, 800_000)
+        words = HashCache(word_ids, 400_000)
 
         def encode(text: str) -> np.ndarray:
             return np.frombuffer(b"".join(map(words.__getitem__, text.encode().lower().split())), dtype="<u4")
@@ -182,18 +184,17 @@ def pack(docs: DataFrame, encoder: Callable, end_id: int, capacity: int = CAPACI
     cut = cut_lineage(pieces(docs, encoder, end_id, capacity))
     counts = cut_lineage(cut.groupBy("part", "length").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(plan_bins(histogram, capacity))
-    before = counts.selectExpr("part", "length", "sum(n) OVER (PARTITION BY length ORDER BY part) - n AS earlier")
-    ranked = cut.join(cut_lineage(before), ["part", "length"]).select("doc_id", "piece", "start", "tokens", "length", (F.col("earlier") + F.col("nth")).alias("rank"))
-
-    def place(batches):
-        p = plan.value
-        key = p[:, 0] * -(1 << 48) + p[:, 1]  # lengths fall, ranks rise: ascending
-        for batch in batches:
-            length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
-            r = p[np.searchsorted(key, length * -(1 << 48) + rank, side="right") - 1]
-            k = rank - r[:, 1]
-            seq, offset = r[:, 3] + k // r[:, 4], r[:, 5] + k % r[:, 4] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(offset)], names=["doc_id", "piece", "start", "tokens", "length", "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, tokens array<int>, length long, sequence_id long, offset long")
+    before = cut_lineage(counts.selectExpr("part", "length", "sum(n) OVER (PARTITION BY length ORDER BY part) - n AS earlier"))
+    runs = plan_runs(spark, plan_bins(histogram, capacity))
+    ranked = cut.join(before, ["part", "length"]).withColumn("rank", F.col("earlier") + F.col("nth"))
+    r = F.element_at(F.filter("runs", lambda x: x["rank"] <= F.col("rank")), -1)
+    placed = ranked.join(runs, "length").withColumn("r", r).withColumn("k", F.col("rank") - F.col("r.rank"))
+    return placed.selectExpr(
+        "doc_id", "piece", "start", "tokens", "length", "r.first_bin + k div r.per_bin AS sequence_id", "r.offset + k % r.per_bin * length AS offset"
+    )
+
+
+def plan_runs(spark, plan: np.ndarray) -> DataFrame:
+    """(length, runs) of a plan: an array of its steps in the order of ranks; as bounded as the plan."""
+    rows = [(int(p[0][0]), [(int(x[1]), int(x[3]), int(x[4]), int(x[5])) for x in p]) for p in np.split(plan, np.flatnonzero(np.diff(plan[:, 0])) + 1) if len(p)]
+    return spark.createDataFrame(rows, "length long, runs array<struct<rank: long, first_bin: long, per_bin: long, offset: long>>")
