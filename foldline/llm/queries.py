@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foldline.llm import (
     best_fit_packing,
     deleted_interpolation,
+    hilbert_neighbours,
     host_reputation,
     language_codes,
     line_dedup,
@@ -136,6 +137,12 @@ def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query()
+def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return hilbert_neighbours.nearest(vectors, vectors.filter("id % 20 = 0").select("id"))
+
+
 @query()
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
