@@ -6,15 +6,16 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldline.llm.common import crc_remainder, map_rows, sigmoid
 
-DIMENSIONS = 1 << 13
+DIMENSIONS = 1 << 12
 ORDERS = (1, 2, 3)
-#: Bounds of the labelled sample: rows of each language and characters of a row.
-SAMPLE_ROWS = 1_500
+#: Bounds of the labelled sample: rows over all languages and characters of a row.
+SAMPLE_ROWS = 4_000
 SAMPLE_CHARS = 4_000
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -59,7 +60,7 @@ def ngram_counts(text: str | None, block: int = 1 << 20) -> np.ndarray:
             if m <= 0:
                 break
             key = key[:m] * np.uint32(0x01000193) ^ (a[n - 1 : n - 1 + m] + np.uint32(n * 257))
-            counts += np.bincount((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13), minlength=DIMENSIONS)
+            counts += np.bincount((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - 12), minlength=DIMENSIONS)
     return np.sqrt(counts / max(1, counts.sum()))
 
 
@@ -69,22 +70,24 @@ def train(sample: list[tuple[str, str]], rounds: int = 60) -> Model:
     code = codewords(len(names))
     if len(names) < 2:
         return Model(names, code, np.zeros((code.shape[1], DIMENSIONS + 1)), np.ones(code.shape[1]))
-    x = np.column_stack([np.array([ngram_counts(t) for t, _ in sample]), np.ones(len(sample))])
+    x = np.ones((len(sample), DIMENSIONS + 1), np.float32)
+    for i, (t, _) in enumerate(sample):
+        x[i, :-1] = ngram_counts(t)
     lang = np.array([names.index(y) for _, y in sample])
-    balance = (len(sample) / len(names) / np.bincount(lang, minlength=len(names)))[lang][:, None]
-    y = (code[lang] + 1) / 2.0
+    balance = (len(sample) / len(names) / np.bincount(lang, minlength=len(names)))[lang][:, None].astype(np.float32)
+    y = ((code[lang] + 1) / 2).astype(np.float32)
     held = np.arange(len(sample)) % 5 == 0
-    w = np.zeros((x.shape[1], code.shape[1]))
+    w = np.zeros((x.shape[1], code.shape[1]), np.float32)
     velocity, rate = np.zeros_like(w), 8.0
     xt, bt, yt = x[~held], balance[~held], y[~held]
     for _ in range(rounds):
-        ahead = w + 0.9 * velocity
-        grad = xt.T @ (bt * (sigmoid(xt @ ahead) - yt)) / len(xt) + 1e-5 * ahead
-        velocity = 0.9 * velocity - rate * grad
+        ahead = w + np.float32(0.9) * velocity
+        grad = xt.T @ (bt * (sigmoid(xt @ ahead) - yt)) / len(xt) + np.float32(1e-5) * ahead
+        velocity = np.float32(0.9) * velocity - np.float32(rate) * grad
         w += velocity
     check, truth = (x[held], y[held]) if held.sum() >= 20 else (xt, yt)
     right = ((check @ w > 0) == (truth > 0.5)).mean(axis=0)
-    return Model(names, code, w.T, np.maximum(right - 0.5, 1e-3) * 2)
+    return Model(names, code, w.T.astype(np.float64), np.maximum(right - 0.5, 1e-3) * 2)
 
 
 def decode(model: Model, text: str | None) -> tuple[str, float, bool, float]:
@@ -102,25 +105,20 @@ def decode(model: Model, text: str | None) -> tuple[str, float, bool, float]:
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, most_languages: int = 400) -> list[tuple[str, str]]:
-    """At most ``rows`` texts of each of the most frequent languages, in the order of a hash, cut to ``chars`` for training only.
+    """At most ``rows`` texts over all languages, chosen by a hash and cut to ``chars`` for training only.
 
-    Only rows whose crc32(doc_id as text) mod 3 is not 1 and whose lang is set are learned from.
+    Each of the ``most_languages`` most frequent ones gets an equal part. Only rows whose crc32(doc_id as text) mod 3 is
+    not 1 and whose lang is set are learned from.
     """
     d = docs.filter((crc_remainder(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    d = d.select("doc_id", "lang", F.substring("text", 1, chars).alias("text"))
-    names = [r["lang"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    found = []
-    for name in names:
-        mine = d.filter(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
-        found += [(r["text"], name) for r in mine.collect()]
-    found.sort(key=lambda r: hash_order(r[0]))
-    return found
-
-
-def hash_order(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text.encode())
+    d = d.select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1)).alias("part"))
+    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if not counts:
+        return []
+    each = max(1, rows // len(counts))
+    below = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(int((1 << 40) * min(1.0, each / r["count"]))))))
+    found = d.filter(F.col("part") < below[F.col("lang")]).select("text", "lang").limit(rows + rows // 4).collect()
+    return sorted(((r["text"], r["lang"]) for r in found), key=lambda r: xxhash.xxh64_intdigest(r[0].encode()))
 
 
 def fit(docs: DataFrame) -> Model:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import map_rows
+from foldline.llm.common import hash_sample, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -286,9 +286,9 @@ def find(model: Model, text: str | None) -> tuple[list, list]:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Train on at most ``rows`` texts with digits or an @, the first in the order of a hash."""
+    """Train on at most ``rows`` texts with digits or an @, chosen by a hash."""
     some = docs.filter(F.col("text").rlike("[0-9@]")).select(F.substring("text", 1, 20_000).alias("text"))
-    return train([r["text"] for r in some.orderBy(F.xxhash64("text"), "text").limit(rows).collect()])
+    return train(sorted(r["text"] for r in hash_sample(some, ["text"], rows).collect()))
 
 
 def mark(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:

@@ -6,15 +6,16 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import crc_remainder, fit_logistic, map_rows, sigmoid
+from foldline.llm.common import crc_remainder, fit_logistic, hash_sample, map_rows, sigmoid
 
 GRAM = 6
 #: Bounds of the labelled sample that the dictionaries and the calibration are fitted on.
-SAMPLE_ROWS = 6_000
-SAMPLE_CHARS = 6_000
+SAMPLE_ROWS = 5_000
+SAMPLE_CHARS = 4_000
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,7 @@ def _compressor(raw: bytes):
 
     d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
     p = z.ZstdCompressionParameters(
-        window_log=15, hash_log=12, chain_log=12, search_log=1, target_length=0, min_match=GRAM, strategy=z.STRATEGY_GREEDY,
+        window_log=15, hash_log=12, chain_log=12, search_log=1, target_length=0, min_match=6, strategy=z.STRATEGY_GREEDY,
         format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     d.precompute_compress(compression_params=p)
@@ -166,20 +167,21 @@ def train(sample: list[tuple[str | None, int]], window: int = 16) -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts of each class, the first in the order of a hash, each cut to ``chars`` for training only.
+    """At most ``rows`` labelled texts of each class, chosen by a hash of doc_id, each cut to ``chars`` for training only.
 
-    Only rows whose crc32(doc_id as text) mod 3 is not 1 are learned from.
+    Only rows whose crc32(doc_id as text) mod 3 is not 1 are learned from. The chosen labels are few enough to be sent to
+    the texts.
     """
-    d = docs.filter(crc_remainder(F.col("doc_id"), 3) != 1).select("doc_id", F.substring("text", 1, chars).alias("text"))
-    known = d.join(labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
-    order = [F.xxhash64("doc_id"), "doc_id", "text"]
-    found = [(r["text"], r["toxic"]) for y in (0, 1) for r in known.filter(F.col("toxic") == y).orderBy(*order).limit(rows).collect()]
+    known = labels.filter("toxic IS NOT NULL").filter(crc_remainder(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = []
+    for y in (0, 1):
+        some = hash_sample(known.filter(F.col("toxic") == y), ["doc_id"], rows)
+        texts = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(some), "doc_id")
+        found += [(r["text"], y) for r in texts.select("text").limit(rows).collect()]
     return sorted(found, key=lambda r: hash_order(r[0]))
 
 
 def hash_order(text: str | None) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest((text or "").encode())
 
 
