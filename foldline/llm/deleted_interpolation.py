@@ -5,14 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldline.llm.common import HashCache, slices
-from foldline.llm.exchange import ask, gathered, pack_column, pack_keys, read_answers, unpack_column, unpack_keys
+from foldline.llm.exchange import ask, pack_column, pack_keys, read_answers
 from foldline.session import cut_lineage
 
 #: Tokens of one row of coded documents.
@@ -22,11 +24,11 @@ BUCKETS = 24
 #: Cells of the held-out histogram: steps of a quarter of a power of two of each ratio.
 STEPS = 128
 
-END, START = np.uint64(1), np.uint64(2)
+END, START = np.uint64(1 << 8), np.uint64(2 << 8)
 
 
 def _word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 7) | 4  # 0 to 3 are no words
+    return xxhash.xxh64_intdigest(word, 7) & ~0xFF | 1 << 63  # fixed codes are below
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -45,35 +47,40 @@ def contexts(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Four-byte numbers, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def coded(docs: DataFrame, train, held) -> DataFrame:
-    """One row per stretch of up to ``BATCH_TOKENS`` tokens: (batch, docs, lengths, parts, tokens, before, keys, columns, n_train, n_keys).
+    """One row per stretch of about ``BATCH_TOKENS`` tokens: (batch, docs, lengths, parts, words, codes, n_train).
 
-    ``train`` and ``held`` are columns: who is learned from, and which of those are set aside for the weights. keys are
-    the stretch's distinct words and pairs of words; columns count them in training and in the set-aside texts. A text is
+    ``train`` and ``held`` are columns: who is learned from, and which of those are set aside for the weights; they are bits
+    of parts. words are the stretch's word hashes, the most frequent first, codes the tokens as places in words. A text is
     never cut.
     """
-
-    def row(batch, ids, lengths, parts, words):
-        tokens = np.frombuffer(b"".join(words), np.uint64)
-        before = contexts(tokens)
-        keys = np.concatenate([tokens, pair_key(before, tokens), np.full(int(np.sum(before == START)), START)])
-        flag = np.repeat(np.array(parts), lengths)
-        flags = np.concatenate([flag, flag, flag[before == START]])
-        uniq, at = np.unique(keys, return_inverse=True)
-        counts = [np.bincount(at, weights=(flags & bit) > 0, minlength=len(uniq)).astype(np.int64) for bit in (1, 2)]
-        n = int(np.sum(flag & 1))
-        return [batch, ids, lengths, parts, pack_column(tokens), pack_column(before), pack_keys(uniq), [pack_column(c) for c in counts], n, len(uniq)]
-
-    names = ["batch", "docs", "lengths", "parts", "tokens", "before", "keys", "columns", "n_train", "n_keys"]
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.int64()]
+    names = ["batch", "docs", "lengths", "parts", "words", "codes", "n_train"]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
 
     def run(batches):
         base, made = TaskContext.get().partitionId() << 32, 0
-        hashes = HashCache(lambda w: np.uint64(_word_hash(w)).tobytes(), 1_000_000)
+        hashes = HashCache(lambda w: np.uint64(_word_hash(w)).tobytes(), 300_000)
         ids, lengths, parts, words, size = [], [], [], [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row(base + made, ids, lengths, parts, words), types)], names=names)
+            uniq, at, n = np.unique(np.frombuffer(b"".join(words), np.uint64), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            train_tokens = sum(x for x, p in zip(lengths, parts) if p & 1)
+            values = [base + made, ids, lengths, parts, uniq[order].tobytes(), squeeze(rank[at]), train_tokens]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
         end = END.tobytes()
         for rows in slices(batches):
@@ -91,10 +98,82 @@ def coded(docs: DataFrame, train, held) -> DataFrame:
         if ids:
             yield flush()
 
-    ddl = "batch long, docs array<long>, lengths array<long>, parts array<long>, tokens binary, before binary, keys binary, columns array<binary>, n_train long, n_keys long"
+    ddl = "batch long, docs array<long>, lengths array<long>, parts array<long>, words binary, codes binary, n_train long"
     return docs.select(F.col("doc_id").cast("long").alias("d"), "text", train.cast("int").alias("t"), held.cast("int").alias("h")).mapInArrow(run, ddl)
 
 
+#: Hashes are compared by their upper 56 bits.
+KEY = np.uint64(0xFFFFFFFFFFFFFF00)
+
+
+def _keys(words: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, distinct keys of words, pairs and START, place of each token's pair, place of each word and of START)."""
+    word = np.frombuffer(words, np.uint64)
+    tokens = word[unsqueeze(codes)]
+    keys, at = np.unique(np.concatenate([pair_key(contexts(tokens), tokens), word, [START]]) & KEY, return_inverse=True)
+    return tokens, keys, at[: len(tokens)], at[len(tokens) :]
+
+
+def asked(numbered: DataFrame) -> DataFrame:
+    """(batch, keys, columns): counts of each key in training, in the set-aside texts, and whether it is a word."""
+
+    def run(parts):
+        for rows in parts:
+            for r in rows.to_pylist():
+                tokens, keys, pair, word = _keys(r["words"], r["codes"])
+                flag = np.repeat(np.array(r["parts"]), r["lengths"])
+                codes = word[unsqueeze(r["codes"])]
+                starts = np.full(len(r["parts"]), word[-1])
+                where = np.concatenate([pair, codes, starts])
+                flags = np.concatenate([flag, flag, np.array(r["parts"])])
+                columns = [np.bincount(where, weights=(flags & bit) > 0, minlength=len(keys)).astype(np.int64) for bit in (1, 2)]
+                is_word = np.zeros(len(keys), np.int64)
+                is_word[word[:-1]] = 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["batch"]]), pa.array([pack_keys(keys)], pa.binary()), pa.array([[pack_column(c) for c in (*columns, is_word)]], pa.list_(pa.binary()))],
+                    names=["batch", "keys", "columns"],
+                )
+
+    return numbered.mapInArrow(run, "batch long, keys binary, columns array<binary>")
+
+
+def _sum_keys(group: np.ndarray, columns: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    train, held = (np.bincount(group, weights=v).astype(np.int64) for v in columns[:2])
+    word = np.bincount(group, weights=columns[2]) > 0
+    return [train, held], int(np.sum(word & (train > 0)))
+
+
+def with_counts(numbered: DataFrame, answers: DataFrame) -> DataFrame:
+    """The stretches with the corpus counts of their words, of START (last), and of each token's pair, in training and set aside."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        r = left.iloc[0]
+        tokens, keys, pair, word = _keys(r["words"], r["codes"])
+        counts = read_answers(right.sort_values("range")["answers"].tolist(), 2)
+        end = np.flatnonzero(np.frombuffer(r["words"], np.uint64) == END)
+        return pd.DataFrame({
+            "docs": [r["docs"]], "lengths": [r["lengths"]], "parts": [r["parts"]], "codes": [r["codes"]], "end": [int(end[0])],
+            "words": [[squeeze(c[word]) for c in counts]], "pairs": [[squeeze(c[pair]) for c in counts]],
+        })
+
+    kept = "docs array<long>, lengths array<long>, parts array<long>, codes binary, end long, words array<binary>, pairs array<binary>"
+    return numbered.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, kept)
+
+
+def _opened(r: dict) -> list[np.ndarray]:
+    """Counts of (pair, context, word) of each token, each in training and set aside."""
+    codes = unsqueeze(r["codes"])
+    out = []
+    for words, pairs in zip(r["words"], r["pairs"]):
+        word = unsqueeze(words)
+        seen = word[codes]
+        before = np.empty_like(seen)
+        before[:1] = word[-1]
+        before[1:] = np.where(codes[:-1] == r["end"], word[-1], seen[:-1])
+        out.append((unsqueeze(pairs), before, seen))
+    return [x for pair in zip(*out) for x in pair]
+
+
 @dataclass(frozen=True)
 class Model:
     """Mixture weights of (pair, word, uniform) for each bucket of context counts, with the corpus totals."""
@@ -139,31 +218,17 @@ def score(docs: DataFrame, train, held) -> DataFrame:
     score mixes, by the count of the context in training, the share of the word after the context, the word's share of
     all training tokens and the uniform share 1 / (V + 1). The weights are learned on the ``held`` part of the training
     texts, with their counts deleted; the counts that score are those of all training texts. Words and pairs are
-    compared by 64-bit hashes. Counts travel as packed sorted arrays, one per stretch and range of keys, so a frequent word
+    compared by 55-bit hashes. Counts travel as packed sorted arrays, one per stretch and range of keys, so a frequent word
     costs one number a stretch. To the driver come totals and a histogram of a fixed number of cells.
     Null texts count as empty. Repeated rows are scored, and counted, once each. Without training texts the base is
     uniform over an empty vocabulary.
     """
     numbered = cut_lineage(coded(docs, train, held))
-    size = numbered.agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
-    answers = cut_lineage(gathered(ask(numbered, lambda group, c: [np.bincount(group, weights=v).astype(np.int64) for v in c], size[0])))
-    both = cut_lineage(numbered.select("batch", "docs", "lengths", "parts", "tokens", "before", "keys").join(answers, "batch"))
-
-    def opened(r):
-        keys = unpack_keys(r["keys"])
-        counts = read_answers(r["answers"], 2)
-        tokens, before = unpack_column(r["tokens"], np.uint64), unpack_column(r["before"], np.uint64)
-        at = [np.searchsorted(keys, k) for k in (pair_key(before, tokens), before, tokens)]
-        return tokens, before, [c[i] for i in at for c in counts], keys, counts
-
-    def words_only(parts):
-        for rows in parts:
-            for r in rows.to_pylist():
-                tokens, _, (_, _, _, _, c, _), _, _ = opened(r)
-                known = np.unique(tokens[c > 0]).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64))], names=["word"])
-
-    vocabulary = both.mapInArrow(words_only, "word long").distinct().count()
+    lengths = F.aggregate("lengths", F.lit(0).cast("long"), lambda x, y: x + y)
+    size = numbered.agg(F.coalesce(F.sum(lengths), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    answers = cut_lineage(ask(asked(numbered.select("batch", "lengths", "parts", "words", "codes")), _sum_keys, int(1.2 * size[0])))
+    vocabulary = int(answers.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0])
+    both = cut_lineage(with_counts(numbered, answers.select("batch", "range", "answers")))
     uniform = 1.0 / (vocabulary + 1)
     total = int(size[1])
 
@@ -173,7 +238,7 @@ def score(docs: DataFrame, train, held) -> DataFrame:
     def cells(parts):
         for rows in parts:
             for r in rows.to_pylist():
-                _, _, (p_all, p_held, c_all, c_held, w_all, w_held), _, _ = opened(r)
+                p_all, p_held, c_all, c_held, w_all, w_held = _opened(r)
                 flag = np.repeat(np.array(r["parts"]), r["lengths"]) & 2 > 0
                 pair, ctx, word = (p_all - p_held)[flag], (c_all - c_held)[flag], (w_all - w_held)[flag]
                 cell = (bucket(ctx) * STEPS + _ratio_cell(pair / np.maximum(ctx, 1) / uniform)) * STEPS + _ratio_cell(word / max(1, kept) / uniform)
@@ -186,7 +251,7 @@ def score(docs: DataFrame, train, held) -> DataFrame:
     def scored(parts):
         for rows in parts:
             for r in rows.to_pylist():
-                _, _, (pair, _, ctx, _, word, _), _, _ = opened(r)
+                pair, _, ctx, _, word, _ = _opened(r)
                 w = model.weights[bucket(ctx)]
                 p = w[:, 0] * pair / np.maximum(ctx, 1) + w[:, 1] * word / max(1, total) + w[:, 2] * uniform
                 base = np.log10((word + 1) / (total + vocabulary + 1))

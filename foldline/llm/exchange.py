@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Keys that one task should reduce at most.
 TASK_KEYS = 3_000_000
@@ -63,12 +62,12 @@ def dealt(batches: DataFrame, bits: int) -> DataFrame:
     return batches.select("batch", "keys", "columns").mapInArrow(deal, "range long, batch long, keys binary, columns array<binary>")
 
 
-def ask(batches: DataFrame, reduce: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]], total_keys: int) -> DataFrame:
-    """(batch, range, answers) for ``batches`` (batch, keys, columns): one row per batch, columns an array of packed int64 arrays.
+def ask(batches: DataFrame, reduce: Callable[[np.ndarray, list[np.ndarray]], tuple[list[np.ndarray], int]], total_keys: int) -> DataFrame:
+    """(batch, range, answers, total) for ``batches`` (batch, keys, columns): one row per batch, columns an array of packed int64 arrays.
 
     Keys of a batch are sorted and distinct. ``reduce(group, columns)`` gets the rows of all batches in one range of
-    keys, ``group`` numbering equal keys from 0, and returns arrays in the order of the groups. Each batch gets the
-    answers of its keys in the order of its keys. A key has at most one row per batch, however often it occurs, and
+    keys, ``group`` numbering equal keys from 0, and returns arrays in the order of the groups and a number to be summed over
+    all ranges (in ``total``). Each batch gets the answers of its keys in the order of its keys. A key has at most one row per batch, however often it occurs, and
     hashed keys spread evenly, so ranges are alike in size; their number follows ``total_keys``.
     """
 
@@ -76,23 +75,15 @@ def ask(batches: DataFrame, reduce: Callable[[np.ndarray, list[np.ndarray]], lis
         parts = [unpack_keys(k) for k in pdf["keys"]]
         _, group = np.unique(np.concatenate(parts), return_inverse=True)
         columns = [np.concatenate([unpack_column(c[i], np.int64) for c in pdf["columns"]]) for i in range(len(pdf["columns"].iloc[0]))]
-        found = reduce(group, columns)
+        found, total = reduce(group, columns)
         ends = np.cumsum([len(p) for p in parts])[:-1]
         split = [np.split(np.asarray(f, np.int64)[group], ends) for f in found]
-        return pd.DataFrame({"batch": pdf["batch"], "range": pdf["range"], "answers": [[pack_column(s[i]) for s in split] for i in range(len(parts))]})
+        rows = [[pack_column(s[i]) for s in split] for i in range(len(parts))]
+        return pd.DataFrame({"batch": pdf["batch"], "range": pdf["range"], "answers": rows, "total": [total, *[0] * (len(parts) - 1)]})
 
-    return dealt(batches, range_bits(total_keys)).groupBy("range").applyInPandas(answer, "batch long, range long, answers array<binary>")
+    return dealt(batches, range_bits(total_keys)).groupBy("range").applyInPandas(answer, "batch long, range long, answers array<binary>, total long")
 
 
-def gathered(answers: DataFrame) -> DataFrame:
-    """(batch, answers): the ranges of each batch in one row, as an array of (range, answers) structs."""
-    return answers.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("range", "answers"))).alias("answers"))
-
-
-def read_answers(rows: list, n: int) -> list[np.ndarray]:
-    """The n answer columns of one batch, aligned with its keys."""
-    found = [[] for _ in range(n)]
-    for r in rows:
-        for i in range(n):
-            found[i].append(unpack_column(r["answers"][i], np.int64))
-    return [np.concatenate(f) if f else np.zeros(0, np.int64) for f in found]
+def read_answers(answers: list, n: int) -> list[np.ndarray]:
+    """The n answer columns of one batch, aligned with its keys, from its answers in the order of the ranges."""
+    return [np.concatenate([unpack_column(a[i], np.int64) for a in answers]) if len(answers) else np.zeros(0, np.int64) for i in range(n)]
