@@ -11,32 +11,39 @@ from pyspark.sql import functions as F
 
 from foldline.llm.common import slices
 from foldline.llm.exchange import dealt, pack_column, pack_keys, range_bits, unpack_column, unpack_keys
-from foldline.session import cut_lineage
+from foldline.session import cut_lineage, discard
 
 #: Only repeated stretches of at least this many bytes are cut out (about twenty words).
 MIN_BYTES = 110
-#: Windows of one packed row.
-BATCH_WINDOWS = 1_000_000
+#: Chunks of one packed row, and the usual bytes from one boundary to the next.
+BATCH_CHUNKS, CHUNK_BYTES = 1_000_000, 25
+#: Bits of the filter for each repeated chunk: one in so many other chunks passes it by mistake.
+FILTER_ROOM = 32
 #: Largest size of the filter of repeated chunks, as a logarithm of bits: 32 MB.
 MOST_FILTER_BITS = 28
 
 _FACTOR = np.uint64(0xD1342543DE82EF95)
 _LETTERS = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOCK = 1 << 16
+_GAP = b"\n\n"
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the factor and of its inverse modulo 2^64."""
-    inverse = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
-    out = []
-    for f in (_FACTOR, inverse):
-        steps = np.full(_BLOCK + 1, f, np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64))
-    return out[0], out[1]
+class Powers:
+    """Powers of the factor and of its inverse modulo 2^64, as far as the longest text so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            out = []
+            for f in (int(_FACTOR), pow(int(_FACTOR), -1, 1 << 64)):
+                steps = np.full(max(n, 1 << 20), f, np.uint64)
+                steps[0] = 1
+                out.append(np.cumprod(steps, dtype=np.uint64))
+            self.up, self.down = out
+        return self.up[:n], self.down
 
 
-_UP, _DOWN = _powers()
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -46,57 +53,57 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _power(table: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """table[1] to the powers n, beyond the table too."""
-    small, large = n % _BLOCK, n // _BLOCK
-    out = table[small]
-    while (large > 0).any():
-        step = np.uint64(pow(int(table[1]), _BLOCK, 1 << 64))
-        out = np.where(large > 0, out * step, out)
-        large = large - 1
-    return out
-
-
-def windows(data: bytes, fold: int = 2, divisor: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of the overlapping multi-line chunks of a text in UTF-8, end exclusive.
+def spans(texts: list[bytes], powers: Powers, fold: int = 2, divisor: int = 2) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, first byte of each text in it, text, start, end, hash): the spans of lines between boundaries, end exclusive.
 
     Lines end at a newline; a long line is folded after every word whose hash is a multiple of ``fold``, so that text
     without newlines behaves alike. A rolling hash over two consecutive line hashes sets a boundary where it is a multiple
-    of ``divisor``: boundaries follow the content and come back after any insertion. A chunk goes from a boundary to
-    the next but one.
+    of ``divisor``: boundaries follow the content and come back after any insertion. Words are parted by ASCII white
+    space. Texts are joined, so that one pass serves many; no line or span crosses from one to the next.
     """
+    data = _GAP.join(texts) + _GAP
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + len(_GAP)
+    begin = np.cumsum(size) - size
     a = np.frombuffer(data, np.uint8)
     word = ~_SPACE[a]
-    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if len(a) and word[0]:
+        edge = np.append(0, edge)
+    start, end = edge[::2], edge[1::2]
     if not len(start):
-        return start, end, np.zeros(0, np.uint64)
-    if len(a) <= _BLOCK:
-        up = _UP[: len(a)]
-    else:
-        up = _power(_UP, np.arange(len(a)))
+        empty = np.zeros(0, np.int64)
+        return data, begin, empty, empty, empty, np.zeros(0, np.uint64)
+    up, down = powers(len(a) + 1)
     total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_LETTERS[a] * up, out=total[1:])
+    np.cumsum(_LETTERS[a] * up[:-1], out=total[1:])
 
     def hashes(s, e):
-        return _mix((total[e] - total[s]) * (_DOWN[s] if len(a) <= _BLOCK else _power(_DOWN, s)) + (e - s).astype(np.uint64))
+        return _mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
 
-    newline = np.cumsum(np.append(0, a == 10))
-    breaks = newline[np.append(start[1:], len(a))] > newline[end]
+    text = np.searchsorted(begin, start, side="right") - 1
+    newline = np.flatnonzero(a == 10)
+    after = np.append(newline, len(a))[np.searchsorted(newline, end)]  # the first newline after each word
+    breaks = after < np.append(start[1:], len(a))
     breaks |= hashes(start, end) % np.uint64(fold) == 0
     breaks[-1] = True
     last = np.flatnonzero(breaks)
     first = np.append(0, last[:-1] + 1)
     line = hashes(start[first], end[last])
-    rolling = _mix(np.append(np.uint64(0), line[:-1]) * _FACTOR + line)
-    cut = rolling % np.uint64(divisor) == 0
-    cut[-1] = True
+    of = text[first]
+    before = np.append(np.uint64(0), line[:-1])
+    before[np.append(True, of[1:] != of[:-1])] = 0
+    cut = _mix(before * _FACTOR + line) % np.uint64(divisor) == 0
+    cut[np.append(of[1:] != of[:-1], True)] = True
     stop = np.flatnonzero(cut)
-    s = start[first[np.append(0, stop[:-1] + 1)]]
-    e = end[last[stop]]
-    if len(s) > 1:
-        s, e = s[:-1], e[1:]
-    return s, e, hashes(s, e)
+    s, e = start[first[np.append(0, stop[:-1] + 1)]], end[last[stop]]
+    return data, begin, of[stop], s, e, hashes(s, e)
+
+
+def chunk_keys(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hash of the chunk that begins with each span: this span and the next of the same text; the last one alone."""
+    after = np.append(h[1:], np.uint64(0))
+    after[np.append(text[1:] != text[:-1], True)] = 0
+    return _mix(h * _FACTOR + after)
 
 
 def _long_runs(start: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
@@ -110,40 +117,39 @@ def _long_runs(start: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
     return (size >= least)[run]
 
 
-def _packed_windows(docs: DataFrame) -> DataFrame:
-    """One row per stretch of texts: (batch, keys, columns [occurrences], n_keys)."""
+def _packed_chunks(docs: DataFrame) -> DataFrame:
+    """One row per stretch of texts: (batch, keys, columns [occurrences])."""
 
     def run(batches):
-        base, made, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        base, made, held, size, powers = TaskContext.get().partitionId() << 32, 0, [], 0, Powers()
 
         def flush():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + made]), pa.array([pack_keys(keys)], pa.binary()), pa.array([[pack_column(n.astype(np.int64))]], pa.list_(pa.binary())), pa.array([len(keys)])],
-                names=["batch", "keys", "columns", "n_keys"],
+                [pa.array([base + made]), pa.array([pack_keys(keys)], pa.binary()), pa.array([[pack_column(n.astype(np.int64))]], pa.list_(pa.binary()))], names=["batch", "keys", "columns"]
             )
 
         for rows in slices(batches):
-            for text in rows.column(0).to_pylist():
-                held.append(windows(text)[2])
-                size += len(held[-1])
-                if size >= BATCH_WINDOWS:
-                    yield flush()
-                    made, held, size = made + 1, [], 0
+            _, _, text, _, _, h = spans(rows.column(0).to_pylist(), powers)
+            held.append(chunk_keys(text, h))
+            size += len(h)
+            if size >= BATCH_CHUNKS:
+                yield flush()
+                made, held, size = made + 1, [], 0
         if size:
             yield flush()
 
-    return docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(run, "batch long, keys binary, columns array<binary>, n_keys long")
+    return docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(run, "batch long, keys binary, columns array<binary>")
 
 
 def repeated_filter(docs: DataFrame) -> tuple[np.ndarray, int]:
     """(bitmap, bits): places of all chunk hashes that occur more than once, by their top bits.
 
     The bitmap has some bits for each repeated chunk and never more than 2^MOST_FILTER_BITS; where it fills up, more chunks
-    pass on to the byte comparison, none is lost.
+    pass on to the byte comparison, none is lost: a cut may then reach over a span more that an earlier text holds, too.
     """
-    packed = cut_lineage(_packed_windows(docs))
-    ranges = range_bits(packed.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0])
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = range_bits(total // CHUNK_BYTES)
 
     def repeats(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([unpack_keys(k) for k in pdf["keys"]])
@@ -152,9 +158,9 @@ def repeated_filter(docs: DataFrame) -> tuple[np.ndarray, int]:
         again = uniq[np.bincount(at, weights=n) > 1]
         return pd.DataFrame({"range": [int(pdf["range"].iloc[0])], "n": [len(again)], "keys": [pack_keys(again)]})
 
-    found = cut_lineage(dealt(packed, ranges).groupBy("range").applyInPandas(repeats, "range long, n long, keys binary"))
+    found = cut_lineage(dealt(_packed_chunks(docs), ranges).groupBy("range").applyInPandas(repeats, "range long, n long, keys binary"))
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = int(min(MOST_FILTER_BITS, max(ranges + 6, np.ceil(np.log2(16 * total + 64)))))
+    bits = int(min(MOST_FILTER_BITS, max(ranges + 6, np.ceil(np.log2(FILTER_ROOM * total + 64)))))
     each = 1 << (bits - ranges)  # bits of one range
 
     def mark(parts):
@@ -173,8 +179,9 @@ def repeated_filter(docs: DataFrame) -> tuple[np.ndarray, int]:
 def repeated_spans(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """(key, spans): byte spans of each row's text that repeat a chunk of an earlier document, or an earlier place of its own.
 
-    key is a hash of doc_id and text. Chunks are compared as bytes: equal texts are grouped, the one in the smallest doc_id and
-    there at the first place stays. Merged spans are at least ``least`` bytes long. Documents without doc_id come after
+    key is a hash of doc_id and text. Chunks of two spans are looked up by hash among those that occur more than once; the
+    spans of long runs of such chunks are then compared as bytes (if spans of one hash differ, none of them is cut). The
+    one in the smallest doc_id and there at the first place stays. Merged spans are at least ``least`` bytes long. Documents without doc_id come after
     all others and keep what only they share; so do different texts under one doc_id at equal places.
     """
     flags, bits = repeated_filter(docs)
@@ -182,31 +189,38 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     names = ["key", "place", "start", "end", "hash", "piece"]
 
     def run(batches):
-        table = bitmap.value
+        table, powers = bitmap.value, Powers()
         for rows in slices(batches):
-            out = []
-            for key, doc, data in zip(*(c.to_pylist() for c in rows.columns)):
-                s, e, h = windows(data)
-                at = (h >> np.uint64(64 - bits)).astype(np.int64)
-                hit = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-                s, e, h = s[hit], e[hit], h[hit]
-                keep = _long_runs(s, e, least)
-                out += [(key, doc, a, b, x, data[a:b]) for a, b, x in zip(s[keep].tolist(), e[keep].tolist(), h[keep].view(np.int64).tolist())]
-            if out:
-                kinds = [pa.int64()] * 5 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out), kinds)], names=names)
+            data, begin, text, s, e, h = spans(rows.column(2).to_pylist(), powers)
+            at = (chunk_keys(text, h) >> np.uint64(64 - bits)).astype(np.int64)
+            hit = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            hit[1:] |= hit[:-1] & (text[1:] == text[:-1])  # both spans of a chunk
+            text, s, e, h = text[hit], s[hit], e[hit], h[hit]
+            keep = _long_runs(s, e, least)
+            text, s, e, h = text[keep], s[keep], e[keep], h[keep]
+            if len(s):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.column(0).take(pa.array(text)), rows.column(1).take(pa.array(text)), pa.array(s - begin[text]), pa.array(e - begin[text]),
+                        pa.array(h.view(np.int64)), pa.array([data[a:b] for a, b in zip(s.tolist(), e.tolist())], pa.binary()),
+                    ],
+                    names=names,
+                )
 
     d = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), F.encode("text", "UTF-8").alias("text"))
     seen = cut_lineage(d.filter("text IS NOT NULL").mapInArrow(run, "key long, place long, start long, end long, hash long, piece binary"))
     here = F.struct("place", "start")
-    first = cut_lineage(seen.groupBy("hash", "piece").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first <> last").drop("last"))
-    again = seen.join(first, ["hash", "piece"]).filter(here > F.col("first"))
-    return again.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    first = seen.groupBy("hash").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.min("piece").alias("low"), F.max("piece").alias("high"))
+    first = cut_lineage(first.filter("first <> last AND low = high").select("hash", "first"))
+    again = seen.drop("piece").join(first, "hash").filter(here > F.col("first"))
+    out = cut_lineage(again.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    discard(seen, first)
+    return out
 
 
-def cut_out(data: bytes, spans: list, least: int = MIN_BYTES) -> tuple[bytes, int]:
+def cut_out(data: bytes, cuts: list, least: int = MIN_BYTES) -> tuple[bytes, int]:
     """Text without the merged spans of at least ``least`` bytes and the white space after them; how many were cut."""
-    s, e = (np.array([r[k] for r in spans], np.int64) for k in ("start", "end"))
+    s, e = (np.array([r[k] for r in cuts], np.int64) for k in ("start", "end"))
     keep = _long_runs(s, e, least)
     out, at, n = b"", 0, 0
     for a, b in zip(s[keep].tolist(), e[keep].tolist()):
@@ -227,19 +241,19 @@ def dedup_lines(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     The first occurrence stays, see :func:`repeated_spans`. Every row stays, too: of whole copies an empty text is left.
     Rows with equal doc_id and text count as one document and stay alike. Null texts stay null.
     """
-    spans = cut_lineage(repeated_spans(docs, least)).withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans")
+    found = repeated_spans(docs, least).withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans")
     names = docs.columns
-    both = docs.withColumn("__own", F.xxhash64("doc_id", "text")).join(spans, F.col("__own") == F.col("__key"), "left")
+    both = docs.withColumn("__own", F.xxhash64("doc_id", "text")).join(found, F.col("__own") == F.col("__key"), "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", cut_runs long"
     at = names.index("text")
 
     def run(batches):
         for rows in slices(batches):
             texts, runs = rows.column(at).to_pylist(), []
-            for i, found in enumerate(rows.column(len(names)).to_pylist()):
+            for i, cuts in enumerate(rows.column(len(names)).to_pylist()):
                 n = 0
-                if found:
-                    data, n = cut_out(texts[i].encode(), found, least)
+                if cuts:
+                    data, n = cut_out(texts[i].encode(), cuts, least)
                     texts[i] = data.decode()
                 runs.append(n)
             columns = [pa.array(texts, pa.string()) if j == at else rows.column(j) for j in range(len(names))]

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from foldline.llm import toxicity
+from foldline.llm import line_dedup, toxicity
 from foldline.llm.queries import TOXIC_SCORE
 from foldline.session import cut_lineage
 from tests.llm.helpers import SF, components, docs_frame, slow_simhash, spark_rows
@@ -8,8 +8,9 @@ from tests.llm.test_line_dedup import slow_dedup
 from tests.llm.test_packing import check_layout, slow_best_fit
 
 
-def test_stages_equal_brute_force(spark):
+def test_stages_equal_brute_force(spark, monkeypatch):
     """Every stage on the rows that the stage before has kept, against its twin."""
+    monkeypatch.setattr(line_dedup, "FILTER_ROOM", 1 << 13)
     stage = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
