@@ -79,14 +79,15 @@ def audit_alignment(frame: DataFrame, locked: DataFrame, key: str, fields: Seque
 
 
 def sync_scores(ledger: DataFrame, feed: DataFrame, file: str, feed_file: str, seq: str, score: str = "publicScore", extra: Sequence[str] = ()) -> DataFrame:
-    """Ledger rows take score and extra fields of the last feed row of their file, if its score parses."""
+    """Ledger rows take score and extra fields of the last feed row of their file, if its score parses; the others stay as they are."""
     last = feed.groupBy(F.col(feed_file).alias(file)).agg(
         F.max_by(F.struct(F.col(score).alias("s"), *[F.col(c) for c in extra]), F.col(seq)).alias("__f")
     )
     parsed = F.col("__f.s").try_cast("double")
     hit = parsed.isNotNull()
     out = ledger.join(last, file, "left").withColumn("lb_score", F.coalesce(parsed, F.col("lb_score")))
-    out = out.withColumns({c: F.when(hit, F.col(f"__f.{c}")) for c in extra} | {"synced": hit})
+    own = {c: F.col(c) if c in ledger.columns else F.lit(None) for c in extra}
+    out = out.withColumns({c: F.when(hit, F.col(f"__f.{c}")).otherwise(own[c]) for c in extra} | {"synced": hit})
     return out.drop("__f")
 
 

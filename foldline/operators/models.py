@@ -268,11 +268,11 @@ def cross_validate(
     return CvResult(parts, scores, models, dict(zip(cols, map(float, gains))), float(values.mean()), float(values.std()))
 
 
-def clean_train(df: DataFrame, y: str, order: Sequence[str], cols: Sequence[str], top_k: int, threshold: float, make, k: int = 5, sample_rows: int = 80_000) -> tuple[CvResult, list[str]]:
+def clean_train(df: DataFrame, y: str, order: Sequence[str], cols: Sequence[str], top_k: int, threshold: float, make, k: int = 5) -> tuple[CvResult, list[str]]:
     """Drop constant columns, keep the best correlated, drop near duplicates, then boost on chained folds."""
     gone = {r["column"] for r in constant_columns(df, cols).filter("constant").collect()}
     ranked = [r["column"] for r in top_corr_features(df, y, top_k, [c for c in cols if c not in gone]).collect()]
-    keep = drop_correlated(df, ranked, threshold, sample_rows)
+    keep = drop_correlated(df, ranked, threshold)
     split = time_series_split(df.select(*dict.fromkeys([*order, y, *keep])), order, k)
     return cross_validate(split, y, keep, "fold", make, metric="pearson", chained=True), keep
 

@@ -90,6 +90,46 @@ def _product_sums_batched(df: DataFrame, cols: Sequence[str], by: list[str], wei
     return cells.groupBy(*by).agg(*agg) if by else cells.agg(*agg)
 
 
+PAIR_FIELDS = ("n", "xy", "x", "y", "xx", "yy")
+
+
+def pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(i, j, n, xy, x, y, xx, yy)`` for every pair of columns i < j, over the rows in which both are present.
+
+    Products of ``[x * m, x^2 * m, m]`` with the null masks ``m``: one scan for any number of columns, one matrix product
+    per Arrow batch, sums per task, then a distributed sum per pair. NaN counts as missing. Columns must be doubles,
+    shifted near their means. Pairs without a common row have ``n = 0``; an empty table gives no rows.
+    """
+    p = len(cols)
+    a, b = (v.astype(np.int32) for v in np.triu_indices(p, 1))
+    lean = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("__x"))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = batch.column("__x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, p)
+            m = ~np.isnan(x)
+            x, m = np.where(m, x, 0.0), m.astype(float)
+            n, xy, xm, qm = m.T @ m, x.T @ x, x.T @ m, (x * x).T @ m
+            found = np.stack([n[a, b], xy[a, b], xm[a, b], xm[b, a], qm[a, b], qm[b, a]])
+            sums = found if sums is None else sums + found
+        if sums is not None and len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *map(pa.array, sums)], names=["i", "j", *PAIR_FIELDS])
+
+    parts = lean.mapInArrow(partial, "i int, j int, " + ", ".join(f"{f} double" for f in PAIR_FIELDS))
+    return parts.groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in PAIR_FIELDS])
+
+
+def pair_correlation() -> Column:
+    """Correlation from the columns of :func:`pair_sums`; null where either column is constant on the common rows."""
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    cov = F.col("xy") - F.col("x") * F.col("y") / n
+    vx, vy = F.col("xx") - F.col("x") * F.col("x") / n, F.col("yy") - F.col("y") * F.col("y") / n
+    return F.when((vx > 1e-12 * F.col("xx")) & (vy > 1e-12 * F.col("yy")), cov / F.sqrt(vx * vy))
+
+
 def unpack(g: Sequence[float], p: int) -> np.ndarray:
     """Symmetric matrix from an upper triangle stored row by row."""
     out = np.zeros((p, p))
@@ -110,5 +150,5 @@ def centred(m: np.ndarray) -> np.ndarray:
 
 def shift_to_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Subtract column means first, so that later sums of products do not cancel."""
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    means = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in cols]).first()
     return df.withColumns({c: F.col(c).cast("double") - F.lit(float(means[c] or 0.0)) for c in cols})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foldline.operators.moments import product_sums, scalar_stats, shift_to_means
+from foldline.operators.moments import pair_correlation, pair_sums, scalar_stats, shift_to_means
 from foldline.operators.ranks import exact_quantiles
 from foldline.roles import columns_of_kind, kind, numeric_cols
 
@@ -193,48 +193,14 @@ def distribution_shift(train: DataFrame, test: DataFrame, threshold: float = 1.0
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Long ``(a, b, corr)`` for a before b, over rows in which both are present.
 
-    Column pairs are formed on the aggregated statistics, never on rows.
+    One scan, with or without nulls; pairs are formed on the aggregated statistics, never on rows.
     """
     cols = list(cols)
-    named = {c: f"c{i}" for i, c in enumerate(cols)}
-    lean = df.select(*[F.col(c).cast("double").alias(named[c]) for c in cols])
-    has_null = df.agg(*[F.max(F.col(c).isNull()).alias(named[c]) for c in cols]).first()
-    if not any(has_null):
-        grams = product_sums(shift_to_means(lean, list(named.values())), list(named.values()))
-        return _pairs_from_triangle(grams, cols)
-    cells = {}
-    for i, a in enumerate(cols):
-        for b in cols[i + 1 :]:
-            cells[f"{a}\0{b}"] = {"a": F.lit(a), "b": F.lit(b), "corr": F.corr(F.col(named[a]), F.col(named[b]))}
-    return _long(lean, cells).select("a", "b", "corr")
-
-
-def _pairs_from_triangle(grams: DataFrame, cols: list[str]) -> DataFrame:
-    p = len(cols) + 1
-    at = {}
-    k = 0
-    for i in range(p):
-        for j in range(i, p):
-            at[(i, j)] = k
-            k += 1
-    g = lambda i, j: F.element_at("g", at[(i, j)] + 1)
-    pairs = [(i, j) for i in range(1, p) for j in range(i + 1, p)]
-    ids = F.array(
-        *[
-            F.struct(
-                F.lit(cols[i - 1]).alias("a"), F.lit(cols[j - 1]).alias("b"), F.lit(at[(i, j)] + 1).alias("ij"),
-                F.lit(at[(i, i)] + 1).alias("ii"), F.lit(at[(j, j)] + 1).alias("jj"), F.lit(at[(0, i)] + 1).alias("oi"),
-                F.lit(at[(0, j)] + 1).alias("oj"),
-            )
-            for i, j in pairs
-        ]
-    )
-    e = lambda c: F.element_at("g", F.col(c))
-    rows = grams.withColumn("s0", g(0, 0)).select("g", "s0", F.inline(ids))
-    cov = e("ij") - e("oi") * e("oj") / F.col("s0")
-    va = e("ii") - e("oi") * e("oi") / F.col("s0")
-    vb = e("jj") - e("oj") * e("oj") / F.col("s0")
-    return rows.select("a", "b", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("corr"))
+    named = [f"c{i}" for i in range(len(cols))]
+    lean = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, named)])
+    names = F.array(*[F.lit(c) for c in cols])
+    pairs = pair_sums(shift_to_means(lean, named), named)
+    return pairs.select(F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), pair_correlation().alias("corr"))
 
 
 def widest_columns(df: DataFrame, k: int = 30) -> list[str]:

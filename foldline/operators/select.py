@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldline.operators.moments import centred, collect_moments, shift_to_means
+from foldline.operators.moments import pair_correlation, pair_sums, shift_to_means
 from foldline.operators.profile import _long, corr_to_target
 from foldline.operators.ranks import exact_quantiles
 from foldline.roles import Roles
@@ -46,28 +45,20 @@ def top_corr_features(df: DataFrame, y: str, k: int, cols: Sequence[str] | None
     return top.unionByName(extra)
 
 
-def correlated_columns(df: DataFrame, cols: Sequence[str], threshold: float, sample_rows: int | None = None, seed: int = 42) -> list[str]:
+def correlated_columns(df: DataFrame, cols: Sequence[str], threshold: float) -> list[str]:
     """Columns with an earlier column (dropped or not) above the absolute correlation threshold.
 
-    The statistics are p x p; rows stay on the executors. ``sample_rows`` bounds the rows used, as the
-    measure is a screening heuristic.
+    Each pair is judged on the rows in which both columns are present, over all rows in one scan; only the names of
+    dropped columns come to the driver.
     """
     cols = list(cols)
-    lean = df.select(*cols)
-    if sample_rows is not None:
-        total = lean.agg(F.count("*")).first()[0]
-        if total > sample_rows:
-            lean = lean.sample(fraction=sample_rows / total, seed=seed)
-    moments = collect_moments(shift_to_means(lean, cols), cols)
-    c = centred(moments[()][1])
-    sd = np.sqrt(np.diag(c))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.abs(c / np.outer(sd, sd))
-    return [cols[j] for j in range(len(cols)) if j and np.nanmax(np.append(r[:j, j], -1.0)) > threshold]
-
-
-def drop_correlated(df: DataFrame, cols: Sequence[str], threshold: float, sample_rows: int | None = None) -> list[str]:
-    gone = set(correlated_columns(df, cols, threshold, sample_rows))
+    pairs = pair_sums(shift_to_means(df.select(*cols), cols), cols)
+    gone = {r["j"] for r in pairs.filter(F.abs(pair_correlation()) > threshold).select("j").distinct().collect()}
+    return [c for j, c in enumerate(cols) if j in gone]
+
+
+def drop_correlated(df: DataFrame, cols: Sequence[str], threshold: float) -> list[str]:
+    gone = set(correlated_columns(df, cols, threshold))
     return [c for c in cols if c not in gone]
 
 

@@ -287,6 +287,43 @@ def near_duplicate_columns(spark, sf_dir):
     return P._long(li, {c: {"n": F.count(c)} for c in li.columns}).select("column", F.col("column").isin(*gone).alias("dropped"))
 
 
+# Scattered nulls: no row has all columns, every pair has common rows.
+@query(
+    "B5",
+    """WITH e AS (SELECT l_quantity AS a, CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity * 2 + l_tax END AS b, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS c, CASE WHEN l_orderkey % 3 <> 1 THEN l_discount END AS d, CASE WHEN l_linenumber % 2 = 1 THEN l_quantity + l_tax END AS e FROM lineitem),
+       r AS (SELECT 'b' AS later, corr(a, b) AS r FROM e UNION ALL SELECT 'c', corr(a, c) FROM e UNION ALL SELECT 'c', corr(b, c) FROM e UNION ALL SELECT 'd', corr(a, d) FROM e UNION ALL SELECT 'd', corr(b, d) FROM e UNION ALL SELECT 'd', corr(c, d) FROM e
+         UNION ALL SELECT 'e', corr(a, e) FROM e UNION ALL SELECT 'e', corr(b, e) FROM e UNION ALL SELECT 'e', corr(d, e) FROM e)
+       SELECT 'a' AS "column", false AS dropped UNION ALL SELECT later, max(abs(r)) > 0.95 FROM r GROUP BY later""",
+)
+def near_duplicate_columns_with_nulls(spark, sf_dir):
+    q, key, line = F.col("l_quantity"), F.col("l_orderkey"), F.col("l_linenumber")
+    li = table(spark, sf_dir, "lineitem").select(
+        q.alias("a"), F.when(key % 3 != 0, q * 2 + F.col("l_tax")).alias("b"), F.when(line % 2 == 0, q).alias("c"),
+        F.when(key % 3 != 1, F.col("l_discount")).alias("d"), F.when(line % 2 == 1, q + F.col("l_tax")).alias("e"),
+    )
+    gone = S.correlated_columns(li, li.columns, 0.95)
+    return P._long(li, {c: {"n": F.count("*")} for c in li.columns}).select("column", F.col("column").isin(*gone).alias("dropped"))
+
+
+_WIDE = [f"w{k}" for k in range(1, 65)]
+_WIDE_EXPR = [
+    f"CASE WHEN (l_orderkey + 3 * l_linenumber + {k}) % 7 <> 0 THEN l_quantity * {k % 5} + l_extendedprice / 1000 * {k % 3} + l_discount * {10 * (k % 7)} + l_tax * {100 + k % 2} END AS w{k}"
+    for k in range(1, 65)
+]
+_WIDE_PAIRS = [(a, b) for i, a in enumerate(_WIDE) for b in _WIDE[i + 1 :]]
+
+
+@query(
+    "D8",
+    f"""SELECT unnest([{', '.join(f"'{a}'" for a, _ in _WIDE_PAIRS)}]) AS a, unnest([{', '.join(f"'{b}'" for _, b in _WIDE_PAIRS)}]) AS b, unnest([{', '.join(f'round(corr({a}, {b}), 6)' for a, b in _WIDE_PAIRS)}]) AS corr
+    FROM (SELECT {', '.join(_WIDE_EXPR)} FROM lineitem)""",
+)
+def wide_correlation_matrix_with_nulls(spark, sf_dir):
+    """64 columns of which each row misses some: one scan for all 2016 pairs."""
+    li = table(spark, sf_dir, "lineitem")
+    return rounded(P.corr_matrix(li.selectExpr(*_WIDE_EXPR), _WIDE))
+
+
 @query(
     "B8",
     """WITH q AS (SELECT quantile_cont(l_extendedprice, 0.01) lo, quantile_cont(l_extendedprice, 0.99) hi FROM lineitem)

@@ -121,7 +121,7 @@ def _streams_sql(outer: str) -> str:
     r AS (SELECT n.*, dx / sx AS cx, dy / sy AS cy, sqrt((dx / sx) ** 2 + (dy / sy) ** 2) AS dist FROM n JOIN sc USING (entity, row_index)),
     k AS (SELECT *, 1 / greatest(dist, 1e-6) AS iw FROM (SELECT *, row_number() OVER (PARTITION BY entity, row_index ORDER BY dist, did) AS k FROM r) WHERE k <= 10),
     w AS (SELECT *, iw / sum(iw) OVER (PARTITION BY entity, row_index) AS w FROM k),
-    m AS (SELECT entity, row_index, sum(w * cx * cx) + 1e-8 AS a, sum(w * cx * cy) AS b, sum(w * cy * cy) + 1e-8 AS c, sum(w * cx) AS d, sum(w * cy) AS e, {', '.join(f'sum(w * cx * {s}) AS p_{s}, sum(w * cy * {s}) AS q_{s}, sum(w * {s}) AS r_{s}' for s in FS)} FROM w GROUP BY ALL),
+    m AS (SELECT entity, row_index, sum(w * cx * cx) + CASE WHEN count(*) = 10 THEN 1e-8 END AS a, sum(w * cx * cy) AS b, sum(w * cy * cy) + 1e-8 AS c, sum(w * cx) AS d, sum(w * cy) AS e, {', '.join(f'sum(w * cx * {s}) AS p_{s}, sum(w * cy * {s}) AS q_{s}, sum(w * {s}) AS r_{s}' for s in FS)} FROM w GROUP BY ALL),
     p AS (SELECT entity, row_index, unnest([{', '.join(f"'{s}'" for s in FS)}]) AS surface, unnest([{', '.join(f'(p_{s} * (b * e - c * d) + q_{s} * (b * d - a * e) + r_{s} * (a * c - b * b)) / (d * (b * e - c * d) + e * (b * d - a * e) + (a * c - b * b))' for s in FS)}]) AS level FROM m),
     l AS (SELECT p.*, u.back, u.tvt, u.z FROM p JOIN u USING (entity, row_index)),
     lv AS (SELECT entity, surface, median(CASE WHEN back BETWEEN 11 AND 30 THEN tvt + z - level END) AS cal, median(CASE WHEN back BETWEEN 1 AND 25 THEN tvt + z - level END) AS bias FROM l WHERE back BETWEEN 1 AND 30 GROUP BY ALL),
@@ -158,3 +158,39 @@ def prefix_positions(spark, sf_dir):
     return SP.prefix_windows(entities(spark, sf_dir), "seen", "entity", ["row_index"]).select("entity", "row_index", "back")
 
 
+
+
+# Donors that cannot carry a plane: each group of queries is refused for its own reason, by both searches alike.
+_REFUSED = """SELECT vec_id, how, CASE vec_id % 4 WHEN 0 THEN 'non_finite_query' WHEN 1 THEN 'few_donors' WHEN 2 THEN 'degenerate_scale' END AS reason,
+    CASE WHEN vec_id % 4 = 3 THEN 10 ELSE 0 END::BIGINT AS donors, vec_id % 4 = 3 AS predicted FROM embeddings, (VALUES ('tasks'), ('grid')) AS t(how)"""
+
+
+@query("L9 C11", _REFUSED)
+def degenerate_donors(spark, sf_dir):
+    """Folds 0 and 1 hold ordinary donors, fold 2 four of them, fold 3 donors in one vertical line."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(("x", "y", "s1"))])
+    k = F.col("vec_id") % 4
+    good = e.filter("vec_id % 4 = 3")
+    line = e.filter("vec_id % 4 = 2").select("vec_id", F.lit(0.25).alias("x"), "y", "s1")
+    few = e.filter("vec_id % 4 = 1").orderBy("vec_id").limit(4)
+    out = None
+    for how, limit in (("tasks", SP.BROADCAST_DONORS), ("grid", 0)):
+        for donors, kind in ((good, 3), (line, 2), (few, 1), (good, 0)):
+            q = e.filter(k == kind).withColumn("x", F.when(k != 0, F.col("x")))
+            got = SP.local_plane(q, donors, ["vec_id"], ["s1"], 10, qid="vec_id", did="vec_id", x="x", y="y", broadcast_donors=limit)
+            part = got.select("vec_id", F.lit(how).alias("how"), "reason", F.size("near").cast("long").alias("donors"), F.col("s1").isNotNull().alias("predicted"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("L10", f"SELECT count(*) AS rows, count(*) FILTER (WHERE entity % 3 = 0) AS bare, 0::BIGINT AS bare_predicted FROM {_MAP} WHERE tvt IS NULL OR entity % 3 = 0")
+def surface_streams_without_prefix(spark, sf_dir):
+    """Every third entity has no observed row: its suffix rows stay, without predictions."""
+    rows, donors = _map(spark, sf_dir)
+    rows = rows.withColumn("tvt", F.when(F.col("entity") % 3 != 0, F.col("tvt")))
+    marked = SP.prefix_windows(rows, "tvt", "entity", ["row_index"]).filter("back IS NULL OR back <= 30")
+    planes = SP.local_plane(marked, donors, ["entity", "row_index"], FS, qid="entity", did="entity", x="x", y="y", qfold="fold", dfold="fold")
+    bare = F.col("entity") % 3 == 0
+    return SP.surface_streams(planes, ["entity"], "row_index", "back", "tvt", "z", FS, **WINDOWS).agg(
+        F.count("*").alias("rows"), F.count_if(bare).alias("bare"), F.count_if(bare & (F.col("plane_first").isNotNull() | F.col("plane_best").isNotNull())).alias("bare_predicted")
+    )
