@@ -41,8 +41,8 @@ HEADLINE = (
     "nearest_donors",
     "local_plane_regression",
     "ridge_two_features",
-    "beam_alignment",
-    "particle_filter",
+    "wide_correlation_matrix_with_nulls",
+    "near_duplicate_columns_with_nulls",
 )
 
 

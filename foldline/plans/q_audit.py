@@ -49,15 +49,25 @@ def submission_coverage(spark, sf_dir):
     return submission_audit(template, sub, "id", "prediction")
 
 
-@query("M2", f"SELECT count(*) AS changed FROM {ENTITY_SQL} WHERE false")
+@query("M2", f"SELECT 'honest' AS features, 0::BIGINT AS changed UNION ALL SELECT 'leaking', 2 * count(*) FROM {ENTITY_SQL} WHERE seen IS NULL AND entity % 3 = 0")
 def target_independence(spark, sf_dir):
+    """The hidden suffix of the target moves: features of the observed prefix must not, a planted leak must be found."""
     e = entities(spark, sf_dir)
+    moved = e.withColumn("truth", F.when(F.col("seen").isNull(), F.col("truth") * -3 + 1).otherwise(F.col("truth")))
 
-    def features(df):
-        return W.rate_of_change(df, ["z", "gr"], "md", ["row_index"], ["entity"])
+    def honest(df):
+        f = W.rate_of_change(df, ["z", "gr"], "md", ["row_index"], ["entity"])
+        f = W.gap_features(f, "seen", "md", ["row_index"], ["entity"])
+        return W.anchor_features(f, "seen", ["md", "z"], "entity", ["row_index"])
 
-    moved = e.withColumn("truth", F.col("truth") * -3 + 1)
-    return A.target_independence(features, e, moved, ["entity", "row_index", "z_rate", "gr_rate"]).agg(F.count("*").alias("changed"))
+    def leaking(df):
+        return df.withColumn("ahead", F.when(F.col("entity") % 3 == 0, F.col("truth") + F.col("z")))
+
+    out = None
+    for name, fn, cols in (("honest", honest, ["z_rate", "gr_rate", "since_prev", "md_since_anchor", "prefix_mean", "prefix_std"]), ("leaking", leaking, ["ahead"])):
+        part = A.target_independence(fn, e, moved, ["entity", "row_index", *cols]).agg(F.count("*").alias("changed")).select(F.lit(name).alias("features"), "changed")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _BAD = f"(SELECT *, CASE WHEN entity % 10 = 1 AND row_index = 3 THEN NULL ELSE seen END AS s2, CASE WHEN entity % 10 = 2 AND row_index = 5 THEN 0 ELSE md END AS m2 FROM {ENTITY_SQL})"

@@ -109,9 +109,9 @@ _FEED = """(SELECT 'f' || (o_orderkey % 500) AS file, o_orderkey AS seq, CASE WH
 
 @query(
     "C7 N3",
-    f"""WITH l AS (SELECT c_custkey AS id, 'f' || (c_custkey % 700) AS file, c_acctbal / 1000 AS cv, CASE WHEN c_custkey % 2 = 0 THEN 0.5::DOUBLE END AS lb FROM customer),
+    f"""WITH l AS (SELECT c_custkey AS id, 'f' || (c_custkey % 700) AS file, c_acctbal / 1000 AS cv, CASE WHEN c_custkey % 2 = 0 THEN 0.5::DOUBLE END AS lb, 'kept' AS own FROM customer),
         f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq DESC) AS k FROM {_FEED}) WHERE k = 1)
-        SELECT id, round(coalesce(try_cast(score AS DOUBLE), lb), 6) AS lb_score, CASE WHEN try_cast(score AS DOUBLE) IS NOT NULL THEN status END AS status, coalesce(try_cast(score AS DOUBLE) IS NOT NULL, false) AS synced,
+        SELECT id, round(coalesce(try_cast(score AS DOUBLE), lb), 6) AS lb_score, CASE WHEN try_cast(score AS DOUBLE) IS NOT NULL THEN status ELSE own END AS status, coalesce(try_cast(score AS DOUBLE) IS NOT NULL, false) AS synced,
           round(abs(cv - coalesce(try_cast(score AS DOUBLE), lb)), 6) AS gap FROM l LEFT JOIN f USING (file) WHERE coalesce(try_cast(score AS DOUBLE), lb) IS NOT NULL""",
 )
 def score_feed_sync(spark, sf_dir):
@@ -119,7 +119,7 @@ def score_feed_sync(spark, sf_dir):
     k = F.col("c_custkey")
     ledger = c.select(
         k.alias("id"), F.concat(F.lit("f"), (k % 700).cast("string")).alias("file"), (F.col("c_acctbal") / 1000).alias("cv"),
-        F.when(k % 2 == 0, 0.5).alias("lb_score"),
+        F.when(k % 2 == 0, 0.5).alias("lb_score"), F.lit("kept").alias("status"),
     )
     o = F.col("o_orderkey")
     feed = table(spark, sf_dir, "orders").select(

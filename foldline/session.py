@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -43,6 +44,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Intermediates of this process, deleted at its end.
+_WRITTEN: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clear(spark: SparkSession) -> None:
+    """Delete what is left of the intermediates; the JVM may be gone before, then the folder's owner has to."""
+    for path in _WRITTEN:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the process is ending
+            return
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
@@ -51,6 +70,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_clear, spark)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,5 +83,4 @@ def discard(*frames: DataFrame) -> None:
         spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if path.rsplit("/", 1)[-1].startswith("cut-"):
-                p = spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(spark, path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,12 +31,12 @@ def read_entities(spark: SparkSession, folder: str, suffix: str, schema: T.Struc
     """
     files = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
     name = F.col("_metadata.file_name")
+    text = F.split(F.regexp_replace("value", "\r", ""), "\n")
     lines = files.select(
-        F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("entity"),
-        F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("line_no", "line"),
-    ).filter(F.length("line") > 0)
-    header = lines.filter("line_no = 0").select("entity", F.split("line", ",").alias("header"))
-    cells = lines.filter("line_no > 0").join(header, "entity").withColumn("cells", F.split("line", ",", -1))
+        F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("entity"), _cells(F.element_at(text, 1)).alias("header"),
+        F.posexplode(text).alias("line_no", "line"),
+    ).filter((F.length("line") > 0) & (F.col("line_no") > 0))
+    cells = lines.withColumn("cells", _cells(F.col("line")))
 
     def cell(field: T.StructField):
         at = F.array_position("header", field.name)
@@ -44,3 +44,9 @@ def read_entities(spark: SparkSession, folder: str, suffix: str, schema: T.Struc
         return F.when(F.length(F.trim(raw)) > 0, F.trim(raw)).try_cast(field.dataType).alias(field.name)
 
     return cells.select("entity", (F.col("line_no") - 1).cast("long").alias("row_index"), *[cell(f) for f in schema.fields])
+
+
+def _cells(line: Column) -> Column:
+    """Cells of one CSV line: commas inside quotes do not part them, doubled quotes stand for one."""
+    raw = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(raw, lambda c: F.replace(F.regexp_replace(c, '^\\s*"(.*)"\\s*$', "$1"), F.lit('""'), F.lit('"')))

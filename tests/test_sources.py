@@ -22,6 +22,13 @@ def test_entity_files(spark, tmp_path):
     assert pairs == {"a_1": True, "b": False}
 
 
+def test_quoted_cells(spark, tmp_path):
+    (tmp_path / "q__series.csv").write_text('name,"a, b",v\n"x, ""y""",5,1\nplain,6,"2"\n')
+    schema = T.StructType().add("name", "string").add("a, b", "integer").add("v", "double").add("absent", "integer")
+    rows = EN.read_entities(spark, str(tmp_path), "__series.csv", schema).orderBy("row_index").collect()
+    assert [tuple(r) for r in rows] == [("q", 0, 'x, "y"', 5, 1.0, None), ("q", 1, "plain", 6, 2.0, None)]
+
+
 def test_versions_publish_and_schema(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.0)], "a int, b double")
     root = str(tmp_path / "m")
