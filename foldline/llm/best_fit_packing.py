@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import HashCache, slices
+from foldline.llm.common import HashCache, slices, tidy
 from foldline.session import cut_lineage
 
 CAPACITY = 4096
@@ -122,7 +122,7 @@ def word_bpe_encoder(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
             return array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
 
         model = tok.model
-        runs, marks = HashCache(run_of_letters, 300_000), HashCache(whole, 50_000)
+        runs, marks = HashCache(run_of_letters, 250_000), HashCache(whole, 20_000)
 
         def word_ids(word: bytes) -> bytes:
             text = word.decode()
@@ -131,7 +131,7 @@ def word_bpe_encoder(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
                 return whole(text)
             return (marks[m[1]] if m[1] else b"") + runs[m[2].lower()] + (marks[m[3]] if m[3] else b"")
 
-        words = HashCache(word_ids, 400_000)
+        words = HashCache(word_ids, 300_000)
 
         def encode(text: str) -> np.ndarray:
             return np.frombuffer(b"".join(map(words.__getitem__, text.encode().lower().split())), dtype="<u4")
@@ -169,7 +169,7 @@ def pieces(docs: DataFrame, encoder: Callable, end_id: int, capacity: int = CAPA
                 names=["doc_id", "piece", "start", "tokens", "length", "part", "nth"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, tokens array<int>, length long, part long, nth long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, tokens array<int>, length long, part long, nth long")
 
 
 def pack(docs: DataFrame, encoder: Callable, end_id: int, capacity: int = CAPACITY) -> DataFrame:

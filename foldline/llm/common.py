@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,39 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def slices_by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows whose binary ``column`` holds about ``size`` bytes; a longer value comes alone."""
+    for batch in batches:
+        if batch.num_rows:
+            total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = total[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(total, before + size, side="right")))
+                yield batch.slice(at, end - at)
+                at = end
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from task to task and share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, followed by :func:`give_back` once its caches are gone."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def map_rows(df: DataFrame, columns: list[str], out: str, fn: Callable[..., tuple]) -> DataFrame:
     """Replace the columns of each row by ``fn(*values)``, a tuple in the order of the DDL schema ``out``.
 
@@ -50,7 +86,7 @@ def map_rows(df: DataFrame, columns: list[str], out: str, fn: Callable[..., tupl
             arrays = [pa.array(list(v), type=f.type) for v, f in zip(zip(*rows), schema)] if rows else [pa.array([], type=f.type) for f in schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return df.select(*columns).mapInArrow(run, out)
+    return df.select(*columns).mapInArrow(tidy(run), out)
 
 
 class HashCache(dict):

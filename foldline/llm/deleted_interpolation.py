@@ -13,12 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import HashCache, slices
+from foldline.llm.common import HashCache, give_back, slices, tidy
 from foldline.llm.exchange import ask, pack_column, pack_keys, read_answers
 from foldline.session import cut_lineage
 
 #: Tokens of one row of coded documents.
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 600_000
 #: Context counts 0, 1, 2-3, 4-7, ... share their weights.
 BUCKETS = 24
 #: Cells of the held-out histogram: steps of a quarter of a power of two of each ratio.
@@ -70,7 +70,7 @@ def coded(docs: DataFrame, train, held) -> DataFrame:
 
     def run(batches):
         base, made = TaskContext.get().partitionId() << 32, 0
-        hashes = HashCache(lambda w: np.uint64(_word_hash(w)).tobytes(), 300_000)
+        hashes = HashCache(lambda w: np.uint64(_word_hash(w)).tobytes(), 200_000)
         ids, lengths, parts, words, size = [], [], [], [], 0
 
         def flush():
@@ -99,7 +99,7 @@ def coded(docs: DataFrame, train, held) -> DataFrame:
             yield flush()
 
     ddl = "batch long, docs array<long>, lengths array<long>, parts array<long>, words binary, codes binary, n_train long"
-    return docs.select(F.col("doc_id").cast("long").alias("d"), "text", train.cast("int").alias("t"), held.cast("int").alias("h")).mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long").alias("d"), "text", train.cast("int").alias("t"), held.cast("int").alias("h")).mapInArrow(tidy(run), ddl)
 
 
 #: Hashes are compared by their upper 56 bits.
@@ -134,7 +134,7 @@ def asked(numbered: DataFrame) -> DataFrame:
                     names=["batch", "keys", "columns"],
                 )
 
-    return numbered.mapInArrow(run, "batch long, keys binary, columns array<binary>")
+    return numbered.mapInArrow(tidy(run), "batch long, keys binary, columns array<binary>")
 
 
 def _sum_keys(group: np.ndarray, columns: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
@@ -151,10 +151,13 @@ def with_counts(numbered: DataFrame, answers: DataFrame) -> DataFrame:
         tokens, keys, pair, word = _keys(r["words"], r["codes"])
         counts = read_answers(right.sort_values("range")["answers"].tolist(), 2)
         end = np.flatnonzero(np.frombuffer(r["words"], np.uint64) == END)
-        return pd.DataFrame({
+        out = pd.DataFrame({
             "docs": [r["docs"]], "lengths": [r["lengths"]], "parts": [r["parts"]], "codes": [r["codes"]], "end": [int(end[0])],
             "words": [[squeeze(c[word]) for c in counts]], "pairs": [[squeeze(c[pair]) for c in counts]],
         })
+        del tokens, keys, pair, word, counts
+        give_back()
+        return out
 
     kept = "docs array<long>, lengths array<long>, parts array<long>, codes binary, end long, words array<binary>, pairs array<binary>"
     return numbered.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, kept)
@@ -245,7 +248,7 @@ def score(docs: DataFrame, train, held) -> DataFrame:
                 uniq, n = np.unique(cell, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(uniq), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
-    found = both.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS * STEPS * STEPS cells
+    found = both.mapInArrow(tidy(cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS * STEPS * STEPS cells
     model = Model(estimate([(r["cell"] // STEPS**2, r["cell"] // STEPS % STEPS, r["cell"] % STEPS, r["n"]) for r in sorted(found)]), total, vocabulary)
 
     def scored(parts):
@@ -262,5 +265,5 @@ def score(docs: DataFrame, train, held) -> DataFrame:
                     names=["doc_id", "flag", "n_tokens", "n_known", "base_score", "score"],
                 )
 
-    rows = both.mapInArrow(scored, "doc_id long, flag long, n_tokens long, n_known long, base_score double, score double")
+    rows = both.mapInArrow(tidy(scored), "doc_id long, flag long, n_tokens long, n_known long, base_score double, score double")
     return rows.withColumn("train_tokens", F.lit(total).cast("long"))

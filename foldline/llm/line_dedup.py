@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import slices
+from foldline.llm.common import slices, slices_by_bytes, tidy
 from foldline.llm.exchange import dealt, pack_column, pack_keys, range_bits, unpack_column, unpack_keys
 from foldline.session import cut_lineage, discard
 
@@ -129,7 +129,7 @@ def _packed_chunks(docs: DataFrame) -> DataFrame:
                 [pa.array([base + made]), pa.array([pack_keys(keys)], pa.binary()), pa.array([[pack_column(n.astype(np.int64))]], pa.list_(pa.binary()))], names=["batch", "keys", "columns"]
             )
 
-        for rows in slices(batches):
+        for rows in slices_by_bytes(batches, 0):
             _, _, text, _, _, h = spans(rows.column(0).to_pylist(), powers)
             held.append(chunk_keys(text, h))
             size += len(h)
@@ -139,7 +139,7 @@ def _packed_chunks(docs: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(run, "batch long, keys binary, columns array<binary>")
+    return docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(tidy(run), "batch long, keys binary, columns array<binary>")
 
 
 def repeated_filter(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -171,7 +171,7 @@ def repeated_filter(docs: DataFrame) -> tuple[np.ndarray, int]:
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["range", "flags"])
 
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in found.select("range", "keys").mapInArrow(mark, "range long, flags binary").toLocalIterator():
+    for r in found.select("range", "keys").mapInArrow(tidy(mark), "range long, flags binary").toLocalIterator():
         out[r["range"] * each // 8 : (r["range"] + 1) * each // 8] = np.frombuffer(r["flags"], np.uint8)
     return out, bits
 
@@ -190,7 +190,7 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
 
     def run(batches):
         table, powers = bitmap.value, Powers()
-        for rows in slices(batches):
+        for rows in slices_by_bytes(batches, 2):
             data, begin, text, s, e, h = spans(rows.column(2).to_pylist(), powers)
             at = (chunk_keys(text, h) >> np.uint64(64 - bits)).astype(np.int64)
             hit = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
@@ -208,7 +208,7 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
                 )
 
     d = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), F.encode("text", "UTF-8").alias("text"))
-    seen = cut_lineage(d.filter("text IS NOT NULL").mapInArrow(run, "key long, place long, start long, end long, hash long, piece binary"))
+    seen = cut_lineage(d.filter("text IS NOT NULL").mapInArrow(tidy(run), "key long, place long, start long, end long, hash long, piece binary"))
     here = F.struct("place", "start")
     first = seen.groupBy("hash").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.min("piece").alias("low"), F.max("piece").alias("high"))
     first = cut_lineage(first.filter("first <> last AND low = high").select("hash", "first"))
@@ -259,4 +259,4 @@ def dedup_lines(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if j == at else rows.column(j) for j in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(runs, pa.int64())], names=[*names, "cut_runs"])
 
-    return both.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(run, schema)
+    return both.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(tidy(run), schema)

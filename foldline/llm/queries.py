@@ -20,7 +20,7 @@ from foldline.llm import (
     template_decontamination,
     toxicity,
 )
-from foldline.llm.common import crc_remainder, table
+from foldline.llm.common import crc_remainder, table, tidy
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,7 +102,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
             crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(crc, pa.int64()), *b.columns[5:]], names=DIGEST)
 
-    return packed.mapInArrow(digest, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return packed.mapInArrow(tidy(digest), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def _held_out(modulus: int, remainder: int):

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import slices
+from foldline.llm.common import slices, tidy
 from foldline.llm.graph import connected_components
 from foldline.session import cut_lineage
 
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             fps = np.array([simhash(t, words) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import HashCache, slices
+from foldline.llm.common import HashCache, slices, tidy
 from foldline.session import cut_lineage
 
 #: Tokens of a template window; a shorter item is one window.
@@ -106,7 +106,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
     names = ["hash", "template", "slots", "item_id", "pos", "width", "windows", "whole"]
     schema = pa.schema([("hash", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string())), ("item_id", pa.int64()), ("pos", pa.int64()), ("width", pa.int64()), ("windows", pa.int64()), ("whole", pa.string())])
-    found = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "hash long, template string, slots array<string>, item_id long, pos long, width long, windows long, whole string")
+    found = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(tidy(run), "hash long, template string, slots array<string>, item_id long, pos long, width long, windows long, whole string")
     # The first item of a template stands for all; a null item_id stands only where there is no other.
     first = F.min(F.coalesce("item_id", F.lit(1 << 62)))
     found = cut_lineage(found)
@@ -156,7 +156,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, o)) for o in out], schema=schema)
 
     d = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = d.mapInArrow(run, "key long, doc_id long, hash long, template string, filled array<string>, doc_pos long")
+    seen = d.mapInArrow(tidy(run), "key long, doc_id long, hash long, template string, filled array<string>, doc_pos long")
     pairs = F.arrays_zip(F.transform("slots", lambda s: F.regexp_replace(s, r"^\d+:", "")).alias("own"), F.transform("filled", lambda s: F.regexp_replace(s, r"^\d+:", "")).alias("other"))
     met = cut_lineage(seen).join(known, ["hash", "template"]).withColumn("pairs", pairs)
     group = met.groupBy("key", "doc_id", "item_id", (F.col("doc_pos") - F.col("pos")).alias("at")).agg(
