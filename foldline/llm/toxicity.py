@@ -6,11 +6,12 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import crc_remainder, fit_logistic, hash_sample, map_rows, sigmoid
+from foldline.llm.common import crc_remainder, fit_logistic, hash_sample, sigmoid, slices, tidy
 
 GRAM = 6
 #: Bounds of the labelled sample that the dictionaries and the calibration are fitted on.
@@ -197,12 +198,13 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
     """
     columns = columns or docs.columns
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    box: list = []  # one pair of compressors per task
+    own = columns if "text" in columns else [*columns, "text"]
+    at = own.index("text")
 
-    def run(*row):
-        if not box:
-            box.append(Gains(model.ordinary, model.toxic, model.window))
-        x = np.array([*features(box[0](row[-1])), 1.0])
-        return (*row[:-1], float(sigmoid(x @ np.array(model.weights))))
+    def run(batches):
+        gains, weights = Gains(model.ordinary, model.toxic, model.window), np.array(model.weights)
+        for rows in slices(batches):
+            scores = [float(sigmoid(np.array([*features(gains(t)), 1.0]) @ weights)) for t in rows.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(columns)], pa.array(scores, pa.float64())], names=[*columns, "score"])
 
-    return map_rows(docs.select(*columns, F.col("text").alias("__text")), [*columns, "__text"], f"{ddl}, score double", run)
+    return docs.select(*own).mapInArrow(tidy(run), f"{ddl}, score double")
