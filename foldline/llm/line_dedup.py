@@ -146,7 +146,7 @@ def repeated_filter(docs: DataFrame) -> tuple[np.ndarray, int]:
     """(bitmap, bits): places of all chunk hashes that occur more than once, by their top bits.
 
     The bitmap has some bits for each repeated chunk and never more than 2^MOST_FILTER_BITS; where it fills up, more chunks
-    pass on to the byte comparison, none is lost: a cut may then reach over a span more that an earlier text holds, too.
+    pass on to :func:`_confirmed`, which counts them exactly; none is lost and none is cut for passing.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = range_bits(total // CHUNK_BYTES)
@@ -179,45 +179,91 @@ def repeated_filter(docs: DataFrame) -> tuple[np.ndarray, int]:
 def repeated_spans(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """(key, spans): byte spans of each row's text that repeat a chunk of an earlier document, or an earlier place of its own.
 
-    key is a hash of doc_id and text. Chunks of two spans are looked up by hash among those that occur more than once; the
-    spans of long runs of such chunks are then compared as bytes (if spans of one hash differ, none of them is cut). The
+    key is a hash of doc_id and text. Chunks of two spans that pass the filter are counted by hash and bytes; the
+    spans of long runs of chunks that repeat are then compared as bytes (if spans of one hash differ, none of them is cut). The
     one in the smallest doc_id and there at the first place stays. Merged spans are at least ``least`` bytes long. Documents without doc_id come after
     all others and keep what only they share; so do different texts under one doc_id at equal places.
     """
     flags, bits = repeated_filter(docs)
     bitmap = docs.sparkSession.sparkContext.broadcast(flags)
-    names = ["key", "place", "start", "end", "hash", "piece"]
+    names = ["key", "place", "start", "end", "hash", "chunk", "both", "long"]
 
     def run(batches):
         table, powers = bitmap.value, Powers()
         for rows in slices_by_bytes(batches, 2):
             data, begin, text, s, e, h = spans(rows.column(2).to_pylist(), powers)
-            at = (chunk_keys(text, h) >> np.uint64(64 - bits)).astype(np.int64)
-            hit = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            hit[1:] |= hit[:-1] & (text[1:] == text[:-1])  # both spans of a chunk
-            text, s, e, h = text[hit], s[hit], e[hit], h[hit]
-            keep = _long_runs(s, e, least)
-            text, s, e, h = text[keep], s[keep], e[keep], h[keep]
-            if len(s):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(0).take(pa.array(text)), rows.column(1).take(pa.array(text)), pa.array(s - begin[text]), pa.array(e - begin[text]),
-                        pa.array(h.view(np.int64)), pa.array([data[a:b] for a, b in zip(s.tolist(), e.tolist())], pa.binary()),
-                    ],
-                    names=names,
-                )
+            if not len(h):
+                continue
+            chunk = chunk_keys(text, h)
+            at = (chunk >> np.uint64(64 - bits)).astype(np.int64)
+            begins = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            pair = np.append(text[1:] == text[:-1], False)
+            hit = np.flatnonzero(begins | np.append(False, (begins & pair)[:-1]))  # both spans of a chunk
+            long = np.zeros(len(h), bool)
+            long[hit] = _long_runs(s[hit], e[hit], least)
+            keep = np.flatnonzero(long | begins)
+            after = np.minimum(keep + 1, len(h) - 1)
+            two = begins[keep] & pair[keep]
+            both = [data[a:b] + data[c:d] for a, b, c, d in zip(s[keep].tolist(), e[keep].tolist(), s[after].tolist(), np.where(two, e[after], 0).tolist())]
+            text, s, e = text[keep], s[keep], e[keep]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(0).take(pa.array(text)), rows.column(1).take(pa.array(text)), pa.array(s - begin[text]), pa.array(e - begin[text]),
+                    pa.array(h[keep].view(np.int64)), pa.array(chunk[keep].view(np.int64), mask=~begins[keep]), pa.array(both, pa.binary()), pa.array(long[keep]),
+                ],
+                names=names,
+            )
 
     d = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), F.encode("text", "UTF-8").alias("text"))
-    seen = cut_lineage(d.filter("text IS NOT NULL").mapInArrow(tidy(run), "key long, place long, start long, end long, hash long, piece binary"))
+    passed = cut_lineage(d.filter("text IS NOT NULL").mapInArrow(tidy(run), "key long, place long, start long, end long, hash long, chunk long, both binary, long boolean"))
+    seen = cut_lineage(_confirmed(passed, least))
+    pieces = passed.filter("long").select("hash", F.expr("substring(both, 1, cast(end - start AS INT))").alias("piece"))
+    mixed = pieces.groupBy("hash").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).filter("low <> high").select("hash")
     here = F.struct("place", "start")
-    first = seen.groupBy("hash").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.min("piece").alias("low"), F.max("piece").alias("high"))
-    first = cut_lineage(first.filter("first <> last AND low = high").select("hash", "first"))
-    again = seen.drop("piece").join(first, "hash").filter(here > F.col("first"))
+    first = seen.groupBy("hash").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first <> last")
+    first = cut_lineage(first.join(mixed, "hash", "left_anti").select("hash", "first"))
+    discard(passed)
+    again = seen.join(first, "hash").filter(here > F.col("first"))
     out = cut_lineage(again.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
     discard(seen, first)
     return out
 
 
+def _confirmed(passed: DataFrame, least: int) -> DataFrame:
+    """(key, place, start, end, hash): spans in long runs of chunks that do repeat, of those that passed the filter.
+
+    Chunks are counted by hash and the bytes of both spans. One that occurs once names its only place, so that
+    each text needs to get but these back and to find its long runs anew.
+    """
+    count = passed.filter("chunk IS NOT NULL").groupBy("chunk", (F.col("end") - F.col("start")).alias("width"), "both").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("start").alias("start"), F.min("long").alias("long")
+    )
+    alone = count.filter("n = 1 AND long").selectExpr("key", "CAST(NULL AS LONG) AS place", "NULL AS span", "start AS alone")
+    span = F.struct("start", "end", "hash", F.col("chunk").isNotNull().alias("begins")).alias("span")
+    parts = passed.filter("long").select("key", "place", span, F.lit(None).cast("long").alias("alone")).unionByName(alone)
+    texts = parts.groupBy("key").agg(F.min("place").alias("place"), F.collect_set("span").alias("spans"), F.collect_set("alone").alias("alone"))
+
+    def run(batches):
+        for rows in slices(batches):
+            own, other = rows.column(2), rows.column(3)
+            text = np.repeat(np.arange(rows.num_rows), np.diff(own.offsets.to_numpy()))
+            s, e, h, begins = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in own.flatten().flatten())
+            order = np.lexsort((s, text))
+            text, s, e, h, begins = text[order], s[order], e[order], h[order], begins[order].astype(bool)
+            at = (text.astype(np.int64) << 40) + s
+            once = (np.repeat(np.arange(rows.num_rows), np.diff(other.offsets.to_numpy())) << 40) + other.flatten().to_numpy(zero_copy_only=False)
+            begins &= ~np.isin(at, once)
+            hit = begins.copy()
+            hit[1:] |= begins[:-1] & (text[1:] == text[:-1])  # the span after one that begins a chunk is here, too
+            hit = np.flatnonzero(hit)
+            keep = hit[_long_runs(at[hit], at[hit] + e[hit] - s[hit], least)]
+            if len(keep):
+                of = pa.array(text[keep])
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(of), rows.column(1).take(of), pa.array(s[keep]), pa.array(e[keep]), pa.array(h[keep])], names=["key", "place", "start", "end", "hash"])
+
+    return texts.mapInArrow(tidy(run), "key long, place long, start long, end long, hash long")
+
+
 def cut_out(data: bytes, cuts: list, least: int = MIN_BYTES) -> tuple[bytes, int]:
     """Text without the merged spans of at least ``least`` bytes and the white space after them; how many were cut."""
     s, e = (np.array([r[k] for r in cuts], np.int64) for k in ("start", "end"))

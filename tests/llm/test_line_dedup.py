@@ -73,6 +73,16 @@ def test_query_equals_brute_force(spark, monkeypatch):
         assert sum(len(t) for t in want.values()) < sum(len(t) for _, t in rows)
 
 
+def test_full_filter_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_FILTER_BITS", 9)  # nearly every chunk passes by mistake
+    rng = random.Random(3)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(40)]
+    rows = [(i, "\n".join(" ".join(rng.choice(common) for _ in range(2)) for _ in range(200))) for i in range(40)]
+    rows += [(r.doc_id + 100, r.text) for r in spark_rows(spark, "documents", SF)]
+    got = {r.doc_id: r.text for r in dedup_lines(docs_frame(spark, rows)).collect()}
+    assert got == dict(zip([d for d, _ in rows], slow_dedup(rows)))
+
+
 def test_boundaries_come_back_after_an_insertion():
     rng = random.Random(4)
     text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(3000))
