@@ -88,30 +88,47 @@ def _spell(tokens: list[str], kind: np.ndarray, at: int, width: int) -> tuple[st
     return " ".join(template), slots
 
 
+def _digest(tokens: list[str], kind: np.ndarray) -> str:
+    """Digest of a text's whole template."""
+    return xxhash.xxh3_128_hexdigest(_spell(tokens, kind, 0, len(tokens))[0].encode())
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(hash, template, slots, item_id, pos, width, windows) of every item; items of one whole template count once, as the smallest id."""
+    """(hash, template, pos, width, windows, whole) of every distinct whole template; whole is its digest."""
 
     def run(batches):
         find = Templates()
         for rows in slices(batches):
             out = []
-            for item, text in zip(*(c.to_pylist() for c in rows.columns)):
+            for text in rows.column(0).to_pylist():
                 tokens, kind, code = find(text)
                 width = min(window, len(tokens))
                 at, h = window_hashes(code, kind, width) if width else ((), ())
-                whole = _spell(tokens, kind, 0, len(tokens))[0]
-                out += [(int(x.view(np.int64)), *_spell(tokens, kind, int(a), width), item, int(a), width, len(at), whole) for a, x in zip(at, h)]
+                whole = _digest(tokens, kind)
+                out += [(int(x.view(np.int64)), _spell(tokens, kind, int(a), width)[0], int(a), width, len(at), whole) for a, x in zip(at, h)]
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, o)) for o in out], schema=schema)
 
-    names = ["hash", "template", "slots", "item_id", "pos", "width", "windows", "whole"]
-    schema = pa.schema([("hash", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string())), ("item_id", pa.int64()), ("pos", pa.int64()), ("width", pa.int64()), ("windows", pa.int64()), ("whole", pa.string())])
-    found = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(tidy(run), "hash long, template string, slots array<string>, item_id long, pos long, width long, windows long, whole string")
-    # The first item of a template stands for all; a null item_id stands only where there is no other.
-    first = F.min(F.coalesce("item_id", F.lit(1 << 62)))
-    found = cut_lineage(found)
-    one = found.groupBy("whole").agg(first.alias("first"))
-    return found.join(one, "whole").filter(F.coalesce("item_id", F.lit(1 << 62)) == F.col("first")).dropDuplicates(["whole", "pos"]).drop("whole", "first")
+    names = ["hash", "template", "pos", "width", "windows", "whole"]
+    schema = pa.schema([("hash", pa.int64()), ("template", pa.string()), ("pos", pa.int64()), ("width", pa.int64()), ("windows", pa.int64()), ("whole", pa.string())])
+    found = benchmark.select("text").mapInArrow(tidy(run), "hash long, template string, pos long, width long, windows long, whole string")
+    return found.dropDuplicates(["whole", "pos"])
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(whole, item_id, own): the digest of each item's whole template and its slots' fillings as kind:value by position, null for literals."""
+
+    def run(batches):
+        find = Templates()
+        for rows in slices(batches):
+            whole, own = [], []
+            for text in rows.column(1).to_pylist():
+                tokens, kind, _ = find(text)
+                whole.append(_digest(tokens, kind))
+                own.append([None if k == LITERAL else f"{k}:{t.lower()}" for t, k in zip(tokens, kind.tolist())])
+            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.string()), rows.column(0), pa.array(own, pa.list_(pa.string()))], names=["whole", "item_id", "own"])
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(tidy(run), "whole string, item_id long, own array<string>").distinct()
 
 
 def window_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -131,7 +148,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     within a sentence) are typed slots. Windows of a document and an item are joined by hash and compared as text. Of
     windows on one alignment (same distance of the positions) all slots must agree: a value of the item is always filled
     by the same value of the document. The document leaks the item if they cover at least ``coverage`` of the item's windows;
-    kind is verbatim if the fillings are the item's own, else reparameterised. key is a hash of doc_id and text, the
+    kind is verbatim if the fillings are the item's own, else reparameterised. Items of one template are all checked, each with
+    its own fillings: those held verbatim are named, or, if there is none, the one covered most (of equals the smallest id, null last). key is a hash of doc_id and text, the
     same for repeated rows; of several alignments of a pair the one that covers most counts. Items with no
     literal window (null, empty, slots only) match nothing; null texts leak nothing.
     """
@@ -157,19 +175,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
     d = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = d.mapInArrow(tidy(run), "key long, doc_id long, hash long, template string, filled array<string>, doc_pos long")
-    pairs = F.arrays_zip(F.transform("slots", lambda s: F.regexp_replace(s, r"^\d+:", "")).alias("own"), F.transform("filled", lambda s: F.regexp_replace(s, r"^\d+:", "")).alias("other"))
-    met = cut_lineage(seen).join(known, ["hash", "template"]).withColumn("pairs", pairs)
-    group = met.groupBy("key", "doc_id", "item_id", (F.col("doc_pos") - F.col("pos")).alias("at")).agg(
-        F.count_distinct("pos").alias("windows"), F.first("windows").alias("of"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    met = cut_lineage(seen).join(known, ["hash", "template"]).withColumn(
+        "filled", F.transform("filled", lambda s: F.struct((F.col("pos") + F.substring_index(s, ":", 1).cast("int")).cast("int").alias("i"), F.regexp_replace(s, r"^\d+:", "").alias("other")))
     )
+    group = met.groupBy("key", "doc_id", "whole", (F.col("doc_pos") - F.col("pos")).alias("at")).agg(
+        F.count_distinct("pos").alias("windows"), F.first("windows").alias("of"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled")
+    )
+    pairs = F.array_distinct(F.transform("filled", lambda s: F.struct(F.get("own", s["i"]).alias("own"), s["other"].alias("other"))))
+    each = group.filter(F.col("windows") >= coverage * F.col("of")).join(benchmark_items(benchmark), "whole").withColumn("pairs", pairs)
     consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.own")))
     own = F.forall("pairs", lambda p: p["own"] == p["other"])
-    found = group.filter(consistent & (F.col("windows") >= coverage * F.col("of"))).select(
-        "key", "doc_id", "item_id",
-        F.struct((F.col("windows") / F.col("of")).alias("coverage"), F.when(own, "verbatim").otherwise("reparameterised").alias("kind"), "windows", (-F.col("at")).alias("before")).alias("best"),
-    )
-    best = found.groupBy("key", "doc_id", "item_id").agg(F.max("best").alias("best"))
-    return best.select("key", "doc_id", "item_id", "best.kind", "best.coverage", "best.windows", (-F.col("best.before")).alias("at"))
+    best = F.struct((F.col("windows") / F.col("of")).alias("coverage"), F.when(own, "verbatim").otherwise("reparameterised").alias("kind"), "windows", (-F.col("at")).alias("before"))
+    found = each.filter(consistent).groupBy("key", "doc_id", "whole", "item_id").agg(F.max(best).alias("best"))
+    order = F.struct((-F.col("best.coverage")).alias("less"), F.col("item_id").isNull().alias("last"), "item_id", "best")
+    verbatim = F.col("best.kind") == "verbatim"
+    named = found.groupBy("key", "doc_id", "whole").agg(F.collect_list(F.when(verbatim, order)).alias("same"), F.min(order).alias("other"))
+    named = named.select("key", "doc_id", F.explode(F.when(F.size("same") > 0, F.col("same")).otherwise(F.array("other"))).alias("one"))
+    return named.select("key", "doc_id", "one.item_id", "one.best.kind", "one.best.coverage", "one.best.windows", (-F.col("one.best.before")).alias("at"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:

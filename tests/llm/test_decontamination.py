@@ -70,3 +70,12 @@ def test_reparameterised_and_inconsistent(spark):
     assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((i, t or "") for i, t in [rows[k] for k in (2, 3, 4, 5, 6)])
     assert T.leaks(docs_frame(spark, []), bench).count() == 0
     assert T.without_leaks(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_every_item_of_a_template(spark):
+    other = ITEM.replace("5", "6").replace("Bob", "Dan")
+    same = "Alice has 3 red apples and Bob has 3 green pears in the big basket. How many fruits does Alice carry home after 3 days?"
+    bench = spark.createDataFrame([(3, same), (7, ITEM), (9, other), (12, other)], "item_id long, text string")
+    rows = [(1, "Intro. " + ITEM), (2, "Intro. " + other), (3, "Intro. " + ITEM.replace("5", "8")), (4, "Intro. " + same)]
+    got = {(r.doc_id, r.item_id, r.kind) for r in T.leaks(docs_frame(spark, rows), bench).collect()}
+    assert got == {(1, 7, "verbatim"), (2, 9, "verbatim"), (2, 12, "verbatim"), (3, 7, "reparameterised"), (4, 3, "verbatim")}
