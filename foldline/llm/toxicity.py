@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from foldline.llm.common import crc_remainder, fit_logistic, hash_sample, sigmoid, slices, tidy
 
 GRAM = 6
-#: Bounds of the labelled sample that the dictionaries and the calibration are fitted on.
+#: Bounds of the labelled sample of each class, whole texts, that the dictionaries and the calibration are fitted on.
 SAMPLE_ROWS = 5_000
-SAMPLE_CHARS = 4_000
+SAMPLE_BYTES = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -125,10 +125,17 @@ def _compressor(raw: bytes):
 
 
 class Gains:
-    """Bytes that the toxic dictionary saves over the ordinary one, for every window of a text."""
+    """Bytes that the toxic dictionary saves over the ordinary one, for every window of a text.
+
+    Each window begins as many bytes early as the longest toxic segment has, so that no segment is seen in halves only.
+    """
 
     def __init__(self, ordinary: bytes, toxic: bytes, window: int, block: int = 8192):
         self.pair, self.window, self.block = (_compressor(ordinary), _compressor(toxic)), window, block
+        n = min(len(ordinary), len(toxic))
+        differ = np.flatnonzero(np.frombuffer(ordinary[len(ordinary) - n :], np.uint8) != np.frombuffer(toxic[len(toxic) - n :], np.uint8))
+        own = toxic[: len(toxic) - n + int(differ[-1]) + 1] if len(differ) else b""
+        self.overlap = max(map(len, own.split(b"\xff")))
 
     def __call__(self, text: str | None) -> np.ndarray:
         import zstandard as z
@@ -137,10 +144,12 @@ class Gains:
         out = [np.zeros(0, np.int64)]
         for at in range(0, len(words), self.block * self.window):
             w = words[at : at + self.block * self.window]
-            data = b" " + b" ".join(w) + b" "
-            end = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) + 1
+            lead = words[max(0, at - self.overlap) : at]
+            head = sum(map(len, lead)) + len(lead)
+            data = b" " + b" ".join(lead + w) + b" "
+            end = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) + 1 + head
             stop = np.append(end[self.window - 1 :: self.window], end[-1:]) if len(w) % self.window else end[self.window - 1 :: self.window]
-            start = np.append(0, stop[:-1] - 1)
+            start = np.maximum(np.append(head, stop[:-1] - 1) - self.overlap, 0)
             cut = np.column_stack([start, stop - start]).astype(np.uint64).tobytes()
             sizes = [np.fromiter(map(len, c.multi_compress_to_buffer(z.BufferWithSegments(data, cut))), np.int64, len(stop)) for c in self.pair]
             out.append(sizes[0] - sizes[1])
@@ -167,8 +176,8 @@ def train(sample: list[tuple[str | None, int]], window: int = 16) -> Model:
     return Model(*raw, window, tuple(fit_logistic(x, y, ridge=1.0)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts of each class, chosen by a hash of doc_id, each cut to ``chars`` for training only.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most ``rows`` labelled whole texts of each class, chosen by a hash of doc_id, as many of them as have ``size`` bytes together.
 
     Only rows whose crc32(doc_id as text) mod 3 is not 1 are learned from. The chosen labels are few enough to be sent to
     the texts.
@@ -177,7 +186,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     found = []
     for y in (0, 1):
         some = hash_sample(known.filter(F.col("toxic") == y), ["doc_id"], rows)
-        texts = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(some), "doc_id")
+        texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+        long = sorted(texts.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).collect(), key=lambda r: hash_order(str(r["doc_id"])))
+        fits = np.cumsum([r["size"] for r in long]) <= size
+        texts = texts.filter(F.col("doc_id").isin([r["doc_id"] for r, f in zip(long, fits) if f]))
         found += [(r["text"], y) for r in texts.select("text").limit(rows).collect()]
     return sorted(found, key=lambda r: hash_order(r[0]))
 

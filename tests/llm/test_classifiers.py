@@ -37,6 +37,21 @@ def test_toxicity_windows_cover_the_text():
     assert len(gains("")) == len(gains(None)) == 0
 
 
+def test_toxicity_phrase_across_a_boundary():
+    gains = toxicity.Gains(b"x" * 46 + b"s" * 64, b" zebra quagga \xff" + b"y" * 30 + b"\xff" + b"s" * 64, 4, block=2)
+    whole, halves = (gains(" ".join(["plain"] * n + ["zebra", "quagga"] + ["plain"] * 9)) for n in (9, 11))
+    assert halves.max() >= whole.max() > 0
+
+
+def test_toxicity_sample_has_whole_texts(spark):
+    rows = [(i, f"{i} " + "word " * 2_000 + "the end") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    found = toxicity.labelled_sample(docs_frame(spark, rows), labels)
+    assert len(found) > 20 and all(t.endswith("the end") for t, _ in found)
+    few = toxicity.labelled_sample(docs_frame(spark, rows), labels, size=35_000)
+    assert {y for _, y in few} == {0, 1} and len(few) == 6 and set(few) <= set(found)
+
+
 def test_toxicity_edge_rows(spark):
     rows = [(1, None), (1, ""), (None, "some words here"), (2, "word " * 60_000)]
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, None)], "doc_id long, toxic int")
