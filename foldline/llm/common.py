@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import string
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -90,16 +91,28 @@ def map_rows(df: DataFrame, columns: list[str], out: str, fn: Callable[..., tupl
 
 
 class HashCache(dict):
-    """Value of ``fn`` for each key, computed once; emptied when it holds ``limit`` keys."""
+    """Value of ``fn`` for each key, computed once while it is remembered.
 
-    def __init__(self, fn: Callable, limit: int = 400_000):
+    Holds at most ``limit`` keys and ``size`` bytes, in two generations: when the younger half is full it becomes the older
+    one, from which a key that is asked for again comes back. Keys of more than ``longest`` letters or bytes are never held.
+    """
+
+    def __init__(self, fn: Callable, limit: int = 400_000, size: int = 48 << 20, longest: int = 128):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.size, self.longest = fn, limit, size, longest
+        self.held, self.older = 0, {}
 
     def __missing__(self, key):
-        value = self.fn(key)
-        if len(self) >= self.limit:
+        if len(key) > self.longest:
+            return self.fn(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.fn(key)
+        weight = 100 + sys.getsizeof(key) + sys.getsizeof(value)
+        if 2 * len(self) >= self.limit or 2 * (self.held + weight) > self.size:
+            self.older, self.held = self.copy(), 0
             self.clear()
+        self.held += weight
         self[key] = value
         return value
 

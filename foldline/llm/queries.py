@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import pyarrow as pa
@@ -11,16 +12,19 @@ from pyspark.sql import functions as F
 from foldline.llm import (
     best_fit_packing,
     deleted_interpolation,
+    heap_bpe,
     hilbert_neighbours,
     host_reputation,
     language_codes,
     line_dedup,
+    merkle_manifest,
     pii_spans,
     simhash_dedup,
+    source_divergence,
     template_decontamination,
     toxicity,
 )
-from foldline.llm.common import crc_remainder, table, tidy
+from foldline.llm.common import ascii_lower, crc_remainder, table, tidy
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -163,3 +167,104 @@ def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_codes.predict(docs, language_codes.fit(docs), ["doc_id"])
     return found.select("doc_id", _held_out(3, 1), "lang_pred", "score", "ambiguous")
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text: each byte goes in, then eight shifts."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii(substr({text}, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda a, b: {step}), 4294967295)"
+
+
+def _merkle_sql(levels: int = 5, top_levels: int = 3) -> str:
+    """The manifest with its levels written out: enough for 16^levels rows of a source and 16^top_levels sources."""
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    run = "PARTITION BY g, pos // 16 ORDER BY pos"
+    parts = [
+        f"""d0 AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN coalesce({_crc32_sql('doc_id::VARCHAR')} % 5 = 0, false) THEN {leaf(lower)} END AS changed FROM documents)""",
+        """s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g, n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source))""",
+        """d AS (SELECT doc_id, leaf, changed, g, n, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d0 JOIN s ON d0.source IS NOT DISTINCT FROM s.source)""",
+        "l0 AS (SELECT g, pos, n, leaf AS digest FROM d)",
+    ]
+
+    def climb(name: str, height: int) -> None:
+        for k in range(height):
+            parts.append(
+                f"""{name}s{k} AS (SELECT g, pos, coalesce(string_agg(digest, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+                coalesce(string_agg(digest, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{k} WHERE n > 1)"""
+            )
+            parts.append(f"{name}{k + 1} AS (SELECT g, pos // 16 AS pos, (n + 15) // 16 AS n, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM {name}{k} WHERE n > 1 GROUP BY g, pos // 16, n)")
+
+    climb("l", levels)
+    parts.append("u AS (" + " UNION ALL ".join(f"SELECT g, digest FROM l{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+    parts.append("t0 AS (SELECT 0 AS g, u.g AS pos, (SELECT count(*) FROM u) AS n, digest FROM u)")
+    climb("t", top_levels)
+    parts.append("r AS (" + " UNION ALL ".join(f"SELECT digest AS root FROM t{k} WHERE n = 1" for k in range(top_levels + 1)) + ")")
+    parts.append("f0 AS (SELECT doc_id, leaf, u.digest AS subroot, root, '' AS proof, coalesce(changed, leaf) AS acc, d.g AS g, pos FROM d JOIN u ON d.g = u.g, r)")
+    steps = [(f"ls{k}", f"f.g = x.g AND f.pos // {16**k} = x.pos") for k in range(levels)] + [(f"ts{k}", f"f.g // {16**k} = x.pos") for k in range(top_levels)]
+    for i, (siblings, on) in enumerate(steps):
+        parts.append(
+            f"""f{i + 1} AS (SELECT doc_id, leaf, subroot, root, CASE WHEN x.pos IS NULL THEN proof ELSE proof || b || a END AS proof,
+            CASE WHEN x.pos IS NULL THEN acc ELSE sha256(b || acc || a) END AS acc, f.g AS g, f.pos AS pos FROM f{i} f LEFT JOIN {siblings} x ON {on})"""
+        )
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified FROM f{len(steps)}"
+
+
+@query(_merkle_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.coalesce(crc_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    known = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    rows = docs.select(
+        "doc_id", "source", F.col("doc_id").alias("key"), merkle_manifest.row_digest([*known, F.col("text")]).alias("leaf"),
+        F.when(tampered, merkle_manifest.row_digest([*known, ascii_lower(F.col("text"))])).alias("changed"),
+    )
+    found = merkle_manifest.manifest(rows, ["doc_id", "changed"])
+    folded = merkle_manifest.fold(F.coalesce("changed", "leaf"), F.col("path"))
+    proven = found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.proof_text(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _byte_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _ids_digest(bpe, ids) -> tuple:
+    return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
+
+
+@query()
+def op12_heap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_bpe.encode_texts(table(spark, sf_dir, "documents"), _byte_bpe_path(), _ids_digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+@query(
+    """WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+    w AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+    k AS (SELECT lang, term, count(*)::HUGEINT AS lang_n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+    v AS (SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS lang_total FROM k GROUP BY 1),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+    t AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY 1, 2),
+    p AS (SELECT lang, g.source AS source, k.term AS term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (coalesce(total, 0) + v) AS p,
+        1 + 1000000000::HUGEINT * (lang_n + 1) // (lang_total + v) AS q
+        FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    pair AS (SELECT a.lang AS lang, a.source AS source, 'pair' AS part, b.source AS item,
+        coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+    term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+    u AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+    SELECT lang, source, part, item, value, rank FROM u WHERE part = 'pair' OR rank <= 200"""
+)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
