@@ -88,20 +88,23 @@ def anti_failed(preds: DataFrame, id: str, anchor: str, failed: Sequence[str], w
 
     A weight list has one entry per failed reference; a single entry applies to the first.
     """
-    ranks = rank_columns(preds, id, [anchor, *failed])
+    made = _anti_failed(rank_columns(preds, id, [anchor, *failed]), id, anchor, failed, weights)
+    return made.select(id, "candidate", "pred")
+
+
+def _anti_failed(ranks: DataFrame, id: str, anchor: str, failed: Sequence[str], weights: Sequence[Sequence[float]]) -> DataFrame:
+    """The candidates beside the ranks that they were made from."""
     specs = {}
     for ws in weights:
         name = f"beta{round(ws[0] * 1000):03d}" if len(ws) == 1 else "w" + "_".join(f"{round(w * 1000):03d}" for w in ws)
         push = [float(w) * (F.col(anchor) - F.col(f)) for w, f in zip(ws, failed)]
         specs[name] = reduce(lambda a, b: a + b, push, F.col(anchor))
-    long = ranks.select(id, F.inline(_named(specs)))
-    return rank_normalize(long, "value", ["candidate"], "pred").select(id, "candidate", "pred")
+    return rank_normalize(ranks.select(id, anchor, *failed, F.inline(_named(specs))), "value", ["candidate"], "pred")
 
 
 def anti_failed_report(preds: DataFrame, id: str, anchor: str, failed: Sequence[str], weights: Sequence[Sequence[float]]) -> DataFrame:
     """Per extrapolated candidate its rank correlation with the anchor and every failed reference."""
-    ranks = rank_columns(preds, id, [anchor, *failed])
-    made = anti_failed(preds, id, anchor, failed, weights).join(ranks, id)
+    made = _anti_failed(rank_columns(preds, id, [anchor, *failed]), id, anchor, failed, weights)
     return made.groupBy("candidate").agg(
         F.corr("pred", anchor).alias("spearman_to_anchor"),
         (F.avg(F.abs(F.col("pred") - F.col(anchor))) / 2).alias("mean_rank_delta"),

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from foldline.operators.folds import kfold, time_series_split
 from foldline.operators.metrics import get_metric, pearson
 from foldline.operators.moments import collect_moments
-from foldline.operators.ranks import exact_quantiles, time_decay_weights
+from foldline.operators.quantiles import radix_quantiles, set_of
+from foldline.operators.ranks import time_decay_weights
 from foldline.operators.select import constant_columns, drop_correlated, top_corr_features
 from foldline.operators.series import ordered_positions
 
@@ -133,7 +134,7 @@ def _corr(s: np.ndarray) -> float:
 
 
 def ridge_stats(df: DataFrame, y: str, cols: Sequence[str], fold: str, chained: bool = False, weight: str | None = None) -> RidgeStats:
-    """One pass of moments per fold, plus exact medians of the columns that have nulls.
+    """One pass of moments per fold, plus exact medians of the columns that have nulls: eight scans for all columns and folds.
 
     Folds train on all other folds, or, ``chained``, on the rows of earlier folds and of no fold.
     """
@@ -154,10 +155,11 @@ def ridge_stats(df: DataFrame, y: str, cols: Sequence[str], fold: str, chained:
     per_fold = {k[0]: m for k, (_, m) in collect_moments(lean, names, ["__f"], weight).items()}
     folds = sorted(f for f in per_fold if f >= 0)
     train = {f: [b for b in per_fold if (b < f if chained else b != f)] for f in folds}
-    medians = {}
-    for f in folds:
-        part = rows.filter(F.col("__f") < f) if chained else rows.filter(F.col("__f") != f)
-        medians[f] = {c: float(exact_quantiles(part, c, [0.5]).first()["q"][0]) for c in holes}
+    medians: dict[int, dict[str, float]] = {f: {} for f in folds}
+    if holes:
+        known = sorted(per_fold)
+        q = radix_quantiles(rows.withColumn("__u", set_of(F.col("__f"), known)), holes, [0.5], "__u", [[known.index(b) for b in train[f]] for f in folds])
+        medians = {f: {c: float(q[i, j, 0]) for j, c in enumerate(holes)} for i, f in enumerate(folds)}
     return RidgeStats(y, cols, holes, shift, per_fold, train, medians)
 
 

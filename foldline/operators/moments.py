@@ -57,6 +57,7 @@ def _product_sums_batched(df: DataFrame, cols: Sequence[str], by: list[str], wei
             x = batch.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(n, width)
             z = np.column_stack([np.ones(n), x])
             w = batch.column("__w").to_numpy(zero_copy_only=False)
+            types = {k: batch.column(k).type for k in by}
             keys = list(zip(*[batch.column(k).to_pylist() for k in by])) if by else [()] * n
             codes: dict[tuple, int] = {}
             label = np.fromiter((codes.setdefault(k, len(codes)) for k in keys), dtype=np.int64, count=n)
@@ -70,7 +71,7 @@ def _product_sums_batched(df: DataFrame, cols: Sequence[str], by: list[str], wei
                 slot[2] += tri
         for key, (n, w, tri) in acc.items():
             size = len(tri)
-            columns = {k: pa.array([v] * size) for k, v in zip(by, key)}
+            columns = {k: pa.array([v] * size, type=types[k]) for k, v in zip(by, key)}
             columns |= {
                 "idx": pa.array(np.arange(size, dtype=np.int32)),
                 "val": pa.array(tri),

@@ -1,41 +1,154 @@
 """Average ranks, exact quantiles and rank-space transforms over whole columns.
 
-Values are counted first, so heavy ties collapse map-side; running counts come from a range sort.
+Ranks come from one range sort of the rows, quantiles of large groups from radix selection without any.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from foldline.functions.normal import probit
 from foldline.operators.moments import scalar_stats
+from foldline.operators.quantiles import radix_quantiles
 from foldline.operators.series import CHUNK_ROWS, longest_series, null_safe_join, ordered_positions, prefix_counts
+from foldline.session import cut_lineage
 
 
-def _totals(counts: DataFrame, by: list[str]) -> DataFrame:
-    return counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
+#: Rows and bytes of a sorted stretch that is ranked at once in a task.
+STRETCH_ROWS, STRETCH_BYTES = 1 << 20, 64 << 20
 
 
-def value_ranks(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per distinct non-null value: ``__rank`` (average, 1-based) and ``__total`` rows of the group."""
-    by = list(by)
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("__n"))
-    placed = prefix_counts(counts, "__n", [col], by, "__before")
-    ranked = placed.withColumn("__rank", F.col("__before") + (F.col("__n") + 1) / 2.0)
-    if not by:
-        return ranked.withColumn("__total", ranked.agg(F.sum("__n")).scalar())
-    return null_safe_join(ranked, _totals(ranked, by), by)
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each row but the first differs from the one before; null equals null and not-a-number itself."""
+    a, b = column.slice(0, max(0, len(column) - 1)), column.slice(1)
+    same = pc.fill_null(pc.equal(a, b), False)
+    if pa.types.is_floating(column.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+    same = pc.or_(same, pc.and_(pc.is_null(a), pc.is_null(b)))
+    return ~same.to_numpy(zero_copy_only=False) if isinstance(same, pa.Array) else ~np.asarray(same)
+
+
+def _rank_stretch(table: pa.Table, by: list[str], col: str, stretch: int) -> pa.RecordBatch:
+    """``table``, sorted by group and value, with ranks inside each segment (the rows of one group) of this stretch.
+
+    The first and the last segment may go on in other stretches: they are named in ``__seg``, and ``__edge`` tells the rows
+    that tie with their first (1) or last (2) value, which may go on too. All other ranks are final.
+    """
+    n, valid = len(table), ~np.asarray(table[col].is_null())
+    starts = np.zeros(n, bool)
+    starts[0] = True
+    for c in by:
+        starts[1:] |= _changes(table[c])
+    segment = np.cumsum(starts) - 1
+    runs = starts.copy()
+    runs[1:] |= _changes(table[col])
+    run = np.cumsum(runs) - 1
+    count = np.cumsum(valid)
+    seg_at, run_at = np.flatnonzero(starts), np.flatnonzero(runs)
+    before_segment = count[seg_at] - valid[seg_at]
+    size = np.append(before_segment[1:], count[-1]) - before_segment
+    length = np.diff(np.append(run_at, n))
+    at = (count[run_at] - valid[run_at] - before_segment[segment[run_at]])[run]  # valid rows of the segment before the run
+    last = segment[-1]
+    seg = np.where(segment == last, 2 * stretch + 1, 2 * stretch)
+    is_open = (segment == 0) | (segment == last)
+    length, size = length[run], size[segment]
+    edge = np.where(valid & is_open, (at == 0) * 1 + (at + length == size) * 2, 0)
+    rank = at + (length + 1) / 2.0
+    extra = {
+        "__seg": pa.array(seg, pa.int64(), mask=~is_open), "__edge": pa.array(edge, pa.int8()), "__len": pa.array(length, pa.int64()),
+        "__rank": pa.array(rank, pa.float64(), mask=~valid), "__total": pa.array(size, pa.int64()),
+    }
+    for name, values in extra.items():
+        table = table.append_column(name, values)
+    return table.combine_chunks()
+
+
+def _ranked_stretches(df: DataFrame, by: list[str], col: str) -> DataFrame:
+    """Rows range-sorted once by group and value, with what :func:`_rank_stretch` says of them.
+
+    A hash of the row is the last sort key, so that one very frequent value is spread over many tasks.
+    """
+    names, plain = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    by, col = [plain[names.index(c)] for c in by], plain[names.index(col)]
+    df = df.toDF(*plain)  # mapInArrow takes no names with dots
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keys = [*by, col, "__mix"]
+    laid = df.withColumn("__mix", F.xxhash64(*hashable)).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__mix")
+    schema = T.StructType(
+        [*df.schema.fields, T.StructField("__seg", T.LongType()), T.StructField("__edge", T.ByteType()), T.StructField("__len", T.LongType()),
+         T.StructField("__rank", T.DoubleType()), T.StructField("__total", T.LongType())]
+    )
+
+    def run(batches):
+        part, held, rows, size, number = TaskContext.get().partitionId(), [], 0, 0, 0
+
+        def ranked():
+            yield from _rank_stretch(pa.Table.from_batches(held), by, col, (part << 20) + number).to_batches(max_chunksize=1 << 14)
+
+        for batch in batches:
+            held, rows, size = [*held, batch], rows + batch.num_rows, size + batch.nbytes
+            if rows >= STRETCH_ROWS or size >= STRETCH_BYTES:
+                yield from ranked()
+                held, rows, size, number = [], 0, 0, number + 1
+        if rows:
+            yield from ranked()
+
+    done = laid.mapInArrow(run, schema)
+    return cut_lineage(done.toDF(*names, *done.columns[len(names) :]))
+
+
+def _edges(rows: DataFrame, by: list[str], col: str) -> DataFrame:
+    """One row per open segment (at most two a stretch): its rows before it in its group, the group's total, and rank of its
+    first and last value over all segments that hold them."""
+    own = rows.filter(F.col("__seg").isNotNull()).groupBy("__seg").agg(
+        *[F.any_value(c).alias(c) for c in by], F.max("__total").alias("__n"), F.min(col).alias("__lo"), F.max(col).alias("__hi"),
+        F.max(F.when(F.col("__edge").isin(1, 3), F.col("__len"))).alias("__lo_n"), F.max(F.when(F.col("__edge").isin(2, 3), F.col("__len"))).alias("__hi_n"),
+    )
+    earlier = Window.partitionBy(*by).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumns({"__off": F.coalesce(F.sum("__n").over(earlier), F.lit(0)), "__all": F.sum("__n").over(Window.partitionBy(*by))})
+    ends = own.withColumn("__low", F.explode(F.array(F.lit(True), F.lit(False))))
+    low, several = F.col("__low"), F.col("__lo_n") < F.col("__n")  # a segment of one value counts once
+    ends = ends.withColumns(
+        {
+            "__v": F.when(low, F.col("__lo")).otherwise(F.col("__hi")),
+            "__c": F.when(low, F.col("__lo_n")).when(several, F.col("__hi_n")).otherwise(0),
+            "__at": F.when(low, F.col("__off")).when(several, F.col("__off") + F.col("__n") - F.col("__hi_n")),
+        }
+    )
+    tie = Window.partitionBy(*by, "__v")
+    ranked = ends.withColumn("__r", F.min("__at").over(tie) + (F.sum("__c").over(tie) + 1) / 2.0)
+    return ranked.groupBy(F.col("__seg").alias("__s")).agg(
+        F.any_value("__off").alias("__off"), F.any_value("__all").alias("__all"), F.max(F.when(F.col("__low"), F.col("__r"))).alias("__low_r"), F.max(F.when(~F.col("__low"), F.col("__r"))).alias("__high_r"),
+    )
 
 
 def average_rank(df: DataFrame, col: str, by: Sequence[str] = (), out: str = "rank", total: str | None = None) -> DataFrame:
-    """Ranks from 1, ties averaged; null for null. ``total`` also keeps the group size."""
+    """Ranks from 1 in each group, ties averaged; null for null. ``total`` also keeps the group's number of values.
+
+    One range sort: running counts inside sorted stretches of rows, then a table with at most two rows a stretch mends the
+    ranks of groups and ties that cross from one into the next. Groups that lie inside a stretch are done without it.
+    """
     by = list(by)
-    ranks = value_ranks(df, col, by).select(*by, col, F.col("__rank").alias(out), F.col("__total").alias(total or "__total"))
-    joined = null_safe_join(df, ranks, [*by, col], "left")
-    return joined if total else joined.drop("__total")
+    rows = _ranked_stretches(df, by, col)
+    edges = cut_lineage(_edges(rows, by, col))
+    joined = rows.join(edges, F.col("__seg") == F.col("__s"), "left")
+    edge = F.col("__edge")
+    rank = (
+        F.when(F.col("__seg").isNull() | F.col(col).isNull(), F.col("__rank")).when(edge.isin(1, 3), F.col("__low_r")).when(edge == 2, F.col("__high_r"))
+        .otherwise(F.col("__rank") + F.col("__off"))
+    )
+    size = F.when(F.col("__seg").isNull(), F.col("__total")).otherwise(F.col("__all"))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c not in (out, total)], rank.alias(out), *([size.alias(total)] if total else []))
 
 
 def rank_normalize(df: DataFrame, col: str, by: Sequence[str] = (), out: str | None = None) -> DataFrame:
@@ -99,27 +212,28 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles per group as an array, exact at any group size.
 
-    The built-in exact percentile keeps every distinct value of a group in one task, so it only serves
-    groups below ``task_rows``; larger ones are answered from running value counts.
+    The built-in exact percentile keeps every distinct value of a group in one task, so it only serves groups of up to
+    ``task_rows`` values. The few larger ones (at most rows / ``task_rows``) are answered together by radix selection.
     """
     by = list(by)
     probs = [float(p) for p in probs]
     lean = df.select(*by, F.col(col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    size = longest_series(lean, by) if by else lean.count()
-    if size <= task_rows:
-        agg = F.percentile("__v", F.array(*[F.lit(p) for p in probs])).alias(out)
-        return lean.groupBy(*by).agg(agg) if by else lean.agg(agg)
-    ranks = value_ranks(lean, "__v", by)
-    lo_first = F.col("__before")
-    picks = []
-    for i, p in enumerate(probs):
-        h = F.lit(p) * (F.col("__total") - 1)
-        lo, hi = F.floor(h), F.ceil(h)
-        has = lambda at: (at >= lo_first) & (at < lo_first + F.col("__n"))
-        weight = F.when(has(lo), 1 - (h - lo)).otherwise(0.0) + F.when(has(hi) & (hi > lo), h - lo).otherwise(0.0)
-        picks.append((F.when(weight > 0, F.col("__v") * weight), i))
-    agg = F.array(*[F.sum(c) for c, _ in picks]).alias(out)
-    return ranks.groupBy(*by).agg(agg) if by else ranks.agg(agg)
+    agg = F.percentile("__v", F.array(*[F.lit(p) for p in probs])).alias(out)
+    spark = df.sparkSession
+    if not by:
+        if lean.count() <= task_rows:
+            return lean.agg(agg)
+        return spark.createDataFrame([(radix_quantiles(lean, ["__v"], probs)[0, 0].tolist(),)], f"`{out}` array<double>")
+    sizes = lean.groupBy(*by).count()
+    large = sizes.filter(F.col("count") > task_rows).drop("count").collect()
+    if not large:
+        return lean.groupBy(*by).agg(agg)
+    schema = T.StructType([lean.schema[c] for c in by])
+    numbered = spark.createDataFrame([(*r, i) for i, r in enumerate(large)], T.StructType([*schema.fields, T.StructField("__unit", T.IntegerType())]))
+    placed = null_safe_join(lean, numbered, by, "left")
+    found = radix_quantiles(placed, ["__v"], probs, "__unit", [[i] for i in range(len(large))])[:, 0]
+    big = spark.createDataFrame([(*r, q.tolist()) for r, q in zip(large, found)], T.StructType([*schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+    return placed.filter("__unit IS NULL").groupBy(*by).agg(agg).unionByName(big)
 
 
 def quantile_scalar(df: DataFrame, col: str, p: float, task_rows: int = CHUNK_ROWS) -> Column:

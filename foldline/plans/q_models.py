@@ -9,6 +9,7 @@ from foldline.operators import models as M
 from foldline.operators import sequence as SQ
 from foldline.operators import windows as W
 from foldline.operators.folds import time_series_split
+from foldline.operators.quantiles import training_quantiles
 from foldline.plans.catalog import query, rounded, table
 from foldline.plans.stand_ins import entities
 
@@ -74,6 +75,23 @@ def ridge_new_rows(spark, sf_dir):
     return rounded(fit.predict(p.filter("id % 4 = 0")).select("id", "pred"))
 
 
+@query(
+    "I8 D34",
+    """WITH x AS (SELECT (l_orderkey % 5)::INTEGER AS fold, l_quantity, CASE WHEN l_linenumber <> 2 THEN l_extendedprice END AS l_extendedprice, -l_discount AS less, CASE WHEN l_orderkey % 7 > 2 THEN l_tax / 3 END AS tiny FROM lineitem),
+         u AS (SELECT fold, unnest(['l_quantity', 'l_extendedprice', 'less', 'tiny']) AS "column", unnest([l_quantity::DOUBLE, l_extendedprice::DOUBLE, less::DOUBLE, tiny::DOUBLE]) AS v FROM x)
+       SELECT f::INTEGER AS fold, "column", round(quantile_cont(v, 0.1), 6) AS low, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS high
+       FROM u, range(5) t(f) WHERE fold <> f GROUP BY f, "column" """,
+)
+def training_quantiles_by_fold(spark, sf_dir):
+    """Quantiles of every column over each fold's training rows, all from the same eight scans."""
+    x = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 5).cast("int").alias("fold"), "l_quantity", F.when(F.col("l_linenumber") != 2, F.col("l_extendedprice")).alias("l_extendedprice"),
+        (-F.col("l_discount")).alias("less"), F.when(F.col("l_orderkey") % 7 > 2, F.col("l_tax").cast("double") / 3).alias("tiny"),
+    )
+    q = training_quantiles(x, ["l_quantity", "l_extendedprice", "less", "tiny"], "fold", [0.1, 0.5, 0.9])
+    return rounded(q.select("fold", "column", *[F.col("q")[i].alias(n) for i, n in enumerate(("low", "median", "high"))]))
+
+
 @query("I9 E24")
 def weighted_ridge_probe(spark, sf_dir):
     rows = M.weighted_ridge_probe(_panel(spark, sf_dir).drop("fold"), "y", COLS, ["day", "id"], (1.0, 0.5), (10.0, 1000.0))
