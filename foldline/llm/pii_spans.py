@@ -18,6 +18,7 @@ FEATURES = 1 << 11
 MAX_TOKENS = 24
 #: Bounds of the training sample.
 SAMPLE_ROWS = 1_500
+SAMPLE_LENGTH = 100_000
 SAMPLE_ISLANDS = 700
 
 _HAS = re.compile(r"[0-9@]")
@@ -27,7 +28,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ISLAND = re.compile(r"\S*[0-9@]\S*(?:[^\S\n]{1,2}\S*[0-9@]\S*)*")
+_WORD = re.compile(r"\S+")
+_GAP = re.compile(r"[^\S\n]{1,2}")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\sA-Za-z0-9]")
 
 
@@ -49,7 +51,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("email", at, m.end()))
             last = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0])
@@ -63,11 +65,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def islands(text: str, taken: list[tuple[str, int, int]] = ()) -> list[list[tuple[int, int]]]:
     """Token spans of each stretch of words with a digit or an @, without the characters that ``taken`` spans hold."""
-    out = []
-    for m in _ISLAND.finditer(text):
-        tokens, group = [t.span() for t in _TOKEN.finditer(text, *m.span())], []
-        for s, e in tokens:
-            if any(s < b and a < e for _, a, b in taken):
+    held: list[list[int]] = []  # taken spans, merged
+    for _, a, b in sorted(taken, key=lambda x: x[1]):
+        if held and a <= held[-1][1]:
+            held[-1][1] = max(held[-1][1], b)
+        else:
+            held.append([a, b])
+    out, at = [], 0
+    for start, end in _stretches(text):
+        group = []
+        for t in _TOKEN.finditer(text, start, end):
+            s, e = t.span()
+            while at < len(held) and held[at][1] <= s:
+                at += 1
+            if at < len(held) and held[at][0] < e:
                 if group:
                     out.append(group)
                 group = []
@@ -78,6 +89,22 @@ def islands(text: str, taken: list[tuple[str, int, int]] = ()) -> list[list[tupl
     return out
 
 
+def _stretches(text: str):
+    """(start, end) of neighbouring words that all have a digit or an @; one pass over the text."""
+    start = end = None
+    for m in _WORD.finditer(text):
+        if not _HAS.search(text, *m.span()):
+            continue
+        if end is not None and _GAP.fullmatch(text, end, m.start()):
+            end = m.end()
+            continue
+        if end is not None:
+            yield start, end
+        start, end = m.span()
+    if end is not None:
+        yield start, end
+
+
 def _shape(s: str) -> str:
     return re.sub(r"([a9 ])\1+", r"\1", "".join("9" if "0" <= c <= "9" else "a" if c.isalpha() else c for c in s))
 
@@ -286,8 +313,8 @@ def find(model: Model, text: str | None) -> tuple[list, list]:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Train on at most ``rows`` texts with digits or an @, chosen by a hash."""
-    some = docs.filter(F.col("text").rlike("[0-9@]")).select(F.substring("text", 1, 20_000).alias("text"))
+    """Train on at most ``rows`` whole texts of up to SAMPLE_LENGTH characters with digits or an @, chosen by a hash."""
+    some = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_LENGTH)).select("text")
     return train(sorted(r["text"] for r in hash_sample(some, ["text"], rows).collect()))
 
 

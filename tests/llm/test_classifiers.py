@@ -156,3 +156,31 @@ def test_personal_data_edge_rows(spark):
     got = pii_spans.mark(docs_frame(spark, rows), model).collect()
     assert [len(r.base_spans) for r in got] == [0, 0, 20_000, 0]
     assert pii_spans.mark(docs_frame(spark, []), model).count() == 0
+
+
+def test_long_digits_and_long_words_end():
+    assert pii_spans.base_spans("0" * 5000 + ".1.1.1 " + "9" * 5000 + ".1.1.1 0300.1.1.1") == [("ip", 0, 5006)]
+    text = "x" * 1_000_000 + " 1 a@b.c " + "y" * 1_000_000
+    assert [[text[s:e] for s, e in g] for g in pii_spans.islands(text)] == [["1", "a", "@", "b", ".", "c"]]
+    assert pii_spans.base_spans(text) == [("email", 1_000_003, 1_000_008)]
+    many = "1.2.3.4 x " * 20_000
+    assert pii_spans.islands(many, pii_spans.base_spans(many)) == []
+
+
+def test_islands_equal_plain_ones():
+    rng = np.random.default_rng(7)
+    pattern = re.compile(r"\S*[0-9@]\S*(?:[^\S\n]{1,2}\S*[0-9@]\S*)*")
+    for _ in range(500):
+        text = "".join(rng.choice(list("ab1@. \t\n-"), rng.integers(0, 40)))
+        taken = sorted(("ip", int(a), int(a) + 3) for a in rng.integers(0, 40, rng.integers(0, 4)))
+        want = []
+        for m in pattern.finditer(text):
+            group = []
+            for t in pii_spans._TOKEN.finditer(text, *m.span()):
+                if any(t.start() < b and a < t.end() for _, a, b in taken):
+                    want += [group] if group else []
+                    group = []
+                else:
+                    group.append(t.span())
+            want += [group] if group else []
+        assert pii_spans.islands(text, taken) == want
