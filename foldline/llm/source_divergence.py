@@ -40,9 +40,10 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_LETTERS).split()
 
 
-def digest_of(term: bytes, bits: int) -> int:
-    h = xxhash.xxh64_intdigest(term, seed=0) & ((1 << bits) - 1)
-    return h - (1 << 64) if h >> 63 else h
+def digests_of(terms: list[bytes], bits: int) -> np.ndarray:
+    """XXH64 of each term, or its lowest ``bits`` bits, as signed integers."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms))
+    return (h & np.uint64((1 << bits) - 1)).view(np.int64)
 
 
 def _groups(docs: DataFrame) -> DataFrame:
@@ -63,32 +64,28 @@ def stretch_counts(docs: DataFrame, bits: int = DIGEST_BITS, only: np.ndarray |
         docs_with, occurs, held, sent, sent_bytes = {}, {}, 0, set(), 0
 
         def flush():
-            nonlocal sent, sent_bytes
+            nonlocal sent_bytes
             for group, counter in occurs.items():
-                having = docs_with[group]
-                items = list(counter.items())
-                for at in range(0, len(items), 1 << 16):
-                    rows = []
-                    for term, n in items[at : at + (1 << 16)]:
-                        digest = digest_of(term, bits)
-                        if only is not None:
-                            if only[digest % FILTER_BITS]:
-                                rows.append((digest, having[term], n, term))
-                            continue
-                        new = term not in sent
-                        if new:
-                            sent_bytes += 100 + len(term)
-                            if sent_bytes > SENT_BYTES:
-                                sent, sent_bytes = set(), 0
-                            sent.add(term)
-                        rows.append((digest, having[term], n, term if new else None))
-                    if rows:
-                        digests, in_docs, ns, terms = zip(*rows)
+                having, every = docs_with[group], list(counter)
+                for at in range(0, len(every), 1 << 16):
+                    terms = every[at : at + (1 << 16)]
+                    digests = digests_of(terms, bits)
+                    if only is not None:
+                        pick = only[digests % FILTER_BITS]
+                        terms, digests = [t for t, x in zip(terms, pick) if x], digests[pick]
+                        shown = terms
+                    else:
+                        shown = [None if t in sent else t for t in terms]
+                        sent.update(terms)
+                        sent_bytes += sum(100 + len(t) for t in shown if t is not None)
+                        if sent_bytes > SENT_BYTES:
+                            sent.clear()
+                            sent_bytes = 0
+                    if terms:
+                        ns, in_docs = (np.fromiter(map(c.__getitem__, terms), np.int64, len(terms)) for c in (counter, having))
+                        same = [pa.DictionaryArray.from_arrays(np.zeros(len(terms), np.int32), pa.array([g], pa.string())).dictionary_decode() for g in group]
                         yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([group[0]] * len(rows)), pa.array([group[1]] * len(rows)), pa.array(digests, pa.int64()), pa.array(in_docs, pa.int64()),
-                                pa.array(ns, pa.int64()), pa.array(terms, pa.binary()).cast(pa.string()),
-                            ],
+                            [*same, pa.array(digests), pa.array(in_docs), pa.array(ns), pa.array(shown, pa.binary()).cast(pa.string())],
                             names=["lang", "source", "digest", "docs", "n", "term"],
                         )
 
