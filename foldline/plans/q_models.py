@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
+from foldline.operators import boosting as B
 from foldline.operators import models as M
 from foldline.operators import sequence as SQ
 from foldline.operators import windows as W
@@ -135,6 +136,46 @@ def boosted_classifier_cv(spark, sf_dir):
     return rounded(res.oof.select("id", "label", "pred"))
 
 
+# One level and one round: the first split of every fold's tree, which SQL finds by trying every value of every column.
+@query(
+    "I6 I7",
+    """WITH x AS (SELECT o_orderkey AS id, (o_custkey % 5)::INTEGER AS fold, (o_totalprice / 1000 + (o_orderkey % 23) * 4)::DOUBLE AS y, (o_orderkey % 23)::DOUBLE AS a, CASE WHEN o_orderkey % 9 <> 2 THEN o_custkey % 7 END::DOUBLE AS b FROM orders),
+         m AS (SELECT k, avg(y) AS mu FROM x, range(5) t(k) WHERE fold <> k GROUP BY k),
+         u AS (SELECT k, y - mu AS r, unnest(['a', 'b']) AS c, unnest([a, b]) AS v FROM x JOIN m ON fold <> k),
+         g AS (SELECT k, c, v, sum(r) AS s, count(*) AS n FROM u GROUP BY ALL),
+         w AS (SELECT k, c, v, sum(s) OVER l AS gl, sum(n) OVER l AS nl, sum(s) OVER e AS gt, sum(n) OVER e AS nt FROM g WINDOW l AS (PARTITION BY k, c ORDER BY v NULLS FIRST), e AS (PARTITION BY k, c)),
+         b AS (SELECT k, arg_max({'c': c, 'v': v, 'l': gl / nl, 'r': (gt - gl) / (nt - nl)}, gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl)) AS s FROM w WHERE nt > nl GROUP BY k)
+       SELECT id, fold, round(mu + CASE WHEN coalesce((CASE WHEN s.c = 'a' THEN a ELSE b END) <= s.v, true) THEN s.l ELSE s.r END, 6) AS pred FROM x JOIN m ON fold = m.k JOIN b ON fold = b.k""",
+)
+def one_level_trees(spark, sf_dir):
+    """One split for every fold, all from one scan."""
+    key = F.col("o_orderkey")
+    x = table(spark, sf_dir, "orders").select(
+        key.alias("id"), (F.col("o_custkey") % 5).cast("int").alias("fold"), (F.col("o_totalprice").cast("double") / 1000 + key % 23 * 4).alias("y"),
+        (key % 23).cast("double").alias("a"), F.when(key % 9 != 2, F.col("o_custkey") % 7).cast("double").alias("b"),
+    )
+    model = B.fit_folds(x, "y", ["a", "b"], "fold", B.Boosting(rounds=1, depth=1, rate=1.0, ridge=0.0, min_rows=1))
+    return rounded(model.oof().select("id", "fold", "pred"))
+
+
+@query("I6 I7 D26")
+def fold_shared_trees(spark, sf_dir):
+    """All five folds boosted together with early stopping; held-out rows by the trees that did not see them, rows without a
+    fold by the mean of all folds' trees, as test rows are."""
+    p = _panel(spark, sf_dir).withColumn("fold", F.when(F.col("id") % 11 > 0, F.col("fold")))
+    model = B.fit_folds(p.filter("fold IS NOT NULL"), "y", COLS, "fold", B.Boosting(rounds=8, depth=3, rate=0.3))
+    test = model.predict(p.filter("fold IS NULL"))
+    return rounded(model.oof().unionByName(test).select("id", "fold", "pred"))
+
+
+@query("I6 I7 I10 D20")
+def chained_tree_classifier(spark, sf_dir):
+    """Log loss trees on expanding time folds: a fold learns from earlier rows alone."""
+    p = time_series_split(_panel(spark, sf_dir).drop("fold").withColumn("label", (F.col("y") > 300).cast("int")), ["day", "id"], 4)
+    model = B.fit_folds(p, "label", COLS, "fold", B.Boosting(rounds=6, depth=3, rate=0.3, classify=True), chained=True)
+    return rounded(model.oof().select("id", "fold", "label", "pred"))
+
+
 @query("I10 B3 B4 B5")
 def cleaned_boosting(spark, sf_dir):
     p = _panel(spark, sf_dir).drop("fold").withColumns({"f5": F.col("f2") * 2 + 1, "one": F.lit(1.0)})
