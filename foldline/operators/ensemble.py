@@ -5,15 +5,16 @@ Rows are aggregated once (per fold or segment); every weight vector is then scor
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldline.operators.metrics import TAIL_COMPOSITE, banded, get_metric, segment_bounds
+from foldline.operators.metrics import EPS, TAIL_COMPOSITE, banded, get_metric, segment_bounds
 from foldline.operators.moments import centred, collect_moments, shift_to_means
 from foldline.operators.ranks import ecdf_map, exact_quantiles, rank_gauss, zscore
 
@@ -194,11 +195,50 @@ def nelder_mead(fn, start: np.ndarray, rounds: int = 2000, tol: float = 1e-10) -
     return pts[best], float(val[best])
 
 
+#: Losses that are means of a row's error, as functions of the target (rows, 1) and the blends (rows, candidates).
+ROW_LOSSES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "mae": lambda y, p: np.abs(y - p),
+    "mse": lambda y, p: (y - p) ** 2,
+    "log_loss": lambda y, p: -(y * np.log(np.clip(p, EPS, 1 - EPS)) + (1 - y) * np.log1p(-np.clip(p, EPS, 1 - EPS))),
+}
+
+
+def weight_losses(oof: DataFrame, y: str, streams: Sequence[str], weights: np.ndarray, losses: Sequence[str] = ("mae", "mse", "log_loss")) -> np.ndarray:
+    """Mean losses ``[candidate, loss]`` of many weight vectors from one scan: a matrix product per batch, sums per task.
+
+    Rows in which the target or any stream is missing do not count; without any row the losses are not-a-number.
+    """
+    weights = np.atleast_2d(np.asarray(weights, float))
+    lean = oof.select(F.array(*[F.col(f"`{c}`").cast("double") for c in (y, *streams)]).alias("x"))
+    fns = [ROW_LOSSES[n] for n in losses]
+
+    def run(batches):
+        sums, n = np.zeros((len(fns), len(weights))), 0
+        for batch in batches:
+            whole = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            step = max(1, (1 << 20) // len(weights))
+            for at in range(0, len(whole), step):  # the products of a slice fit a few megabytes, whatever the candidates
+                x = whole[at : at + step]
+                x = x[~np.isnan(x).any(axis=1)]
+                blends = x[:, 1:] @ weights.T
+                sums += np.stack([f(x[:, :1], blends).sum(axis=0) for f in fns])
+                n += len(x)
+        i, j = np.indices(sums.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(j.ravel()), pa.array(i.ravel()), pa.array(sums.ravel()), pa.array(np.full(sums.size, n))], names=["c", "l", "v", "n"])
+
+    found = lean.mapInArrow(run, "c long, l long, v double, n long").groupBy("c", "l").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
+    out = np.full((len(weights), len(fns)), np.nan)
+    for r in found:
+        if r["n"]:
+            out[r["c"], r["l"]] = r["v"] / r["n"]
+    return out
+
+
 def optimize_weights(oof: DataFrame, y: str, streams: Sequence[str], metric: str = "rmse", rounds: int = 40) -> tuple[dict[str, float], float]:
     """Weights (absolute, normalised) that optimise a metric.
 
-    RMSE, MSE and Pearson run on one aggregation. Other metrics use a pattern search that scores all
-    neighbours of the current point in a single pass over the rows per round.
+    RMSE, MSE and Pearson run on one aggregation. Other metrics use a pattern search that scores all neighbours of the
+    current point in a single pass over the rows per round: mean losses by :func:`weight_losses` at every step length.
     """
     streams = list(streams)
     k = len(streams)
@@ -218,18 +258,28 @@ def optimize_weights(oof: DataFrame, y: str, streams: Sequence[str], metric: str
     sign = 1.0 if direction == "minimize" else -1.0
 
     def scores(points: list[np.ndarray]) -> list[float]:
+        loss = {"logloss": "log_loss"}.get(metric, metric)
+        if loss in ROW_LOSSES:
+            return weight_losses(oof, y, streams, np.array(points), [loss])[:, 0].tolist()
         wide = oof.select(y, *[weighted_sum(dict(zip(streams, p))).alias(f"b{i}") for i, p in enumerate(points)])
         fn = get_metric(metric)[0]
-        if metric in ("mae", "log_loss", "logloss", "accuracy", "r2"):
-            parts = [fn(wide, y, f"b{i}").select(F.col("value").alias(f"v{i}")).scalar() for i in range(len(points))]
-            row = oof.sparkSession.range(1).select(*[p.alias(f"v{i}") for i, p in enumerate(parts)]).first()
-            return [sign * float(row[f"v{i}"]) for i in range(len(points))]
         long = wide.unpivot([y], [f"b{i}" for i in range(len(points))], "cand", "p")
         got = {r["cand"]: r["value"] for r in fn(long, y, "p", ["cand"]).collect()}
         return [sign * float(got[f"b{i}"]) for i in range(len(points))]
 
     best = np.full(k, 1.0 / k)
     best_score = scores([best])[0]
+    if {"logloss": "log_loss"}.get(metric, metric) in ROW_LOSSES:
+        # a scan scores any number of candidates: every step length of every direction at once, until none is better
+        steps = 0.25 / 2.0 ** np.arange(9)
+        for _ in range(rounds):
+            moves = [norm(np.maximum(best + s * step * e, 0)) for step in steps for e in np.eye(k) for s in (1, -1) if (best + s * step * e).max() > 0]
+            vals = scores(moves)
+            i = int(np.argmin(vals))
+            if not vals[i] < best_score - 1e-12:
+                break
+            best, best_score = moves[i], vals[i]
+        return dict(zip(streams, best)), sign * best_score
     step = 0.25
     for _ in range(rounds):
         moves = [norm(best + s * step * e) for e in np.eye(k) for s in (1, -1) if (best + s * step * e).max() > 0]

@@ -211,6 +211,21 @@ def ideas_from_notes(notes: DataFrame, text: str, id: str, templates: Sequence[t
     return notes.select(id, F.inline(F.array_compact(hits)))
 
 
+def seed_ideas(notes: DataFrame, text: str, pool: DataFrame | None = None, templates: Sequence[tuple[str, str, float]] = DEFAULT_IDEAS) -> DataFrame:
+    """``(category, title, priority, source)``: templates of which one of the first two title words occurs in any note.
+
+    Where that leaves the pool empty (``pool`` has no rows and no note hits), all templates are seeded as defaults.
+    """
+    low = F.lower(F.col(f"`{text}`"))
+    hit = [F.coalesce(F.max(low.contains(words[0]) | (low.contains(words[1]) if len(words) > 1 else F.lit(False))), F.lit(False)) for words in (t.lower().split()[:2] for _, t, _ in templates)]
+    held = F.lit(False) if pool is None else pool.select((F.count(F.lit(1)) > 0).alias("h")).scalar()
+    rows = notes.agg(*[h.alias(f"h{i}") for i, h in enumerate(hit)])
+    found = F.array(*[F.struct(F.col(f"h{i}").alias("hit"), *[F.lit(v).alias(n) for n, v in zip(("category", "title", "priority"), t)]) for i, t in enumerate(templates)])
+    none = ~F.exists("all", lambda x: x["hit"])
+    long = rows.select(found.alias("all")).withColumn("defaults", none & ~held).select("defaults", F.inline("all"))
+    return long.filter("hit OR defaults").select("category", "title", "priority", F.when(F.col("hit"), "research").otherwise("default").alias("source"))
+
+
 # ---------------------------------------------------------------- experiment trees
 
 

@@ -50,12 +50,32 @@ def searched_weights(spark, sf_dir):
     """Derivative-free weights for error and correlation, next to those of a log-loss style row metric."""
     o = oof(spark, sf_dir)
     rows = []
-    for metric in ("rmse", "pearson", "mae"):
-        w, score = E.optimize_weights(o, "y", ["pa", "pb", "pc"], metric, rounds=6)
+    chances = o.select(F.when(F.col("y") > 150, 1.0).otherwise(0.0).alias("y"), *[F.least(F.greatest(F.col(c) / 300, F.lit(0.0)), F.lit(1.0)).alias(c) for c in ("pa", "pb", "pc")])
+    for metric in ("rmse", "pearson", "mae", "log_loss"):
+        w, score = E.optimize_weights(chances if metric == "log_loss" else o, "y", ["pa", "pb", "pc"], metric)
         rows += [(metric, s, float(x), float(score)) for s, x in w.items()]
     return _frame(spark, rows, "metric string, stream string, weight double, score double")
 
 
+_CHANCES = f"""(SELECT id, (y > 150)::INTEGER::DOUBLE AS y, CASE WHEN id % 7 <> 1 THEN least(greatest(pa / 300, 0), 1) END AS pa, least(greatest(pb / 300, 0), 1) AS pb, least(greatest(pc / 300, 0), 1) AS pc FROM {OOF_SQL})"""
+
+
+@query(
+    "J2 J6 J14",
+    f"""WITH b AS (SELECT i * 100 + j AS candidate, y, (i * pa + j * pb + (10 - i - j) * pc) / 10 AS p FROM {_CHANCES}, range(11) a(i), range(11) c(j) WHERE i + j <= 10 AND pa IS NOT NULL)
+       SELECT candidate::BIGINT AS candidate, round(avg(abs(y - p)), 6) AS mae, round(avg((y - p) ** 2), 6) AS mse,
+         round(-avg(y * ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16)) + (1 - y) * ln(1 - least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))), 6) AS log_loss FROM b GROUP BY candidate""",
+)
+def weight_grid_losses(spark, sf_dir):
+    """Every weight vector of a simplex grid under three losses, from one scan."""
+    o = oof(spark, sf_dir)
+    chance = {c: F.least(F.greatest(F.col(c) / 300, F.lit(0.0)), F.lit(1.0)) for c in ("pa", "pb", "pc")}
+    o = o.select(F.when(F.col("y") > 150, 1.0).otherwise(0.0).alias("y"), F.when(F.col("id") % 7 != 1, chance["pa"]).alias("pa"), chance["pb"].alias("pb"), chance["pc"].alias("pc"))
+    grid = [(i, j) for i in range(11) for j in range(11 - i)]
+    found = E.weight_losses(o, "y", ["pa", "pb", "pc"], [[i / 10, j / 10, (10 - i - j) / 10] for i, j in grid])
+    return rounded(_frame(spark, [(i * 100 + j, *map(float, v)) for (i, j), v in zip(grid, found)], "candidate long, mae double, mse double, log_loss double"))
+
+
 @query(
     "J7",
     f"""SELECT k / 40.0::DOUBLE AS weight, round(sqrt(avg((y - ((1 - k / 40.0) * pa + k / 40.0 * pb)) ** 2)), 6) AS rmse FROM {OOF_SQL}, range(41) t(k) GROUP BY k""",

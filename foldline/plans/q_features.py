@@ -226,11 +226,14 @@ def elementwise_maths(spark, sf_dir):
 
 @query(
     "H15",
-    """SELECT o_orderkey, series, value FROM (SELECT o_orderkey, 'o_totalprice' AS series, o_totalprice AS value FROM orders UNION ALL SELECT o_orderkey, 'o_custkey', o_custkey::DOUBLE FROM orders)""",
+    """WITH o AS (SELECT try_cast(CASE WHEN o_orderkey % 50 = 1 THEN 'no date' ELSE o_orderdate::DATE::VARCHAR END AS TIMESTAMP) AS day, o_totalprice, o_custkey::DOUBLE AS o_custkey FROM orders)
+       SELECT strftime(day, '%Y-%m-%d %H:%M:%S') AS day, series, value FROM (SELECT day, 'o_totalprice' AS series, o_totalprice AS value FROM o UNION ALL SELECT day, 'o_custkey', o_custkey FROM o)""",
 )
 def melted_series(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"))
-    return o.unpivot("o_orderkey", ["o_totalprice", "o_custkey"], "series", "value")
+    o = table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderkey") % 50 == 1, "no date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey")
+    )
+    return FE.melt_series(o, "day", ["o_totalprice", "o_custkey"], "series").withColumn("day", F.date_format("day", "yyyy-MM-dd HH:mm:ss"))
 
 
 _TURNS = """(SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text || ' {"turn": ' || turn || '} and {broken' WHEN 1 THEN 'Note ' || ' ```python' || chr(10) || 'x = ' || turn || chr(10) || '```' || text || '```' || chr(10) || 'y' || chr(10) || '```'

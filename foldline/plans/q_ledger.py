@@ -135,6 +135,30 @@ def ideas_from_notes(spark, sf_dir):
     return L.ideas_from_notes(table(spark, sf_dir, "documents"), "text", "doc_id", _WORDS)
 
 
+def _seeds_sql(text: str, source: str) -> str:
+    """Templates of which one of the first two title words is in a note; all of them where none is."""
+    rows = []
+    for category, title, priority in L.DEFAULT_IDEAS:
+        words = title.lower().split()[:2]
+        hit = " OR ".join(f"contains(lower({text}), '{w}')" for w in words)
+        rows.append(f"SELECT '{category}' AS category, '{title}' AS title, {priority}::DOUBLE AS priority, coalesce(bool_or({hit}), false) AS hit FROM {source}")
+    return (
+        f"WITH h AS ({' UNION ALL '.join(rows)}) SELECT category, title, priority, CASE WHEN hit THEN 'research' ELSE 'default' END AS source FROM h"
+        " WHERE hit OR NOT (SELECT bool_or(hit) FROM h)"
+    )
+
+
+@query("N6", _seeds_sql("html", "pages"))
+def ideas_seeded(spark, sf_dir):
+    return L.seed_ideas(table(spark, sf_dir, "pages"), "html")
+
+
+@query("N6", _seeds_sql("o_orderstatus", "orders"))
+def ideas_seeded_by_default(spark, sf_dir):
+    """Notes without any hit: an empty pool gets every template."""
+    return L.seed_ideas(table(spark, sf_dir, "orders"), "o_orderstatus", pool=table(spark, sf_dir, "orders").filter("o_orderkey < 0"))
+
+
 _TOP = (("the", "alpha"), ("of", "alpha"), ("and", "alpha"), ("que", "beta"), ("les", "beta"), ("und", "beta"), ("der", "beta"))
 
 
