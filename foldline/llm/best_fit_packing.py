@@ -101,10 +101,10 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def word_bpe_encoder(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
+def word_bpe_encoder(path: str, cache_bytes: int = 240 << 20) -> Callable[[], Callable[[str], np.ndarray]]:
     """Encoder for lower-case vocabularies that drop white space: a word is encoded once per task and then looked up.
 
-    White space separates ids, so whole texts have the ids of their words. A run of plain letters goes to the BPE
+    A task remembers words and runs of letters within ``cache_bytes``. White space separates ids, so whole texts have the ids of their words. A run of plain letters goes to the BPE
     model directly, without the general normaliser and splitter; any other word takes the general way.
     """
 
@@ -122,7 +122,7 @@ def word_bpe_encoder(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
             return array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
 
         model = tok.model
-        runs, marks = HashCache(run_of_letters, 250_000), HashCache(whole, 20_000)
+        runs, marks = HashCache(run_of_letters, 1_000_000, cache_bytes * 2 // 5), HashCache(whole, 20_000, 2 << 20)
 
         def word_ids(word: bytes) -> bytes:
             text = word.decode()
@@ -131,7 +131,7 @@ def word_bpe_encoder(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
                 return whole(text)
             return (marks[m[1]] if m[1] else b"") + runs[m[2].lower()] + (marks[m[3]] if m[3] else b"")
 
-        words = HashCache(word_ids, 300_000)
+        words = HashCache(word_ids, 1_000_000, cache_bytes * 3 // 5)
 
         def encode(text: str) -> np.ndarray:
             return np.frombuffer(b"".join(map(words.__getitem__, text.encode().lower().split())), dtype="<u4")
@@ -141,10 +141,11 @@ def word_bpe_encoder(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
     return load
 
 
-def pieces(docs: DataFrame, encoder: Callable, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, encoder: Callable, end_id: int, capacity: int = CAPACITY, digest: Callable[[np.ndarray], int] | None = None) -> DataFrame:
     """(doc_id, piece, start, tokens, length, part, nth): each document's ids and the end id, cut into pieces of ``capacity``.
 
-    part is the task and nth the number of earlier pieces of that length in it.
+    part is the task and nth the number of earlier pieces of that length in it. With ``digest`` the column ``digest`` has its
+    value instead of tokens.
     """
 
     def run(batches):
@@ -160,28 +161,33 @@ def pieces(docs: DataFrame, encoder: Callable, end_id: int, capacity: int = CAPA
             if not out:
                 continue
             doc, k, at, tokens, length, nth = zip(*out)
+            if digest:
+                content = pa.array([digest(t) for t in tokens], pa.int64())
+            else:
+                content = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(np.concatenate(tokens).astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(at, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(np.concatenate(tokens).astype(np.int32))),
-                    pa.array(length, pa.int64()), pa.array([part] * len(out), pa.int64()), pa.array(nth, pa.int64()),
+                    pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(at, pa.int64()), content, pa.array(length, pa.int64()), pa.array([part] * len(out), pa.int64()), pa.array(nth, pa.int64()),
                 ],
-                names=["doc_id", "piece", "start", "tokens", "length", "part", "nth"],
+                names=["doc_id", "piece", "start", kept.split()[0], "length", "part", "nth"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, tokens array<int>, length long, part long, nth long")
+    kept = "digest long" if digest else "tokens array<int>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), f"doc_id long, piece int, start long, {kept}, length long, part long, nth long")
 
 
-def pack(docs: DataFrame, encoder: Callable, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, encoder: Callable, end_id: int, capacity: int = CAPACITY, digest: Callable[[np.ndarray], int] | None = None) -> DataFrame:
     """(doc_id, piece, start, tokens, length, sequence_id, offset): where each piece of each document lies.
 
+    With ``digest``, a number made of a piece's ids, the tokens themselves stay out of the written table and the joins.
+
     Best-fit decreasing over all documents: only the histogram of lengths (at most ``capacity`` rows) reaches the driver,
     and the plan made from it is bounded by the capacity too. A piece finds its place by its rank among all pieces of its
     length: its number in its task plus the counts of the tasks before. Null texts count as empty: their piece is the
     end id alone. Null and repeated doc_ids are packed like any other row; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    cut = cut_lineage(pieces(docs, encoder, end_id, capacity))
+    cut = cut_lineage(pieces(docs, encoder, end_id, capacity, digest))
     counts = cut_lineage(cut.groupBy("part", "length").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = cut_lineage(counts.selectExpr("part", "length", "sum(n) OVER (PARTITION BY length ORDER BY part) - n AS earlier"))
@@ -190,7 +196,7 @@ def pack(docs: DataFrame, encoder: Callable, end_id: int, capacity: int = CAPACI
     r = F.element_at(F.filter("runs", lambda x: x["rank"] <= F.col("rank")), -1)
     placed = ranked.join(runs, "length").withColumn("r", r).withColumn("k", F.col("rank") - F.col("r.rank"))
     return placed.selectExpr(
-        "doc_id", "piece", "start", "tokens", "length", "r.first_bin + k div r.per_bin AS sequence_id", "r.offset + k % r.per_bin * length AS offset"
+        "doc_id", "piece", "start", "digest" if digest else "tokens", "length", "r.first_bin + k div r.per_bin AS sequence_id", "r.offset + k % r.per_bin * length AS offset"
     )
 
 

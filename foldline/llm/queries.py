@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ from foldline.llm import (
     template_decontamination,
     toxicity,
 )
-from foldline.llm.common import ascii_lower, crc_remainder, table, tidy
+from foldline.llm.common import ascii_lower, crc_remainder, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,23 +89,16 @@ END_ID = 1
 DIGEST = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
-def word_bpe():
+def word_bpe(cache_bytes: int = 240 << 20):
     import public_tokenizers
 
-    return best_fit_packing.word_bpe_encoder(public_tokenizers.path("word_bpe_49k.json"))
+    return best_fit_packing.word_bpe_encoder(public_tokenizers.path("word_bpe_49k.json"), cache_bytes)
 
 
 @query()
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = best_fit_packing.pack(table(spark, sf_dir, "documents"), word_bpe(), END_ID)
-
-    def digest(batches):
-        for b in batches:
-            at, ids = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(crc, pa.int64()), *b.columns[5:]], names=DIGEST)
-
-    return packed.mapInArrow(tidy(digest), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = best_fit_packing.pack(table(spark, sf_dir, "documents"), word_bpe(), END_ID, digest=lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
+    return packed.withColumnRenamed("digest", "ids_crc32").select(*DIGEST)
 
 
 def _held_out(modulus: int, remainder: int):
