@@ -16,6 +16,9 @@ from foldline.llm.common import table
 from foldline.llm.queries import END_ID, TOXIC_SCORE, word_bpe
 from foldline.session import cut_lineage, scratch_root
 
+#: Bytes of words a task of the last stage remembers: it also carries tokens through its joins.
+CACHE_BYTES = 80 << 20
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; null and empty texts stay."""
@@ -47,7 +50,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, with their tokens, sequence and offset."""
-    return best_fit_packing.pack(docs, word_bpe(), END_ID)
+    return best_fit_packing.pack(docs, word_bpe(CACHE_BYTES), END_ID)
 
 
 STAGES = [
