@@ -306,6 +306,63 @@ def series_preset(spark, sf_dir):
     return out.select("event_id", "value_lag_3", "value_roll_min_10")
 
 
+@query(
+    "P-2 P-4 E1 E2 E7 E8 E10 E12",
+    """WITH e AS (SELECT event_id, user_id, ts, value AS close, value + event_id % 5 AS high, value - event_id % 3 AS low, (event_id % 100)::DOUBLE AS volume FROM events),
+         f AS (SELECT *, lag(close, 3) OVER w AS close_lag_3, lag(volume, 1) OVER w AS volume_lag_1, min(high) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS high_roll_min_10,
+           CASE WHEN count(*) OVER w5 = 5 THEN avg(close) OVER w5 END AS close_sma_5, close / nullif(lag(close, 5) OVER w, 0) - 1 AS close_return_5,
+           CASE WHEN count(*) OVER w14 = 14 THEN avg(high - low) OVER w14 END AS atr_14, CASE WHEN count(*) OVER w10 = 10 THEN volume / nullif(avg(volume) OVER w10, 0) END AS volume_ratio
+         FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), w5 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+           w10 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), w14 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
+       SELECT event_id, round(close_lag_3, 6) AS close_lag_3, round(volume_lag_1, 6) AS volume_lag_1, round(high_roll_min_10, 6) AS high_roll_min_10, round(close_sma_5, 6) AS close_sma_5,
+         round(close_return_5, 6) AS close_return_5, round(atr_14, 6) AS atr_14, round(volume_ratio, 6) AS volume_ratio FROM f""",
+)
+def series_preset_in_full(spark, sf_dir):
+    """All four generators of the preset over four columns; one column of each kind of output is compared."""
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "ts", F.col("value").alias("close"), (F.col("value") + F.col("event_id") % 5).alias("high"), (F.col("value") - F.col("event_id") % 3).alias("low"),
+        (F.col("event_id") % 100).cast("double").alias("volume"),
+    )
+    out = FE.build_features(ev, FE.preset("crypto"), order=["ts", "event_id"], part=["user_id"])
+    return rounded(out.select("event_id", "close_lag_3", "volume_lag_1", "high_roll_min_10", "close_sma_5", "close_return_5", "atr_14", "volume_ratio"))
+
+
+@query(
+    "P-5 D22",
+    """WITH c AS (SELECT l_linestatus AS part, (l_quantity > 25)::INTEGER::DOUBLE AS y, l_extendedprice / 100000.0 AS p FROM lineitem WHERE l_extendedprice <= 100000)
+       SELECT part, metric, round(value, 6) AS value, direction FROM (
+         SELECT part, 'rmse' AS metric, sqrt(avg((y - p) ** 2)) AS value, 'minimize' AS direction FROM c GROUP BY part UNION ALL SELECT part, 'mae', avg(abs(y - p)), 'minimize' FROM c GROUP BY part
+         UNION ALL SELECT part, 'mse', avg((y - p) ** 2), 'minimize' FROM c GROUP BY part UNION ALL SELECT part, 'pearson', corr(y, p), 'maximize' FROM c GROUP BY part
+         UNION ALL SELECT part, 'accuracy', avg((y = (p > 0.5)::INTEGER)::INTEGER), 'maximize' FROM c GROUP BY part
+         UNION ALL SELECT part, 'log_loss', -avg(y * ln(greatest(p, 2.220446049250313e-16)) + (1 - y) * ln(1 - least(p, 1 - 2.220446049250313e-16))), 'minimize' FROM c GROUP BY part)""",
+)
+def metrics_by_name(spark, sf_dir):
+    """Metrics looked up by name, with the direction that the registry holds."""
+    from foldline.operators import metrics as ME
+
+    rows = table(spark, sf_dir, "lineitem").filter("l_extendedprice <= 100000").select(
+        F.col("l_linestatus").alias("part"), F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0).alias("y"), (F.col("l_extendedprice") / 100000.0).cast("double").alias("p")
+    )
+    names = ["rmse", "mae", "mse", "pearson", "accuracy", "log_loss"]
+    direction = F.create_map(*[F.lit(x) for n in names for x in (n, ME.get_metric(n)[1])])
+    return rounded(ME.metric_table(rows, names, "y", "p", ["part"]).withColumn("direction", direction[F.col("metric")]))
+
+
+@query(
+    "B9",
+    """SELECT count(*) AS rows, round(avg(l_extendedprice), 4) AS price, round(avg(l_quantity), 4) AS amount, max(strftime(l_shipdate, '%Y-%m-%d')) AS last_day FROM lineitem""",
+)
+def columns_found_by_name(spark, sf_dir):
+    """Columns picked by part of their name, candidates in order: the first that any column holds wins."""
+    from foldline.roles import find_col
+
+    li = table(spark, sf_dir, "lineitem")
+    price, amount, day = (find_col(li.columns, c) for c in (["close", "price", "tax"], ["volume", "quant"], ["date"]))
+    return li.agg(
+        F.count("*").alias("rows"), F.round(F.avg(price), 4).alias("price"), F.round(F.avg(amount), 4).alias("amount"), F.date_format(F.max(day), "yyyy-MM-dd").alias("last_day")
+    )
+
+
 @query(
     "B2 D9",
     "SELECT o_orderkey, o_totalprice, n AS cust_orders FROM orders JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) USING (o_custkey)",
