@@ -14,9 +14,11 @@ from foldline.llm.common import crc_remainder, map_rows, sigmoid
 
 DIMENSIONS = 1 << 12
 ORDERS = (1, 2, 3)
-#: Bounds of the labelled sample: rows over all languages and characters of a row.
+#: Bounds of the labelled sample, whole texts: rows and bytes over all languages.
 SAMPLE_ROWS = 4_000
-SAMPLE_CHARS = 4_000
+SAMPLE_BYTES = 20_000_000
+#: Multiplications spent on the choice among random codes.
+CODE_WORK = 2_000_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -38,11 +40,13 @@ def codewords(n: int, bits: int | None = None) -> np.ndarray:
         return np.vstack([np.ones((1, len(splits)), np.int8), rest * 2 - 1]).astype(np.int8)
     bits, rng = bits or int(np.ceil(15 * np.log2(n))), np.random.default_rng(17)
     best, far = None, -1
-    for _ in range(200):
+    for _ in range(max(1, min(200, CODE_WORK // (n * n * bits)))):
         code = rng.choice(np.array([-1, 1], np.int8), (n, bits))
         if (np.abs(code.sum(axis=0)) == n).any():
             continue
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        alike = code.astype(np.float32) @ code.T.astype(np.float32)
+        np.fill_diagonal(alike, -bits)
+        apart = (bits - int(alike.max())) // 2
         if apart > far:
             best, far = code, apart
     return best
@@ -104,21 +108,35 @@ def decode(model: Model, text: str | None) -> tuple[str, float, bool, float]:
     return model.languages[order[0]], float(1.0 / p.sum()), margin < 0.05, margin
 
 
-def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, most_languages: int = 400) -> list[tuple[str, str]]:
-    """At most ``rows`` texts over all languages, chosen by a hash and cut to ``chars`` for training only.
+def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
+    """About ``rows`` whole texts over all languages, chosen by a hash, as many as have ``size`` bytes together.
 
-    Each of the ``most_languages`` most frequent ones gets an equal part. Only rows whose crc32(doc_id as text) mod 3 is
-    not 1 and whose lang is set are learned from.
+    Every language gets an equal part of both bounds; in the order of the hash each text that still fits is taken, and of a
+    language without one its shortest. No text is cut and no language left out. Only rows whose crc32(doc_id as text)
+    mod 3 is not 1 and whose lang is set are learned from.
     """
     d = docs.filter((crc_remainder(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    d = d.select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1)).alias("part"))
-    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not counts:
+    d = d.select("lang", "text", F.octet_length("text").alias("size"), F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1)).alias("part"))
+    counts = d.groupBy("lang").agg(F.count("*").alias("count"), F.min(F.struct("size", "part")).alias("least"))
+    known = counts.collect()
+    if not known:
         return []
-    each = max(1, rows // len(counts))
-    below = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(int((1 << 40) * min(1.0, each / r["count"]))))))
-    found = d.filter(F.col("part") < below[F.col("lang")]).select("text", "lang").limit(rows + rows // 4).collect()
-    return sorted(((r["text"], r["lang"]) for r in found), key=lambda r: xxhash.xxh64_intdigest(r[0].encode()))
+    each = max(1, rows // len(known))
+    below = [(r["lang"], r["least"]["part"], (1 << 40) * min(1.0, each / r["count"])) for r in known]
+    below = F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, least long, below double"))
+    some = d.join(below, "lang").filter((F.col("part") < F.col("below")) | (F.col("part") == F.col("least")))
+    order, held, chosen = some.groupBy("lang", "part").agg(F.min("size").alias("size")).collect(), {}, {}
+    room = size / len(known)
+    for r in sorted(order, key=lambda r: (r["lang"], r["part"])):
+        if held.get(r["lang"], 0) + r["size"] <= room:
+            held[r["lang"]] = held.get(r["lang"], 0) + r["size"]
+            chosen.setdefault(r["lang"], set()).add(r["part"])
+    for r in sorted(order, key=lambda r: (r["size"], r["part"])):
+        chosen.setdefault(r["lang"], {r["part"]})
+    parts = [p for c in chosen.values() for p in c]
+    found = some.filter(F.col("part").isin(parts)).groupBy("lang", "part").agg(F.max("text").alias("text")).collect()
+    texts = [(r["text"], r["lang"]) for r in found if r["part"] in chosen[r["lang"]]]
+    return sorted(texts, key=lambda r: (xxhash.xxh64_intdigest(r[0].encode()), r[1]))
 
 
 def fit(docs: DataFrame) -> Model:
@@ -132,8 +150,11 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     nearest codewords are about equally far. Rows are taken one by one: repeated and null ids do no harm.
     """
     columns = columns or docs.columns
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return map_rows(
-        docs.select(*columns, F.col("text").alias("__text")), [*columns, "__text"],
-        f"{ddl}, lang_pred string, score double, ambiguous boolean, margin double", lambda *row: (*row[:-1], *decode(model, row[-1])),
+    quoted = ["`" + c.replace("`", "``") + "`" for c in columns]
+    plain = [f"c{k}" for k in range(len(columns))]
+    rows = docs.select(*quoted, F.col("text").alias("__text")).toDF(*plain, "__text")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    found = map_rows(
+        rows, rows.columns, f"{ddl}, lang_pred string, score double, ambiguous boolean, margin double", lambda *row: (*row[:-1], *decode(model, row[-1])),
     )
+    return found.toDF(*columns, "lang_pred", "score", "ambiguous", "margin")

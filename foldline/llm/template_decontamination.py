@@ -1,4 +1,8 @@
-"""Benchmark decontamination by templates: numbers, names and units become typed slots whose fillings must be consistent."""
+"""Benchmark decontamination by templates: numbers, names and units become typed slots whose fillings must be consistent.
+
+Beside the templates, windows of the lower-cased tokens themselves find copies that the slots hide: in other case, of
+items that are mostly slots, and copies of which a slot or a word was changed.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldline.llm.common import HashCache, slices, tidy
@@ -15,6 +19,10 @@ from foldline.session import cut_lineage
 
 #: Tokens of a template window; a shorter item is one window.
 WINDOW = 8
+#: Windows of plain tokens on one alignment that are a leak however long the item is: 31 tokens in a row.
+LONG_RUN = 24
+#: Mark of plain windows and items, which no template begins with.
+PLAIN = "="
 #: Bits of the filter of benchmark windows: its size is fixed, a larger benchmark only lets more windows reach the join.
 FILTER_BITS = 25
 
@@ -43,12 +51,12 @@ def _coded(token: str) -> int:
 
 
 class Templates:
-    """Tokens, kinds and hashes of a text after its slots are found."""
+    """Tokens, kinds and hashes of a text after its slots are found, and the hashes of the tokens themselves."""
 
     def __init__(self):
         self.codes = HashCache(_coded)
 
-    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         tokens = _TOKEN.findall(text or "")
         code = np.fromiter(map(self.codes.__getitem__, tokens), np.uint64, len(tokens))
         kind = (code & np.uint64(7)).astype(np.int8)
@@ -57,21 +65,32 @@ class Templates:
         begins[1:] = mark[:-1]
         kind[(kind == NAME) & begins] = LITERAL
         keep = ~mark
-        code, kind = code[keep] & ~np.uint64(7), kind[keep]
+        plain, kind = code[keep] & ~np.uint64(7), kind[keep]
+        code = plain.copy()
         for k, h in _SLOT.items():
             code[kind == k] = h
-        return [t for t, m in zip(tokens, mark.tolist()) if not m], kind, code
+        return [t for t, m in zip(tokens, mark.tolist()) if not m], kind, code, plain
 
 
-def window_hashes(code: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows of which at least half is literal."""
-    n = len(code) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, np.uint64(width), np.uint64)
+def _rolled(code: np.ndarray, width: int, start: int) -> np.ndarray:
+    n = max(0, len(code) - width + 1)
+    h = np.full(n, np.uint64(start), np.uint64)
     for j in range(width):
         h = h * np.uint64(0x9E3779B97F4A7C15) + code[j : j + n]
         h ^= h >> np.uint64(29)
+    return h
+
+
+def plain_hashes(plain: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every window of tokens."""
+    return _rolled(plain, width, 1 << 20)
+
+
+def window_hashes(code: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the windows of which at least half is literal."""
+    h = _rolled(code, width, width)
+    if not len(h):
+        return np.zeros(0, np.int64), h
     literal = np.cumsum(np.append(0, kind == LITERAL))
     at = np.flatnonzero(2 * (literal[width:] - literal[:-width]) >= width)
     return at, h[at]
@@ -93,16 +112,35 @@ def _digest(tokens: list[str], kind: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(_spell(tokens, kind, 0, len(tokens))[0].encode())
 
 
+def _words(tokens: list[str]) -> str:
+    return " ".join(t.lower() for t in tokens)
+
+
+def _plain_digest(tokens: list[str]) -> str:
+    return PLAIN + xxhash.xxh3_128_hexdigest(_words(tokens).encode())
+
+
+def row_key() -> Column:
+    """Two hashes of doc_id and text, 128 bits: the same for repeated rows only."""
+    return F.concat(F.hex(F.xxhash64("doc_id", "text")), F.lit("-"), F.hex(F.xxhash64("text", "doc_id")))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(hash, template, pos, width, windows, whole) of every distinct whole template; whole is its digest."""
+    """(hash, template, pos, width, windows, whole) of every distinct whole template; whole is its digest.
+
+    Windows of plain tokens, of items with at least ``window`` tokens, have marked templates and digests.
+    """
 
     def run(batches):
         find = Templates()
         for rows in slices(batches):
             out = []
             for text in rows.column(0).to_pylist():
-                tokens, kind, code = find(text)
+                tokens, kind, code, plain = find(text)
                 width = min(window, len(tokens))
+                if width == window:
+                    h, whole = plain_hashes(plain, width), _plain_digest(tokens)
+                    out += [(int(x), PLAIN + _words(tokens[a : a + width]), a, width, len(h), whole) for a, x in enumerate(h.view(np.int64))]
                 at, h = window_hashes(code, kind, width) if width else ((), ())
                 whole = _digest(tokens, kind)
                 out += [(int(x.view(np.int64)), _spell(tokens, kind, int(a), width)[0], int(a), width, len(at), whole) for a, x in zip(at, h)]
@@ -116,19 +154,26 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """(whole, item_id, own): the digest of each item's whole template and its slots' fillings as kind:value by position, null for literals."""
+    """(whole, base, item_id, own): digests of each item's whole template and its slots' fillings as kind:value by position, null for literals.
+
+    Each item has a second row with the digest of its plain tokens and no fillings; base is the template's digest in both.
+    """
 
     def run(batches):
         find = Templates()
         for rows in slices(batches):
-            whole, own = [], []
-            for text in rows.column(1).to_pylist():
-                tokens, kind, _ = find(text)
-                whole.append(_digest(tokens, kind))
-                own.append([None if k == LITERAL else f"{k}:{t.lower()}" for t, k in zip(tokens, kind.tolist())])
-            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.string()), rows.column(0), pa.array(own, pa.list_(pa.string()))], names=["whole", "item_id", "own"])
+            out = []
+            for item, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                tokens, kind, _, _ = find(text)
+                base = _digest(tokens, kind)
+                out.append((base, base, item, [None if k == LITERAL else f"{k}:{t.lower()}" for t, k in zip(tokens, kind.tolist())]))
+                out.append((_plain_digest(tokens), base, item, None))
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, o)) for o in out], schema=schema)
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(tidy(run), "whole string, item_id long, own array<string>").distinct()
+    schema = pa.schema([("whole", pa.string()), ("base", pa.string()), ("item_id", pa.int64()), ("own", pa.list_(pa.string()))])
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(tidy(run), "whole string, base string, item_id long, own array<string>").distinct()
 
 
 def window_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -141,40 +186,57 @@ def window_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
-    """(key, doc_id, item_id, kind, coverage, windows, at): benchmark items whose template a document holds.
+def _plain(column: str) -> Column:
+    return F.startswith(F.col(column), F.lit(PLAIN))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, long_run: int = LONG_RUN) -> DataFrame:
+    """(key, doc_id, item_id, kind, coverage, windows, at): benchmark items whose template or tokens a document holds.
 
     A window is a run of ``window`` tokens with at least half of them literal; numbers, units and names (capitalised
     within a sentence) are typed slots. Windows of a document and an item are joined by hash and compared as text. Of
     windows on one alignment (same distance of the positions) all slots must agree: a value of the item is always filled
     by the same value of the document. The document leaks the item if they cover at least ``coverage`` of the item's windows;
-    kind is verbatim if the fillings are the item's own, else reparameterised. Items of one template are all checked, each with
-    its own fillings: those held verbatim are named, or, if there is none, the one covered most (of equals the smallest id, null last). key is a hash of doc_id and text, the
-    same for repeated rows; of several alignments of a pair the one that covers most counts. Items with no
-    literal window (null, empty, slots only) match nothing; null texts leak nothing.
+    kind is verbatim if the fillings are the item's own, else reparameterised.
+
+    Windows of plain lower-cased tokens, whatever their kinds, are joined likewise for items of at least ``window`` tokens:
+    on one alignment ``coverage`` of the item's, or ``long_run`` of them, is a leak, verbatim if they are all of them, else an excerpt.
+    So copies in other case, items of numbers or names, and copies with a changed word or an inconsistent slot are found.
+
+    Items of one template are all checked, each with its own fillings: those held verbatim are named, or, if there is none,
+    the one covered most (of equals the smallest id, null last). key is :func:`row_key`; of several alignments of a pair the
+    one that covers most counts. Items of fewer tokens without a literal window (null, empty, slots only) match nothing;
+    null texts leak nothing.
     """
     known = cut_lineage(benchmark_windows(benchmark, window))
-    widths = sorted(r["width"] for r in known.select("width").distinct().collect())  # at most ``window`` of them
+    widths = sorted(r["width"] for r in known.filter(~_plain("template")).select("width").distinct().collect())  # at most ``window`` of them
     bitmap = docs.sparkSession.sparkContext.broadcast(window_filter(known))
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("template", pa.string()), ("filled", pa.list_(pa.string())), ("doc_pos", pa.int64())])
+    schema = pa.schema([("key", pa.string()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("template", pa.string()), ("filled", pa.list_(pa.string())), ("doc_pos", pa.int64())])
 
     def run(batches):
         find, bits = Templates(), bitmap.value
         mask = np.uint64(len(bits) * 64 - 1)
+
+        def hits(h):
+            place = h & mask
+            return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
         for rows in slices(batches):
             out = []
             for key, doc, text in zip(*(c.to_pylist() for c in rows.columns)):
-                tokens, kind, code = find(text)
+                tokens, kind, code, plain = find(text)
+                h = plain_hashes(plain, window)
+                at = np.flatnonzero(hits(h))
+                out += [(key, doc, int(x), PLAIN + _words(tokens[a : a + window]), [], a) for a, x in zip(at.tolist(), h[at].view(np.int64))]
                 for width in widths:
                     at, h = window_hashes(code, kind, width)
-                    place = h & mask
-                    hit = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+                    hit = hits(h)
                     out += [(key, doc, int(x.view(np.int64)), *_spell(tokens, kind, int(a), width), int(a)) for a, x in zip(at[hit], h[hit])]
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, o)) for o in out], schema=schema)
 
-    d = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = d.mapInArrow(tidy(run), "key long, doc_id long, hash long, template string, filled array<string>, doc_pos long")
+    d = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    seen = d.mapInArrow(tidy(run), "key string, doc_id long, hash long, template string, filled array<string>, doc_pos long")
     met = cut_lineage(seen).join(known, ["hash", "template"]).withColumn(
         "filled", F.transform("filled", lambda s: F.struct((F.col("pos") + F.substring_index(s, ":", 1).cast("int")).cast("int").alias("i"), F.regexp_replace(s, r"^\d+:", "").alias("other")))
     )
@@ -182,14 +244,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         F.count_distinct("pos").alias("windows"), F.first("windows").alias("of"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled")
     )
     pairs = F.array_distinct(F.transform("filled", lambda s: F.struct(F.get("own", s["i"]).alias("own"), s["other"].alias("other"))))
-    each = group.filter(F.col("windows") >= coverage * F.col("of")).join(benchmark_items(benchmark), "whole").withColumn("pairs", pairs)
+    least = F.when(_plain("whole"), F.least(coverage * F.col("of"), F.lit(float(long_run)))).otherwise(coverage * F.col("of"))
+    each = group.filter(F.col("windows") >= least).join(benchmark_items(benchmark), "whole").withColumn("pairs", pairs)
     consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.own")))
     own = F.forall("pairs", lambda p: p["own"] == p["other"])
-    best = F.struct((F.col("windows") / F.col("of")).alias("coverage"), F.when(own, "verbatim").otherwise("reparameterised").alias("kind"), "windows", (-F.col("at")).alias("before"))
-    found = each.filter(consistent).groupBy("key", "doc_id", "whole", "item_id").agg(F.max(best).alias("best"))
+    kind = F.when(_plain("whole") & (F.col("windows") < F.col("of")), "excerpt").when(own, "verbatim").otherwise("reparameterised")
+    best = F.struct((F.col("windows") / F.col("of")).alias("coverage"), kind.alias("kind"), "windows", (-F.col("at")).alias("before"))
+    found = each.filter(consistent).groupBy("key", "doc_id", "base", "item_id").agg(F.max(best).alias("best"))
     order = F.struct((-F.col("best.coverage")).alias("less"), F.col("item_id").isNull().alias("last"), "item_id", "best")
     verbatim = F.col("best.kind") == "verbatim"
-    named = found.groupBy("key", "doc_id", "whole").agg(F.collect_list(F.when(verbatim, order)).alias("same"), F.min(order).alias("other"))
+    named = found.groupBy("key", "doc_id", "base").agg(F.collect_list(F.when(verbatim, order)).alias("same"), F.min(order).alias("other"))
     named = named.select("key", "doc_id", F.explode(F.when(F.size("same") > 0, F.col("same")).otherwise(F.array("other"))).alias("one"))
     return named.select("key", "doc_id", "one.item_id", "one.best.kind", "one.best.coverage", "one.best.windows", (-F.col("one.best.before")).alias("at"))
 
@@ -197,4 +261,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
     """Rows of ``docs`` (all columns) that leak no item; repeated rows, null texts and null ids stay unless their text leaks."""
     bad = cut_lineage(leaks(docs, benchmark, window, coverage).select(F.col("key").alias("__leak")).distinct())
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(bad, F.col("__key") == F.col("__leak"), "left_anti").drop("__key")
+    return docs.withColumn("__key", row_key()).join(bad, F.col("__key") == F.col("__leak"), "left_anti").drop("__key")

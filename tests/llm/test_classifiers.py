@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from foldline.llm import language_codes, pii_spans, toxicity
 from foldline.llm.queries import op5_toxicity, op8_pii_spans, op10_language_codes
@@ -78,6 +79,48 @@ def test_codewords_are_far_apart():
         assert min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= max(1, code.shape[1] // 4)
 
 
+def slow_decode(model, text):
+    """Language, score and margin with every n-gram and every bit written out."""
+    raw, count = text.lower().encode(), {}
+    for n in language_codes.ORDERS:
+        for at in range(len(raw) - n + 1):
+            key = 0
+            for k in range(n):
+                key = (key * 0x01000193 % 2**32) ^ (raw[at + k] + (k + 1) * 257)
+            cell = (key * 0x9E3779B1 % 2**32) >> 20
+            count[cell] = count.get(cell, 0) + 1
+    total = sum(count.values())
+    f = [w[-1] + sum(w[c] * (k / total) ** 0.5 for c, k in count.items()) for w in model.weights.tolist()]
+    all_bits = sum(model.reliability)
+    loss = [sum(r * np.log1p(np.exp(-c * v)) for c, v, r in zip(code, f, model.reliability)) / all_bits for code in model.codewords.tolist()]
+    near = sorted(range(len(loss)), key=loss.__getitem__)
+    return model.languages[near[0]], 1 / sum(np.exp((loss[near[0]] - x) * len(f)) for x in loss), loss[near[1]] - loss[near[0]]
+
+
+def test_language_decoder_equals_brute_force(spark):
+    docs = [r for r in spark_rows(spark, "documents") if r.text and r.lang]
+    model = language_codes.train([(r.text, r.lang) for r in docs[:60]])
+    many = language_codes.train([(r.text, r.lang + r.source) for r in docs[:60]])
+    texts = [r.text for r in docs[60:75]] + ["a", "\u00e9t\u00e9", "\u65e5\u672c" * 40, docs[0].text * 3]
+    for m in (model, many):
+        for text in texts:
+            lang, score, unsure, margin = language_codes.decode(m, text)
+            want = slow_decode(m, text)
+            assert lang == want[0] and np.allclose([score, margin], want[1:], atol=1e-9) and unsure == (want[2] < 0.05)
+
+
+def test_language_sample_is_whole_texts_of_all_languages(spark):
+    rows = [(i, f"l{i % 500:03d}", f"words of {i % 500} " + "x" * (i % 7)) for i in range(3_000)] + [(9_000 + k, "long", "long text " * 20_000) for k in range(9)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("a.b", F.lit(1))
+    known = {(t, lang) for i, lang, t in rows if not held_out(i)}
+    got = language_codes.labelled_sample(docs, 1_000, 400_000)
+    assert set(got) <= known and {lang for _, lang in got} == {lang for _, lang in known} and len(got) == len(set(got)) <= 3_000
+    assert sum(lang == "long" for _, lang in got) == 1  # its shortest text, though longer than the room of a language
+    assert got == language_codes.labelled_sample(docs.repartition(7), 1_000, 400_000)
+    model = language_codes.train([("the house and the tree", "en"), ("das Haus und der Baum", "de")] * 15)
+    assert language_codes.predict(docs.limit(5), model).columns == [*docs.columns, "lang_pred", "score", "ambiguous", "margin"]
+
+
 def test_language_edge_rows(spark):
     rows = [(1, None), (2, "12 34 !"), (None, "the house"), (4, "a" * 300_000), (4, "")]
     model = language_codes.train([("the house and the tree", "en"), ("das Haus und der Baum", "de")] * 15)

@@ -22,8 +22,9 @@ def slow_tokens(text):
     return out
 
 
-def slow_leaks(docs, items, window=8, coverage=0.5):
-    found = set()
+def slow_leaks(docs, items, window=8, coverage=0.5, run=24):
+    """Template windows with consistent slots, and windows of the tokens themselves."""
+    found = slow_excerpts(docs, items, window, coverage, run)
     for item, itext in items:
         a = slow_tokens(itext)
         width = min(window, len(a))
@@ -44,6 +45,23 @@ def slow_leaks(docs, items, window=8, coverage=0.5):
     return found
 
 
+def slow_excerpts(docs, items, window, coverage, run):
+    found = set()
+    for item, itext in items:
+        a = [t for t, _ in slow_tokens(itext)]
+        n = len(a) - window + 1
+        for doc, dtext in docs if n > 0 else []:
+            b, by, index = [t for t, _ in slow_tokens(dtext)], defaultdict(int), defaultdict(list)
+            for q in range(len(b) - window + 1):
+                index[tuple(b[q : q + window])].append(q)
+            for p in range(n):
+                for q in index.get(tuple(a[p : p + window]), ()):
+                    by[q - p] += 1
+            if by and max(by.values()) >= min(coverage * n, run):
+                found.add((doc, item))
+    return found
+
+
 def test_query_equals_brute_force(spark):
     for sf in (SF, "/root/testdata/sf0.01"):
         docs = [(r.doc_id, r.text) for r in spark_rows(spark, "documents", sf)]
@@ -64,10 +82,10 @@ def test_reparameterised_and_inconsistent(spark):
     ]
     docs = docs_frame(spark, rows)
     got = [(r.doc_id, r.item_id, r.kind) for r in T.leaks(docs, bench).collect()]
-    assert len(got) == 4 and set(got) == {(None, 7, "verbatim"), (None, None, "verbatim"), (1, 7, "verbatim"), (2, 7, "reparameterised")}
+    assert len(got) == 5 and set(got) == {(3, 7, "excerpt"), (None, 7, "verbatim"), (None, None, "verbatim"), (1, 7, "verbatim"), (2, 7, "reparameterised")}
     kept = T.without_leaks(docs, bench)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((i, t or "") for i, t in [rows[k] for k in (2, 3, 4, 5, 6)])
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((i, t or "") for i, t in [rows[k] for k in (3, 4, 5, 6)])
     assert T.leaks(docs_frame(spark, []), bench).count() == 0
     assert T.without_leaks(docs, bench.limit(0)).count() == len(rows)
 
@@ -79,3 +97,19 @@ def test_every_item_of_a_template(spark):
     rows = [(1, "Intro. " + ITEM), (2, "Intro. " + other), (3, "Intro. " + ITEM.replace("5", "8")), (4, "Intro. " + same)]
     got = {(r.doc_id, r.item_id, r.kind) for r in T.leaks(docs_frame(spark, rows), bench).collect()}
     assert got == {(1, 7, "verbatim"), (2, 9, "verbatim"), (2, 12, "verbatim"), (3, 7, "reparameterised"), (4, 3, "verbatim")}
+
+
+def test_copies_that_slots_hide(spark):
+    sums = "12 + 7 19 30 4 26 km 5 days 3"
+    names = "Ada Bob Carl Dora Emil Fritz Gina Hugo Ida"
+    long = " ".join(f"w{i}" for i in range(200))
+    bench = spark.createDataFrame([(1, ITEM), (2, sums), (3, names), (4, long)], "item_id long, text string")
+    rows = [
+        (1, "INTRO. " + ITEM.upper()), (2, "intro " + ITEM.lower()), (3, "So " + sums + "."), (4, names.lower()), (5, long[200:380]),
+        (6, long[200:300]), (7, ITEM.replace("How many", "How very many")), (8, ITEM[:60]), (9, sums.replace("19", "20")),
+    ]
+    docs = docs_frame(spark, rows)
+    got = {(r.doc_id, r.item_id): r.kind for r in T.leaks(docs, bench).collect()}
+    assert set(got) == slow_leaks(rows, [(r.item_id, r.text) for r in bench.collect()]) == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (7, 1)}
+    assert [got[1, 1], got[2, 1], got[3, 2], got[4, 3], got[5, 4]] == ["verbatim"] * 4 + ["excerpt"]
+    assert {r.doc_id for r in T.without_leaks(docs, bench).collect()} == {6, 8, 9}
