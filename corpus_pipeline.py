@@ -6,15 +6,14 @@ returns where each piece of each document lies.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldline.llm import best_fit_packing, line_dedup, simhash_dedup, template_decontamination, toxicity
 from foldline.llm.common import table
 from foldline.llm.queries import END_ID, TOXIC_SCORE, word_bpe
-from foldline.session import cut_lineage, scratch_root
+from foldline.llm.template_decontamination import row_key
+from foldline.session import cut_lineage, discard
 
 #: Bytes of words a task of the last stage remembers: it also carries tokens through its joins.
 CACHE_BYTES = 80 << 20
@@ -36,11 +35,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id. Rows that repeat its doc_id go; of rows without doc_id one of each text stays."""
+    """Of each group of near duplicates the document with the smallest doc_id. Of rows that repeat its doc_id and text one stays, other texts
+    under its doc_id stay; of rows without doc_id one of each text stays."""
     found = simhash_dedup.near_duplicates(docs)
     keep = cut_lineage(found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
-    one = docs.filter("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
+    one = docs.filter("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("__kept"), "left_semi")
+    one = one.unionByName(docs.filter("doc_id IS NULL")).withColumn("__text", row_key())
+    return one.dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +68,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{scratch_root(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+        discard(*before)
+        before = [docs]
     return docs
