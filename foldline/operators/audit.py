@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldline.operators.digests import row_differences
 from foldline.operators.joins import same_ids, same_order
 from foldline.operators.series import CHUNK_ROWS, bounded_frames
 from foldline.roles import kind
@@ -69,7 +70,7 @@ def is_valid(findings: DataFrame) -> bool:
 def target_independence(features: Callable[[DataFrame], DataFrame], df: DataFrame, perturbed: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Feature rows that change when only the target changes (should be none)."""
     a, b = features(df).select(*keep), features(perturbed).select(*keep)
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+    return row_differences(a, b)
 
 
 def prefix_suffix_report(
@@ -151,4 +152,4 @@ def boundary_entities(diagnostics: DataFrame, selection: DataFrame, fold: str, c
 
 def unequal_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows on one side only."""
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+    return row_differences(a, b)

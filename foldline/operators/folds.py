@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldline.operators.digests import row_differences, same_rows
 from foldline.operators.series import ordered_positions
 from foldline.session import cut_lineage
 
@@ -119,8 +120,8 @@ def time_series_split(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
 
 
 def manifest_differences(manifest: DataFrame, stored: DataFrame) -> DataFrame:
-    stored = stored.select(*manifest.columns)
-    return manifest.exceptAll(stored).unionByName(stored.exceptAll(manifest))
+    """Rows on one side only; rows move only where the digests of their bucket differ."""
+    return row_differences(manifest, stored.select(*manifest.columns))
 
 
 def ensure_manifest(manifest: DataFrame, path: str) -> DataFrame:
@@ -133,7 +134,7 @@ def ensure_manifest(manifest: DataFrame, path: str) -> DataFrame:
         manifest.write.mode("errorifexists").parquet(path)
         return spark.read.parquet(path)
     stored = spark.read.parquet(path)
-    if set(stored.columns) != set(manifest.columns) or not manifest_differences(manifest, stored).isEmpty():
+    if set(stored.columns) != set(manifest.columns) or not same_rows(manifest, stored.select(*manifest.columns)):
         raise ValueError(f"fold manifest differs from {path}")
     return stored
 

@@ -91,44 +91,72 @@ def _product_sums_batched(df: DataFrame, cols: Sequence[str], by: list[str], wei
     return cells.groupBy(*by).agg(*agg) if by else cells.agg(*agg)
 
 
-PAIR_FIELDS = ("n", "xy", "x", "y", "xx", "yy")
+PAIR_FIELDS = ("n", "mx", "my", "xy", "xx", "yy")
 
 
-def pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(i, j, n, xy, x, y, xx, yy)`` for every pair of columns i < j, over the rows in which both are present.
+def _merged(a: Sequence, b: Sequence) -> list:
+    """Counts, means and centred products of two disjoint sets of rows together: NumPy arrays or columns alike."""
+    (n, mx, my, xy, xx, yy), (m, ox, oy, zxy, zxx, zyy) = a, b
+    dx, dy = ox - mx, oy - my
+    share = m / (n + m)
+    w = n * share
+    return [n + m, mx + dx * share, my + dy * share, xy + zxy + dx * dy * w, xx + zxx + dx * dx * w, yy + zyy + dy * dy * w]
 
-    Products of ``[x * m, x^2 * m, m]`` with the null masks ``m``: one scan for any number of columns, one matrix product
-    per Arrow batch, sums per task, then a distributed sum per pair. NaN counts as missing. Columns must be doubles,
-    shifted near their means. Pairs without a common row have ``n = 0``; an empty table gives no rows.
+
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(i, j, n, mx, my, xy, xx, yy)`` for every pair of columns i < j: count and means of the rows in which both are
+    present, and their products about these means.
+
+    Each column is evaluated once. Per Arrow batch the products of ``[x * m, x^2 * m, m]`` with the null masks ``m`` are
+    taken about the batch's own means; moments of batches, then of tasks, are merged pairwise by the shift of their means,
+    so no sum cancels and no pass for the means is needed. A pair's merge reads one row a task. NaN counts as missing.
+    Pairs without a common row have ``n = 0``; an empty table gives no rows.
     """
     p = len(cols)
     a, b = (v.astype(np.int32) for v in np.triu_indices(p, 1))
     lean = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("__x"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = None
+        held = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             x = batch.column("__x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, p)
-            m = ~np.isnan(x)
-            x, m = np.where(m, x, 0.0), m.astype(float)
-            n, xy, xm, qm = m.T @ m, x.T @ x, x.T @ m, (x * x).T @ m
-            found = np.stack([n[a, b], xy[a, b], xm[a, b], xm[b, a], qm[a, b], qm[b, a]])
-            sums = found if sums is None else sums + found
-        if sums is not None and len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *map(pa.array, sums)], names=["i", "j", *PAIR_FIELDS])
+            known = ~np.isnan(x)
+            m = known.astype(float)
+            centre = np.where(known, x, 0.0).sum(axis=0) / np.maximum(m.sum(axis=0), 1)
+            x = np.where(known, x - centre, 0.0)
+            n, xy, xm, qm = (m.T @ m)[a, b], (x.T @ x)[a, b], x.T @ m, (x * x).T @ m
+            rows = np.maximum(n, 1)
+            dx, dy = xm[a, b] / rows, xm[b, a] / rows
+            found = [n, centre[a] + dx, centre[b] + dy, xy - dx * dy * n, qm[a, b] - dx * dx * n, qm[b, a] - dy * dy * n]
+            if held is None:
+                held = found
+                continue
+            both = _merged([np.where(held[0] + n > 0, held[0], 1e-300), *held[1:]], found)
+            held = [np.where(n == 0, h, np.where(held[0] == 0, f, t)) for h, f, t in zip(held, found, both)]
+        if held is not None and len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *map(pa.array, held)], names=["i", "j", *PAIR_FIELDS])
+
+    fields = ", ".join(f"{f} double" for f in PAIR_FIELDS)
+    parts = lean.mapInArrow(partial, f"i int, j int, {fields}")
+    none = F.struct(*[F.lit(0.0).alias(f) for f in PAIR_FIELDS])
 
-    parts = lean.mapInArrow(partial, "i int, j int, " + ", ".join(f"{f} double" for f in PAIR_FIELDS))
-    return parts.groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in PAIR_FIELDS])
+    def merge(held: Column, found: Column) -> Column:
+        both = _merged([held[f] for f in PAIR_FIELDS], [found[f] for f in PAIR_FIELDS])
+        return F.when(found["n"] == 0, held).when(held["n"] == 0, found).otherwise(F.struct(*[v.alias(f) for v, f in zip(both, PAIR_FIELDS)]))
+
+    lists = parts.groupBy("i", "j").agg(F.collect_list(F.struct(*PAIR_FIELDS)).alias("parts"))
+    return lists.select("i", "j", F.aggregate("parts", none, merge).alias("s")).select("i", "j", "s.*")
 
 
 def pair_correlation() -> Column:
-    """Correlation from the columns of :func:`pair_sums`; null where either column is constant on the common rows."""
-    n = F.nullif(F.col("n"), F.lit(0.0))
-    cov = F.col("xy") - F.col("x") * F.col("y") / n
-    vx, vy = F.col("xx") - F.col("x") * F.col("x") / n, F.col("yy") - F.col("y") * F.col("y") / n
-    return F.when((vx > 1e-12 * F.col("xx")) & (vy > 1e-12 * F.col("yy")), cov / F.sqrt(vx * vy))
+    """Correlation from the columns of :func:`pair_moments`; null where either column is constant on the common rows."""
+
+    def varies(v: str, mean: str) -> Column:
+        return F.col(v) > 1e-24 * F.col("n") * F.col(mean) * F.col(mean)
+
+    return F.when((F.col("n") > 0) & varies("xx", "mx") & varies("yy", "my"), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
 
 
 def unpack(g: Sequence[float], p: int) -> np.ndarray:

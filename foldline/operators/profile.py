@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foldline.operators.moments import pair_correlation, pair_sums, scalar_stats, shift_to_means
+from foldline.operators.moments import pair_correlation, pair_moments, scalar_stats
 from foldline.operators.ranks import exact_quantiles
 from foldline.roles import columns_of_kind, kind, numeric_cols
 
@@ -193,13 +193,13 @@ def distribution_shift(train: DataFrame, test: DataFrame, threshold: float = 1.0
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Long ``(a, b, corr)`` for a before b, over rows in which both are present.
 
-    One scan, with or without nulls; pairs are formed on the aggregated statistics, never on rows.
+    One scan that evaluates each column once, with or without nulls; pairs are formed on the aggregated statistics, never on rows.
     """
     cols = list(cols)
     named = [f"c{i}" for i in range(len(cols))]
     lean = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, named)])
     names = F.array(*[F.lit(c) for c in cols])
-    pairs = pair_sums(shift_to_means(lean, named), named)
+    pairs = pair_moments(lean, named)
     return pairs.select(F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), pair_correlation().alias("corr"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldline.operators.moments import pair_correlation, pair_sums, shift_to_means
+from foldline.operators.moments import pair_correlation, pair_moments
 from foldline.operators.profile import _long, corr_to_target
 from foldline.operators.ranks import exact_quantiles
 from foldline.roles import Roles
@@ -52,7 +52,7 @@ def correlated_columns(df: DataFrame, cols: Sequence[str], threshold: float) ->
     dropped columns come to the driver.
     """
     cols = list(cols)
-    pairs = pair_sums(shift_to_means(df.select(*cols), cols), cols)
+    pairs = pair_moments(df.select(*cols), cols)
     gone = {r["j"] for r in pairs.filter(F.abs(pair_correlation()) > threshold).select("j").distinct().collect()}
     return [c for j, c in enumerate(cols) if j in gone]
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foldline.operators import audit as A
 from foldline.operators import windows as W
+from foldline.operators.digests import row_differences
 from foldline.plans.catalog import query, table
 from foldline.plans.stand_ins import ENTITY_SQL, LONG_SQL, entities, oof_long
 
@@ -130,3 +131,15 @@ def changed_rows(spark, sf_dir):
     return A.unequal_sets(a, b)
 
 
+@query(
+    "A19 I5",
+    """SELECT l_orderkey, l_linenumber, l_quantity, mode, 'left' AS side FROM (SELECT *, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS mode FROM lineitem) WHERE l_orderkey % 5000 = 7
+       UNION ALL SELECT l_orderkey, l_linenumber, l_quantity + 1, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END, 'right' FROM lineitem WHERE l_orderkey % 5000 = 7
+       UNION ALL SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END, 'right' FROM lineitem WHERE l_orderkey % 5000 = 8""",
+)
+def changed_and_repeated_rows(spark, sf_dir):
+    """Changed values and rows held twice, over a table with nulls, by digests of buckets."""
+    mode = F.when(F.col("l_linenumber") == 2, None).otherwise(F.col("l_returnflag")).alias("mode")
+    a = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", mode)
+    changed = a.withColumn("l_quantity", F.col("l_quantity") + F.when(F.col("l_orderkey") % 5000 == 7, 1).otherwise(0))
+    return row_differences(a, changed.unionByName(a.filter("l_orderkey % 5000 = 8")), "side")
