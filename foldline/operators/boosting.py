@@ -108,6 +108,23 @@ class FoldTrees:
         return _apply(rows.withColumn("__fold", F.lit(0)), mean, out).drop("__bins", "__fold")
 
 
+    def score(self, df: DataFrame, fold: str | None = None, out: str = "pred") -> DataFrame:
+        """Rows of a fitted fold, scored by the trees that did not see them; all other rows as :meth:`predict` does."""
+        index = F.lit(-1)
+        for k, f in enumerate(self.folds if fold else ()):
+            index = F.when(F.col(f"`{fold}`") == F.lit(f), F.lit(k)).otherwise(index)
+        lean = replace(self, binned=None)
+
+        def each(bins, k):
+            got, rest = lean._each(bins, k), k < 0
+            if rest.any():
+                got[rest] = np.mean([lean._scores(bins[rest], j) for j in range(len(lean.folds))], axis=0)
+            return got
+
+        rows = _with_bins(df, self.cols, self.edges).withColumn("__fold", index)
+        return _apply(rows, each, out).drop("__bins", "__fold")
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 

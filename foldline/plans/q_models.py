@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import Pipeline
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from foldline.operators import boosting as B
+from foldline.operators import estimators as ES
 from foldline.operators import models as M
 from foldline.operators import sequence as SQ
 from foldline.operators import windows as W
 from foldline.operators.folds import time_series_split
+from foldline.operators.metrics import get_metric
 from foldline.operators.quantiles import training_quantiles
+from foldline.operators.search import successive_halving
 from foldline.plans.catalog import query, rounded, table
-from foldline.plans.stand_ins import entities
+from foldline.plans.stand_ins import OOF_SQL, entities, oof
+from foldline.session import cut_lineage, delete_path, scratch_root
 
 COLS = ["f1", "f2", "f3", "f4"]
 
@@ -205,3 +212,96 @@ def residual_boosting(spark, sf_dir):
     cols = ["md", "z", "gr", "z_rate", "gr_rate", "gr_cmean_5", "gr_cstd_5", "gr_cmean_21", "since_prev", "md_since_anchor", "prefix_mean", "prefix_std", "suffix_rows"]
     res = M.residual_cv(rows, "truth", "last_known", cols, "fold", lambda: GBTRegressor(featuresCol="__features", labelCol="__label", maxIter=3, maxDepth=3, seed=7))
     return rounded(res.oof.select("entity", "row_index", "fold", "pred"))
+
+
+# ---------------------------------------------------------------- estimators, saved and loaded again
+
+
+def _reloaded(spark, model):
+    path = f"{scratch_root(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    back = type(model).load(path)
+    delete_path(spark, path)
+    return back
+
+
+@query(
+    "P-3 I8",
+    """WITH li AS (SELECT l_orderkey AS id, sum(l_quantity) q, sum(l_extendedprice) p FROM lineitem GROUP BY 1),
+         x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN (o_custkey % 5)::INTEGER END AS fold, o_totalprice / 1000 + q * 2 - p / 2000 AS y, CASE WHEN o_orderkey % 9 <> 2 THEN q END AS f1 FROM orders JOIN li ON li.id = o_orderkey),
+         m AS (SELECT f AS fold, median(f1) AS med FROM x, range(5) t(f) WHERE fold <> f GROUP BY f),
+         s AS (SELECT m.fold, med, avg(coalesce(f1, med)) AS mu, stddev_pop(coalesce(f1, med)) AS sd, avg(y) AS ym, count(*) AS n, covar_pop(coalesce(f1, med), y) AS c FROM x JOIN m ON x.fold <> m.fold GROUP BY m.fold, med)
+       SELECT id, round(avg(ym + (coalesce(f1, med) - mu) / sd * (n * c / sd) / (n + 100)), 6) AS pred FROM x JOIN s ON x.fold IS NULL OR x.fold = s.fold GROUP BY id""",
+)
+def saved_ridge(spark, sf_dir):
+    """Fitted on three quarters, saved, loaded: fitted rows by their fold's model, the others by the mean of all."""
+    p = _panel(spark, sf_dir).withColumn("fold", F.when(F.col("id") % 4 != 0, F.col("fold")))
+    fit = ES.FoldRidge(featureCols=["f1"], labelCol="y", predictionCol="pred", alphas=[100.0]).fit(p.filter("fold IS NOT NULL"))
+    return rounded(_reloaded(spark, fit).transform(p).select("id", "pred"))
+
+
+@query(
+    "P-3 I6 I7",
+    """WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 > 0 THEN (o_custkey % 5)::INTEGER END AS fold, (o_totalprice / 1000 + (o_orderkey % 23) * 4)::DOUBLE AS y, (o_orderkey % 23)::DOUBLE AS a, CASE WHEN o_orderkey % 9 <> 2 THEN o_custkey % 7 END::DOUBLE AS b FROM orders),
+         m AS (SELECT k, avg(y) AS mu FROM x, range(5) t(k) WHERE fold <> k GROUP BY k),
+         u AS (SELECT k, y - mu AS r, unnest(['a', 'b']) AS c, unnest([a, b]) AS v FROM x JOIN m ON fold <> k),
+         g AS (SELECT k, c, v, sum(r) AS s, count(*) AS n FROM u GROUP BY ALL),
+         w AS (SELECT k, c, v, sum(s) OVER l AS gl, sum(n) OVER l AS nl, sum(s) OVER e AS gt, sum(n) OVER e AS nt FROM g WINDOW l AS (PARTITION BY k, c ORDER BY v NULLS FIRST), e AS (PARTITION BY k, c)),
+         b AS (SELECT k, arg_max({'c': c, 'v': v, 'l': gl / nl, 'r': (gt - gl) / (nt - nl)}, gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl)) AS s FROM w WHERE nt > nl GROUP BY k)
+       SELECT id, round(avg(mu + CASE WHEN coalesce((CASE WHEN s.c = 'a' THEN a ELSE b END) <= s.v, true) THEN s.l ELSE s.r END), 6) AS pred FROM x JOIN m ON fold IS NULL OR fold = m.k JOIN b ON b.k = m.k GROUP BY id""",
+)
+def saved_trees(spark, sf_dir):
+    """One split a fold, saved and loaded; rows that were not fitted take the mean over the folds."""
+    key = F.col("o_orderkey")
+    x = table(spark, sf_dir, "orders").select(
+        key.alias("id"), F.when(key % 6 > 0, (F.col("o_custkey") % 5).cast("int")).alias("fold"), (F.col("o_totalprice").cast("double") / 1000 + key % 23 * 4).alias("y"),
+        (key % 23).cast("double").alias("a"), F.when(key % 9 != 2, F.col("o_custkey") % 7).cast("double").alias("b"),
+    )
+    est = ES.FoldBoosting(featureCols=["a", "b"], labelCol="y", predictionCol="pred", rounds=1, depth=1, rate=1.0, ridge=0.0, min_rows=1)
+    return rounded(_reloaded(spark, est.fit(x.filter("fold IS NOT NULL"))).transform(x).select("id", "pred"))
+
+
+@query(
+    "P-3 J11",
+    f"""WITH o AS (SELECT id, pa, pd, y, CASE WHEN id % 3 > 0 THEN fold END AS fold FROM {OOF_SQL}),
+        w AS (SELECT f AS fold, least(greatest(sum((pd - pa) * (y - pa)) / sum((pd - pa) ** 2), 0), 1) AS w FROM o, range(5) t(f) WHERE fold <> f GROUP BY f
+          UNION ALL SELECT NULL, least(greatest(sum((pd - pa) * (y - pa)) / sum((pd - pa) ** 2), 0), 1) FROM o WHERE fold IS NOT NULL)
+        SELECT id, round((1 - w) * pa + w * pd, 6) AS stack FROM o JOIN w ON o.fold IS NOT DISTINCT FROM w.fold""",
+)
+def saved_stack(spark, sf_dir):
+    """Weights of a fold from the others, of rows without one from all fitted rows."""
+    o = oof(spark, sf_dir).withColumn("fold", F.when(F.col("id") % 3 > 0, F.col("fold")))
+    fit = ES.FoldStack(featureCols=["pa", "pd"], labelCol="y", predictionCol="stack").fit(o)
+    return rounded(_reloaded(spark, fit).transform(o).select("id", "stack"))
+
+
+@query("P-3 I6 I8 J11")
+def stacked_pipeline(spark, sf_dir):
+    """Ridge and trees as streams of a stack: one pipeline, fitted on folds by customer, saved, loaded and applied to all rows."""
+    p = cut_lineage(_panel(spark, sf_dir).withColumn("fold", F.when(F.col("id") % 4 != 0, F.col("fold"))))
+    given = {"labelCol": "y", "foldCol": "fold"}
+    stages = [
+        ES.FoldRidge(featureCols=COLS, predictionCol="ridge", **given),
+        ES.FoldBoosting(featureCols=COLS, predictionCol="trees", rounds=8, depth=3, rate=0.3, **given),
+        ES.FoldStack(featureCols=["ridge", "trees"], predictionCol="pred", **given),
+    ]
+    fit = Pipeline(stages=stages).fit(p.filter("fold IS NOT NULL"))
+    return rounded(_reloaded(spark, fit).transform(p).select("id", "fold", "ridge", "trees", "pred"))
+
+
+@query("I14 P-3")
+def halving_search(spark, sf_dir):
+    """Trees and ridge with int, float, log and categorical parameters; the rungs raise the rounds of the trees."""
+    p = cut_lineage(_panel(spark, sf_dir).select("fold", "y", *COLS))
+    space = {"kind": ("choice", ["ridge", "trees", "trees"]), "alpha": ("log", 0.1, 1e4), "depth": ("int", 1, 4), "rate": ("float", 0.1, 0.5)}
+
+    def score(s, rounds):
+        if s["kind"] == "ridge":
+            est = ES.FoldRidge(featureCols=COLS, labelCol="y", predictionCol="pred", alphas=[s["alpha"]])
+        else:
+            est = ES.FoldBoosting(featureCols=COLS, labelCol="y", predictionCol="pred", rounds=rounds, depth=s["depth"], rate=s["rate"])
+        return get_metric("rmse")[0](est.fit(p).transform(p), "y", "pred").first()["value"]
+
+    trials, _ = successive_halving(spark, score, space, 6, [2, 6])
+    rows = [(t["trial"], t["params"], t["rung"], t["budget"], t["score"], t["kept"]) for t in trials]
+    return rounded(spark.createDataFrame(rows, "trial int, params string, rung int, budget int, score double, kept boolean"))

@@ -48,7 +48,8 @@ def scratch_root(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a written folder, wherever its file system is."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -57,7 +58,7 @@ def _clear(spark: SparkSession) -> None:
     """Delete what is left of the intermediates; the JVM may be gone before, then the folder's owner has to."""
     for path in _WRITTEN:
         try:
-            _delete(spark, path)
+            delete_path(spark, path)
         except Exception:  # noqa: BLE001 - the process is ending
             return
 
@@ -83,4 +84,4 @@ def discard(*frames: DataFrame) -> None:
         spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if path.rsplit("/", 1)[-1].startswith("cut-"):
-                _delete(spark, path)
+                delete_path(spark, path)
