@@ -97,7 +97,7 @@ def judge_urls(
     """page_id, host, path, rule, verdict and the reputation of every row of ``pages``.
 
     The longest rule that fits decides: same host or a subdomain, and the path starts with the rule's path (of equal
-    rules the smaller verdict). Else a host is blocked if its rate of bad outcomes is above ``bound`` with the confidence of
+    rules allow wins). Else a host is blocked if its rate of bad outcomes is above ``bound`` with the confidence of
     ``z`` standard deviations of the posterior. Null urls have empty host and path and are judged like any host; repeated
     rows are kept; other columns are ignored. The joins are on host: its side with one row per host is written first,
     so that a hot host's pages can be split.
@@ -106,7 +106,7 @@ def judge_urls(
     known = cut_lineage(rep.join(matched_rules(rep.select("host"), rules), "host", "left"))
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     fits = F.filter("rules", lambda r: F.startswith(F.col("path"), r["start"]))
-    longest = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("size"), r["rule"].alias("rule"), r["says"].alias("says"))))
+    longest = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("size"), r["rule"].alias("rule"), (r["says"] == "allow").alias("first"), r["says"].alias("says"))))
     sure_bad = F.col("mean") - z * F.col("sd") > bound
     return p.join(known, "host", "left").withColumn("__r", longest).select(
         "page_id", "host", "path", F.col("__r.rule").alias("rule"),
