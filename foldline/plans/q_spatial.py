@@ -136,7 +136,7 @@ def _streams_sql(outer: str) -> str:
 def surface_streams(spark, sf_dir):
     rows, donors = _map(spark, sf_dir)
     marked = SP.prefix_windows(rows, "tvt", "entity", ["row_index"]).filter("back IS NULL OR back <= 30")
-    planes = SP.local_plane(marked, donors, ["entity", "row_index"], FS, qid="entity", did="entity", x="x", y="y", qfold="fold", dfold="fold")
+    planes = SP.local_plane(marked, donors, ["entity", "row_index"], FS, qid="entity", did="entity", x="x", y="y", qfold="fold", dfold="fold", keep_near=False)
     out = SP.surface_streams(planes, ["entity"], "row_index", "back", "tvt", "z", FS, **WINDOWS)
     return rounded(out, 4)
 
@@ -189,7 +189,7 @@ def surface_streams_without_prefix(spark, sf_dir):
     rows, donors = _map(spark, sf_dir)
     rows = rows.withColumn("tvt", F.when(F.col("entity") % 3 != 0, F.col("tvt")))
     marked = SP.prefix_windows(rows, "tvt", "entity", ["row_index"]).filter("back IS NULL OR back <= 30")
-    planes = SP.local_plane(marked, donors, ["entity", "row_index"], FS, qid="entity", did="entity", x="x", y="y", qfold="fold", dfold="fold")
+    planes = SP.local_plane(marked, donors, ["entity", "row_index"], FS, qid="entity", did="entity", x="x", y="y", qfold="fold", dfold="fold", keep_near=False)
     bare = F.col("entity") % 3 == 0
     return SP.surface_streams(planes, ["entity"], "row_index", "back", "tvt", "z", FS, **WINDOWS).agg(
         F.count("*").alias("rows"), F.count_if(bare).alias("bare"), F.count_if(bare & (F.col("plane_first").isNotNull() | F.col("plane_best").isNotNull())).alias("bare_predicted")
