@@ -90,3 +90,13 @@ def test_early_stop_and_constant_columns(spark):
     assert all(len(x) <= 31 for x in model.losses) and model.oof().count() == 200
     means = {r["fold"]: r["pred"] for r in model.oof().select("fold", F.round("pred", 9).alias("pred")).distinct().collect()}
     assert len(means) == 2
+
+
+def test_without_patience_all_rounds_count(spark):
+    """Folds with opposite signals: every tree makes the held-out loss worse."""
+    rows = [(i % 2, float(i % 10), float((i % 10) * (1 if i % 2 else -1))) for i in range(200)]
+    df = spark.createDataFrame(rows, "fold int, a double, y double")
+    stopped = fit_folds(df, "y", ["a"], "fold", Boosting(rounds=3, depth=1, rate=0.5))
+    whole = fit_folds(df, "y", ["a"], "fold", Boosting(rounds=3, depth=1, rate=0.5, patience=0))
+    assert stopped.best == [0, 0] and whole.best == [3, 3]
+    assert [len(t) for t in whole.trees] == [3, 3]
