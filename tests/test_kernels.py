@@ -66,6 +66,22 @@ def test_missing_signal_is_neutral():
     assert not e.any()
 
 
+def test_block_emission_is_the_sum_of_losses():
+    """The product of factors equals the sum of logs, also where it has to be split and outside the curve."""
+    rng = np.random.default_rng(5)
+    offsets, rates = K.lattice_grids(0.0, 16.0)
+    x, v = np.arange(100.0, 140.0, 10.0), np.array([50.0, 90.0, 20.0, 60.0])
+    for big in (1.0, 1e20):
+        md, z, gr = np.arange(30.0), -0.25 * np.arange(30.0), big * rng.normal(60, 20, 30)
+        gr[4] = np.nan
+        got = K.block_emission(md, z, gr, 10.0, 110.0, offsets, rates, x, v, 1.1, -3.0, 9.0)
+        at = (110.0 + offsets)[:, None, None] + rates[None, :, None] * (md - 10.0) - z
+        off = (gr - (1.1 * np.interp(at, x, v) - 3.0)) / 9.0
+        loss = np.where((at < x[0]) | (at > x[-1]), K.OUT_OF_SUPPORT, 2.5 * np.log1p(off * off / 4.0))
+        loss[:, :, 4] = 0.0
+        np.testing.assert_allclose(got, -loss.sum(axis=2) / K.TEMPER, rtol=1e-10)
+
+
 def _brute_beam(signal, curve, start, fee, scale, max_step):
     best = {start: (0.0, [])}
     for v in signal:
