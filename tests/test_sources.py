@@ -1,5 +1,8 @@
 """Readers and writers on small files."""
 
+import hashlib
+from urllib.parse import unquote
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +82,20 @@ def test_fingerprints(spark, tmp_path):
     assert got["a.txt"] == (3, 1) and got["b.txt"] == (7, 1)
 
 
+def test_digests_read_files_in_parts(spark, tmp_path):
+    """Every byte and the order of parts count, a part never holds more than its bytes, sizes around a part's end are whole."""
+    for n in (1, 9, 10, 11, 35):
+        (tmp_path / f"f {n}.bin").write_bytes(bytes(range(n)))
+    parts = FI.part_digests(spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length"), 10).collect()
+    want = {(f"f {n}.bin", k): hashlib.sha256(bytes(range(n))[10 * k : 10 * k + 10]).hexdigest() for n in (1, 9, 10, 11, 35) for k in range(-(-n // 10))}
+    assert {(unquote(r["path"]).rsplit("/", 1)[1], r["part"]): r["sha"] for r in parts} == want
+    first = {r["path"]: r["digest"] for r in FI.file_hashes(spark, [str(tmp_path)], part_bytes=10).collect()}
+    data = bytes(range(35))
+    (tmp_path / "f 35.bin").write_bytes(data[10:20] + data[:10] + data[20:])
+    after = {r["path"]: r["digest"] for r in FI.file_hashes(spark, [str(tmp_path)], part_bytes=10).collect()}
+    assert len(first) == 5 and [p for p in first if first[p] != after[p]] == [p for p in first if "35" in p]
+
+
 def test_score_precedence(spark):
     rows = [('{"scores": {"composite": 2}, "mean_score": 1}',), ('{"oof_pearson": 0.5, "local_cv_score": 9}',), ("{}",), ("not json",)]
     v, s = SI.pick_score(F.col("m"))
