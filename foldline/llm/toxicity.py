@@ -57,14 +57,17 @@ def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def _without_copies(texts: list[bytes], most: float = 0.3) -> list[bytes]:
     """Texts of which at most a share of the five-word windows occurred in texts before: what copies share is no evidence."""
-    seen, out = set(), []
+    own = []
     for text in texts:
         w = text.split()
-        own = {hash(tuple(w[i : i + 5])) for i in range(max(1, len(w) - 4))}
-        if len(own & seen) <= most * len(own):
-            out.append(text)
-        seen |= own
-    return out
+        own.append(np.unique(np.fromiter((hash(tuple(w[i : i + 5])) for i in range(max(1, len(w) - 4))), np.int64)))
+    # a window is new in the first text that holds it; sorted numbers, a sixteenth at a time, take a fraction of a set's memory
+    sizes, new = [len(o) for o in own], np.zeros(len(own), np.int64)
+    for part in range(16 if own else 0):
+        mine = [o[o & 15 == part] for o in own]
+        first = np.unique(np.concatenate(mine), return_index=True)[1]
+        new += np.bincount(np.searchsorted(np.cumsum([len(m) for m in mine]), first, side="right"), minlength=len(own))
+    return [t for t, fresh, n in zip(texts, new, sizes) if n - fresh <= most * n]
 
 
 def toxic_segments(toxic: list[bytes], ordinary: list[bytes], share: float = 0.015, odds: float = 30.0, most: int = 160) -> list[bytes]:
@@ -74,8 +77,14 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes], share: float = 0.0
     if its share among toxic texts is ``odds`` times that among ordinary ones. Runs are cut to their frequent core.
     """
     keys, counts = _document_counts(toxic)
-    other = _at(*_document_counts(ordinary), keys)
-    keep = (counts >= max(3, share * len(toxic))) & (counts / max(1, len(toxic)) > odds * (other + 1) / max(1, len(ordinary)))
+    many = counts >= max(3, share * len(toxic))
+    keys, counts = keys[many], counts[many]
+    other = np.zeros(len(keys), np.int64)
+    for text in ordinary if len(keys) else ():  # only grams that may be kept are counted, text by text
+        grams = np.unique(_grams(text))
+        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+        other[at[keys[at] == grams]] += 1
+    keep = counts / max(1, len(toxic)) > odds * (other + 1) / max(1, len(ordinary))
     keys, counts = keys[keep], counts[keep]
     found: Counter = Counter()
     for text in toxic if len(keys) else ():
@@ -97,11 +106,13 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes], size: int = 4096) ->
     """
     import zstandard
 
-    samples = []
+    # every step-th window of eight words, only those are made
+    step = max(1, sum(-(-len(t.split()) // 8) for t in ordinary) // 50_000)
+    samples, at = [], 0
     for text in ordinary:
         w = text.split()
-        samples += [b" ".join(w[i : i + 8]) for i in range(0, len(w), 8)]
-    samples = samples[:: max(1, len(samples) // 50_000)]
+        samples += [b" ".join(w[i : i + 8]) for i in range(8 * (-at % step), len(w), 8 * step)]
+        at += -(-len(w) // 8)
     try:
         shared = zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
@@ -190,7 +201,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
         long = sorted(texts.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).collect(), key=lambda r: hash_order(str(r["doc_id"])))
         fits = np.cumsum([r["size"] for r in long]) <= size
         texts = texts.filter(F.col("doc_id").isin([r["doc_id"] for r, f in zip(long, fits) if f]))
-        found += [(r["text"], y) for r in texts.select("text").limit(rows).collect()]
+        # as Arrow: the driver's JVM makes no objects of the texts
+        found += [(t, y) for t in texts.select("text").limit(rows).toArrow().column(0).to_pylist()]
     return sorted(found, key=lambda r: hash_order(r[0]))
 
 

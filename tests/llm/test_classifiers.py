@@ -227,3 +227,27 @@ def test_islands_equal_plain_ones():
                     group.append(t.span())
             want += [group] if group else []
         assert pii_spans.islands(text, taken) == want
+
+
+def test_toxicity_training_holds_few_numbers():
+    """Copies are found by sorted numbers, with the result of a plain set and a fraction of its memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    texts = [b" ".join(b"w%d" % v for v in rng.integers(0, 10**6, 1500)) for _ in range(200)]
+    texts += [texts[3], texts[5][:4000] + b" " + texts[7][:200], b"", b"one", b"one"]
+    seen, want = set(), []
+    for text in texts:
+        w = text.split()
+        own = {hash(tuple(w[i : i + 5])) for i in range(max(1, len(w) - 4))}
+        if len(own & seen) <= 0.3 * len(own):
+            want.append(text)
+        seen |= own
+    windows = len(seen)
+    del seen
+    tracemalloc.start()
+    got = toxicity._without_copies(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and len(got) < len(texts)
+    assert peak < 30 * windows
