@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.regression import LinearRegression
 
 from foldline.operators import ensemble as E
 from foldline.operators import folds as FO
@@ -149,3 +150,32 @@ def test_random_search_space():
         assert 2 <= p["depth"] <= 4 and 0.01 <= p["rate"] <= 1 and p["kind"] in "ab" and 0.5 <= p["share"] <= 1
     trials, summary = M.random_search(lambda p: p["rate"], space, 10, "maximize")
     assert trials[0]["score"] == summary["best"] >= trials[-1]["score"] == summary["worst"]
+
+
+def _counted(spark, n=600):
+    """Rows whose making is counted, so that a test sees how often a job makes them again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(n).selectExpr("id", "id * 1.0 AS y", "(id % 7) * 1.0 AS a", "(id % 5) * 1.0 AS b", "CAST(id % 3 AS int) AS fold")
+    return rows.mapInArrow(count, rows.schema), made, n
+
+
+def test_cross_validation_makes_its_rows_once(spark):
+    df, made, n = _counted(spark)
+    res = M.cross_validate(df, "y", ["a", "b"], "fold", lambda: M.gbt({"maxIter": 1, "maxDepth": 2}))
+    assert res.oof.count() == n and set(res.fold_scores) == {0, 1, 2}
+    assert made.value == n
+
+
+def test_time_slices_make_their_rows_a_few_times(spark):
+    """Counting and two sorts read the rows; fits, scores and the result do not."""
+    df, made, n = _counted(spark)
+    make = lambda w: LinearRegression(featuresCol="__features", labelCol="__label", weightCol=w, regParam=0.1)
+    res = M.time_slice_ensemble(df.drop("fold"), "y", ["a", "b"], ["id"], make, k=2)
+    placed = made.value
+    assert res.oof.count() == n and made.value == placed <= 8 * n
