@@ -14,29 +14,35 @@ from foldline.operators.kernels import Policy, decide_one
 from foldline.session import scratch_root
 
 OUTPUT = "ledger long, seq long, decision string"
-STATE = "best double, day string, used long"
+STATE = "ledgers array<long>, best array<double>, days array<string>, used array<long>"
+#: Groups that ledgers are dealt into; every call of the group function costs milliseconds, so one for each ledger is too many.
+BUCKETS = 4096
 
 
-def decisions(events: DataFrame, policy: Policy) -> DataFrame:
+def decisions(events: DataFrame, policy: Policy, buckets: int = BUCKETS) -> DataFrame:
     """Streaming decisions over ``(ledger, seq, day, valid, cv, force)``.
 
-    The state of a ledger is its best accepted score, the current day and what was used of its budget.
+    The state of a ledger is its best accepted score, the current day and what was used of its budget. A group holds the states of
+    the ledgers of one hash bucket and the rows they have in a micro-batch; ``buckets`` must stay the same over the life of a checkpoint.
     Events must arrive in ledger order between micro-batches; inside one they are sorted by ``seq``.
     """
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, day, used = state.get if state.exists else (None, None, 0)
-        now = (None if best is None or best != best else best, day, used)
-        rows = pd.concat(list(batches)).sort_values("seq")
+        old = state.get if state.exists else ([], [], [], [])
+        known = {who: now for who, *now in zip(*old)}
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("seq")
+        # null ledgers are alone in their bucket
+        ledgers = [None] * len(rows) if key[0] < 0 else rows["ledger"].tolist()
         said = []
-        for r in rows.itertuples():
-            cv = None if r.cv is None or r.cv != r.cv else float(r.cv)
-            decision, now = decide_one(now, r.day, bool(r.valid), cv, bool(r.force), policy)
+        for who, day, valid, cv, force in zip(ledgers, rows["day"], rows["valid"], rows["cv"].tolist(), rows["force"]):
+            cv = None if cv is None or cv != cv else float(cv)
+            decision, known[who] = decide_one(known.get(who, (None, None, 0)), day, bool(valid), cv, bool(force), policy)
             said.append(decision)
-        state.update((now[0], now[1], now[2]))
+        state.update((list(known), *(list(part) for part in zip(*known.values()))))
         yield pd.DataFrame({"ledger": rows["ledger"], "seq": rows["seq"], "decision": said})
 
-    return events.groupBy("ledger").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    bucket = F.when(F.col("ledger").isNull(), F.lit(-1)).otherwise(F.pmod(F.hash("ledger"), F.lit(buckets)))
+    return events.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def daily_counts(events: DataFrame, ts: str, id: str, late: str = "1 day") -> DataFrame:
