@@ -121,3 +121,29 @@ def test_particles_follow_a_ramp():
     got = [f.advance(m, 0.0, 40 + 8 * np.sin(t / 3)) for m, t in zip(md, truth)]
     assert np.isfinite(got).all() and abs(got[-1] - truth[-1]) < 5
     assert f.log_likelihood < 0
+
+
+def test_beams_side_by_side_equal_each_alone():
+    rng = np.random.default_rng(5)
+    curves = [rng.normal(size=n) for n in (30, 12, 2, 45)]
+    signals = [np.round(rng.normal(size=(n, 2)), 1) for n in (9, 40, 17, 40)]
+    places, args = [5, 0, 1, 44], ([3, 6], [0.3, 1.1], [0.7, 0.4])
+    got = K.beam_lanes(signals, curves, places, *args)
+    for s, c, at, paths in zip(signals, curves, places, got):
+        kept, _ = K.beam_forward(s, c, K.beam_start(at, 2), *args)
+        assert paths.T.tolist() == [K.beam_backward(kept, b, 0)[0].tolist() for b in range(2)]
+
+
+def test_particles_side_by_side_equal_each_alone():
+    curve, rng, p = 40 + 8 * np.sin(np.arange(80, 130, 0.2) / 3), np.random.default_rng(2), K.ParticleParams(particles=60)
+
+    def filters():
+        return [K.ParticleFilter(curve[: 250 - 50 * i], 80.0, 129.8 - 10 * i, 0.2, 10.0 + i, 100.0, 0.1, 0.0, i % 2, p) for i in range(3)]
+
+    moves = [(np.arange(1.0, n + 1), -0.1 * np.arange(n), np.where(np.arange(n) % 7 == 3, np.nan, 40 + 8 * rng.normal(size=n))) for n in (20, 60, 35)]
+    alone, beside = filters(), filters()
+    for cut in (slice(0, 15), slice(15, None)):  # the state goes on to the next batch
+        parts = [[m[cut] for m in mv] for mv in moves]
+        for f, mv, (preds, lls) in zip(alone, parts, K.particle_lanes(beside, parts)):
+            want = [(f.advance(*row), f.log_likelihood) for row in zip(*mv)]
+            assert preds.tolist() == [w[0] for w in want] and lls.tolist() == [w[1] for w in want]
