@@ -100,3 +100,17 @@ def test_without_patience_all_rounds_count(spark):
     whole = fit_folds(df, "y", ["a"], "fold", Boosting(rounds=3, depth=1, rate=0.5, patience=0))
     assert stopped.best == [0, 0] and whole.best == [3, 3]
     assert [len(t) for t in whole.trees] == [3, 3]
+
+
+def test_input_is_evaluated_once(spark, tmp_path):
+    """The scans for the edges, the folds and the binning read the written rows, not the query behind them."""
+    met = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            met.add(b.num_rows)
+            yield b
+
+    rows = spark.range(400).select((F.col("id") % 3).cast("int").alias("fold"), (F.col("id") * 7 % 53).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("y"))
+    fit_folds(rows.mapInArrow(count, rows.schema), "y", ["x"], "fold", Boosting(rounds=1, depth=1))
+    assert met.value == 400
