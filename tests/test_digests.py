@@ -91,3 +91,24 @@ def test_pair_moments_equal_numpy(spark):
         assert np.allclose([r["xx"], r["xy"], r["yy"]], [c[0, 0], c[0, 1], c[1, 1]], rtol=1e-7, atol=near if 1 in (i, j) else near / 1e4)
         assert abs(r["corr"] - np.corrcoef(x[both][:, [i, j]].T)[0, 1]) < (1e-7 if 1 in (i, j) else 1e-11)
     assert M.pair_moments(df.limit(0), cols).count() == 0
+
+
+def test_wide_columns_are_evaluated_in_small_methods(spark, monkeypatch):
+    """Rows over several slices of a batch, with nulls and a column of NaN alone; the session's setting comes back."""
+    key, used, write = "spark.sql.codegen.hugeMethodLimit", [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: used.append(spark.conf.get(key)) or write(df))
+    before = spark.conf.get(key)
+    n, cols = 2 * M.SLICE_ROWS + 7, [f"w{k}" for k in range(12)]
+    exprs = [f"CASE WHEN (id + {k}) % 7 <> 0 THEN id * {k} % 101 + 1e6 END AS w{k}" for k in range(11)]
+    df = spark.range(n).repartition(1).selectExpr(*exprs, "double('NaN') AS w11")
+    got = {(r["i"], r["j"]): (r["n"], r["corr"]) for r in M.pair_moments(df, cols).withColumn("corr", M.pair_correlation()).collect()}
+    assert used == ["8000"] and spark.conf.get(key) == before
+    x = df.toPandas().to_numpy(float)
+    for i in range(12):
+        for j in range(i + 1, 12):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            assert got[i, j][0] == both.sum()
+            if i == 0 or j == 11:  # constant or empty
+                assert got[i, j][1] is None
+            else:
+                assert abs(got[i, j][1] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9
