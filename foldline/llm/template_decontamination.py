@@ -6,7 +6,7 @@ items that are mostly slots, and copies of which a slot or a word was changed.
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import HashCache, slices, tidy
+from foldline.llm.common import slices, slices_by_bytes, tidy
+from foldline.llm.line_dedup import Powers, _mix
 from foldline.session import cut_lineage
 
 #: Tokens of a template window; a shorter item is one window.
@@ -26,50 +27,124 @@ PLAIN = "="
 #: Bits of the filter of benchmark windows: its size is fixed, a larger benchmark only lets more windows reach the join.
 FILTER_BITS = 25
 
+#: Bytes of texts that are looked at together.
+SLICE_BYTES = 1 << 18
+
 #: Fixed word lists of the slots.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 UNITS = frozenset("mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds lb lbs ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters mph kph watt watts volt volts joule joules".split())
 
-_TOKEN = re.compile(r"[.!?\n]|[^\W_]+(?:[.,][0-9]+)*")
-LITERAL, NUMBER, UNIT, NAME, MARK = range(5)
+LITERAL, NUMBER, UNIT, NAME = range(4)
 _SLOT = {k: np.uint64(0x5107000000000000 + k) for k in (NUMBER, UNIT, NAME)}
 _SPELLED = {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}
 
 
-def _coded(token: str) -> int:
-    """Hash of the lower-cased token with its kind in the low three bits; NAME: capitalised, a name unless it begins a sentence."""
-    low = token.lower()
-    if token in ".!?\n":
-        kind = MARK
-    elif token[0].isdigit() or low in NUMBER_WORDS:
-        kind = NUMBER
-    elif low in UNITS:
-        kind = UNIT
-    else:
-        kind = NAME if token[0].isupper() else LITERAL
-    return xxhash.xxh64_intdigest(low) & ~7 | kind
+#: What a character can be: part of a word, a digit (any script, as a token's first one), 0 to 9, upper case, a mark of sentences.
+_WORD, _DIGIT, _ASCII, _UPPER, _MARK = (1 << i for i in range(5))
+
+
+@lru_cache(1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """(what it is, number of its lower case) of every code point."""
+    every = range(0x110000)
+    is_a = np.zeros(len(every), np.uint8)
+    for bit, test in ((_WORD, str.isalnum), (_DIGIT, str.isdigit), (_UPPER, str.isupper)):
+        is_a[np.fromiter(map(test, map(chr, every)), bool, len(every))] |= bit
+    is_a[48:58] |= _ASCII
+    is_a[[ord(c) for c in ".!?\n"]] |= _MARK
+    lower = np.fromiter((ord(c.lower()[0]) for c in map(chr, every)), np.uint64, len(every))
+    return is_a, _letters(lower)
+
+
+def _letters(code_points: np.ndarray) -> np.ndarray:
+    return _mix(_mix((code_points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1)
+
+
+def _word_hash(low: str, powers: Powers) -> np.uint64:
+    """Hash of one lower-cased word, as :meth:`Templates.find` has it."""
+    up, _ = powers(len(low) + 1)
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _mix((_letters(points) * up[:-1]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(low)))[0]
 
 
 class Templates:
-    """Tokens, kinds and hashes of a text after its slots are found, and the hashes of the tokens themselves."""
+    r"""Tokens, kinds and hashes of texts after their slots are found, and the hashes of the tokens themselves.
 
-    def __init__(self):
-        self.codes = HashCache(_coded)
+    A token is ``[^\W_]+(?:[.,][0-9]+)*``. Texts are joined and looked at as arrays of code points, so that no
+    token becomes a string before a window of it is needed.
+    """
 
-    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        tokens = _TOKEN.findall(text or "")
-        code = np.fromiter(map(self.codes.__getitem__, tokens), np.uint64, len(tokens))
-        kind = (code & np.uint64(7)).astype(np.int8)
-        mark = kind == MARK
-        begins = np.ones(len(kind), bool)
-        begins[1:] = mark[:-1]
-        kind[(kind == NAME) & begins] = LITERAL
-        keep = ~mark
-        plain, kind = code[keep] & ~np.uint64(7), kind[keep]
+    #: Lower case of these depends on what is around them or has two letters.
+    ODD = "\u0130\u03a3"
+
+    def __init__(self):
+        self.powers, (self.is_a, self.letters) = Powers(), _characters()
+        self.words = {k: np.sort([_word_hash(w, self.powers) for w in words]) for k, words in ((UNIT, UNITS), (NUMBER, NUMBER_WORDS))}
+
+    def find(self, texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(data, first token of each text and their number, start, end, kind, code, plain): tokens are ``data[start:end]``."""
+        data = "\n".join([t or "" for t in texts]) + "\n"
+        points = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), np.uint32)
+        is_a = self.is_a[points]
+        word = np.zeros(len(is_a) + 1, bool)
+        word[1:] = is_a & _WORD > 0
+        edge = np.flatnonzero(word[1:] != word[:-1])  # the last character is a newline, so that every word ends
+        start, end = edge[::2], edge[1::2]
+        start, end, joints = self._with_decimals(points, is_a, start, end)
+        size = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
+        first = np.searchsorted(start, np.append(0, np.cumsum(size)))
+        # a sentence begins where a mark is between a token and the one before
+        marks = np.flatnonzero(is_a & _MARK)
+        marks = marks[~np.isin(marks, joints)] if len(joints) else marks
+        seen = np.searchsorted(marks, start)
+        begins = np.ones(len(start), bool)
+        begins[1:] = seen[1:] != seen[:-1]
+        up, down = self.powers(len(points) + 1)
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(self.letters[points] * up[:-1], out=total[1:])
+        plain = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        for i in self._odd(points, start, end) if any(c in data for c in self.ODD) else ():
+            plain[i] = _word_hash(data[start[i] : end[i]].lower(), self.powers)
+        head = is_a[start]
+        kind = np.where((head & _UPPER > 0) & ~begins, NAME, LITERAL).astype(np.int8)
+        for k, words in self.words.items():
+            kind[words[np.minimum(np.searchsorted(words, plain), len(words) - 1)] == plain] = k
+        kind[head & _DIGIT > 0] = NUMBER
         code = plain.copy()
         for k, h in _SLOT.items():
             code[kind == k] = h
-        return [t for t, m in zip(tokens, mark.tolist()) if not m], kind, code, plain
+        return data, first, start, end, kind, code, plain
+
+    def _with_decimals(self, points, is_a, start, end):
+        """(start, end, joints): runs of word characters to which points or commas join digits, and the places of these."""
+        after = start[1:] - 1
+        joined = (end[:-1] == after) & ((points[after] == 46) | (points[after] == 44)) & (is_a[start[1:]] & _ASCII > 0)
+        at = np.flatnonzero(joined) + 1
+        if not len(at):
+            return start, end, at
+        # the digits go to the token before; what follows them in the same run is a token of its own
+        stop = np.flatnonzero(is_a & _ASCII == 0)
+        digits = np.minimum(end[at], stop[np.searchsorted(stop, start[at])])
+        rest = np.flatnonzero(digits < end[at])
+        new, piece_end = np.append(True, ~joined), end.copy()
+        piece_end[at] = digits
+        begin = np.insert(start, at[rest] + 1, digits[rest])
+        piece_end = np.insert(piece_end, at[rest] + 1, end[at[rest]])
+        head = np.flatnonzero(np.insert(new, at[rest] + 1, True))
+        return begin[head], piece_end[np.append(head[1:], len(begin)) - 1], start[at] - 1
+
+    def _odd(self, points, start, end):
+        places = np.flatnonzero(np.isin(points, [ord(c) for c in self.ODD]))
+        of = np.searchsorted(start, places, side="right") - 1
+        return np.unique(of[(of >= 0) & (places < end[of])])
+
+    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        data, _, start, end, kind, code, plain = self.find([text])
+        return _cut(data, start, end), kind, code, plain
+
+
+def _cut(data: str, start: np.ndarray, end: np.ndarray) -> list[str]:
+    return [data[a:b] for a, b in zip(start.tolist(), end.tolist())]
 
 
 def _rolled(code: np.ndarray, width: int, start: int) -> np.ndarray:
@@ -221,19 +296,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
             place = h & mask
             return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
-        for rows in slices(batches):
-            out = []
-            for key, doc, text in zip(*(c.to_pylist() for c in rows.columns)):
-                tokens, kind, code, plain = find(text)
-                h = plain_hashes(plain, window)
-                at = np.flatnonzero(hits(h))
-                out += [(key, doc, int(x), PLAIN + _words(tokens[a : a + window]), [], a) for a, x in zip(at.tolist(), h[at].view(np.int64))]
-                for width in widths:
-                    at, h = window_hashes(code, kind, width)
-                    hit = hits(h)
-                    out += [(key, doc, int(x.view(np.int64)), *_spell(tokens, kind, int(a), width), int(a)) for a, x in zip(at[hit], h[hit])]
+        for rows in slices_by_bytes(batches, 2, SLICE_BYTES):
+            out, (keys, ids, texts) = [], (c.to_pylist() for c in rows.columns)
+            data, first, start, end, kind, code, plain = find.find(texts)
+            of = np.repeat(np.arange(len(texts)), np.diff(first))
+
+            def found(at, h, width):
+                """(row, place in it, place, hash) of the windows that pass the filter and lie in one text."""
+                hit = hits(h)
+                at, h = at[hit], h[hit]
+                whole = of[at] == of[at + width - 1]
+                at, h = at[whole], h[whole]
+                return zip(of[at].tolist(), (at - first[of[at]]).tolist(), at.tolist(), h.view(np.int64).tolist())
+
+            def tokens(at, width):
+                return _cut(data, start[at : at + width], end[at : at + width])
+
+            h = plain_hashes(plain, window)
+            out += [(keys[r], ids[r], x, PLAIN + _words(tokens(a, window)), [], p) for r, p, a, x in found(np.arange(len(h)), h, window)]
+            for width in widths:
+                for r, p, a, x in found(*window_hashes(code, kind, width), width):
+                    out.append((keys[r], ids[r], x, *_spell(tokens(a, width), kind[a : a + width], 0, width), p))
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, o)) for o in out], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema)
 
     d = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = d.mapInArrow(tidy(run), "key string, doc_id long, hash long, template string, filled array<string>, doc_pos long")

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -113,3 +114,18 @@ def test_copies_that_slots_hide(spark):
     assert set(got) == slow_leaks(rows, [(r.item_id, r.text) for r in bench.collect()]) == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (7, 1)}
     assert [got[1, 1], got[2, 1], got[3, 2], got[4, 3], got[5, 4]] == ["verbatim"] * 4 + ["excerpt"]
     assert {r.doc_id for r in T.without_leaks(docs, bench).collect()} == {6, 8, 9}
+
+
+def test_tokens_of_joined_texts():
+    """Scripts, digits of any kind, decimals, letters whose lower case has two letters or depends on its place."""
+    rng, find = random.Random(1), T.Templates()
+    slot = {T.NUMBER: "n", T.UNIT: "u", T.NAME: "c", T.LITERAL: None}
+    letters = "aBz9.,!?\n _²٣İΣσςé-ßDžǅ½Ⅷ三💥 km0 7 "
+    for _ in range(400):
+        texts = ["".join(rng.choices(letters, k=rng.randrange(25))) for _ in range(3)] + [None, "", "3.5abc.7x two Km Three. Inches a,5,6.7 abc.5x.7"]
+        data, first, start, end, kind, _, plain = find.find(texts)
+        for i, text in enumerate(texts):
+            own = slice(first[i], first[i + 1])
+            tokens = [data[a:b].lower() for a, b in zip(start[own], end[own])]
+            assert list(zip(tokens, map(slot.get, kind[own].tolist()))) == slow_tokens(text)
+            assert [T._word_hash(t, find.powers) for t in tokens] == plain[own].tolist()
