@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ MIN_BYTES = 110
 BATCH_CHUNKS, CHUNK_BYTES = 1_000_000, 25
 #: Bits of the filter for each repeated chunk: one in so many other chunks passes it by mistake.
 FILTER_ROOM = 32
+#: Bytes of texts that are looked at together: their arrays stay in a core's cache.
+SLICE_BYTES = 1 << 18
 #: Largest size of the filter of repeated chunks, as a logarithm of bits: 32 MB.
 MOST_FILTER_BITS = 28
 
@@ -129,7 +132,7 @@ def _packed_chunks(docs: DataFrame) -> DataFrame:
                 [pa.array([base + made]), pa.array([pack_keys(keys)], pa.binary()), pa.array([[pack_column(n.astype(np.int64))]], pa.list_(pa.binary()))], names=["batch", "keys", "columns"]
             )
 
-        for rows in slices_by_bytes(batches, 0):
+        for rows in slices_by_bytes(batches, 0, SLICE_BYTES):
             _, _, text, _, _, h = spans(rows.column(0).to_pylist(), powers)
             held.append(chunk_keys(text, h))
             size += len(h)
@@ -177,7 +180,7 @@ def repeated_filter(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def repeated_spans(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
-    """(key, spans): byte spans of each row's text that repeat a chunk of an earlier document, or an earlier place of its own.
+    """(key, spans): byte spans (start * 2^32 + end, in no order) of each row's text that repeat a chunk of an earlier document, or an earlier place of its own.
 
     key is a hash of doc_id and text. Chunks of two spans that pass the filter are counted by hash and bytes; the
     spans of long runs of chunks that repeat are then compared as bytes (if spans of one hash differ, none of them is cut). The
@@ -190,7 +193,7 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
 
     def run(batches):
         table, powers = bitmap.value, Powers()
-        for rows in slices_by_bytes(batches, 2):
+        for rows in slices_by_bytes(batches, 2, SLICE_BYTES):
             data, begin, text, s, e, h = spans(rows.column(2).to_pylist(), powers)
             if not len(h):
                 continue
@@ -218,13 +221,18 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     passed = cut_lineage(d.filter("text IS NOT NULL").mapInArrow(tidy(run), "key long, place long, start long, end long, hash long, chunk long, both binary, long boolean"))
     seen = cut_lineage(_confirmed(passed, least))
     pieces = passed.filter("long").select("hash", F.expr("substring(both, 1, cast(end - start AS INT))").alias("piece"))
-    mixed = pieces.groupBy("hash").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).filter("low <> high").select("hash")
-    here = F.struct("place", "start")
-    first = seen.groupBy("hash").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first <> last")
+    mixed = pieces.groupBy("hash", "piece").agg(F.lit(1)).groupBy("hash").count().filter("count > 1").select("hash")
+    # numbers alone in every aggregate: no rows are sorted for it
+    own = seen.groupBy("hash", "place").agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    first = own.groupBy("hash").agg(
+        F.struct(F.min("place").alias("place"), F.min_by("low", "place").alias("start")).alias("first"),
+        F.struct(F.max("place").alias("place"), F.max_by("high", "place").alias("start")).alias("last"),
+    ).filter("first <> last")
     first = cut_lineage(first.join(mixed, "hash", "left_anti").select("hash", "first"))
     discard(passed)
-    again = seen.join(first, "hash").filter(here > F.col("first"))
-    out = cut_lineage(again.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    again = seen.join(first, "hash").filter(F.struct("place", "start") > F.col("first"))
+    # a text's spans are in ``seen`` once, however often its row is repeated
+    out = cut_lineage(again.groupBy("key").agg(F.collect_list(F.shiftleft("start", 32) + F.col("end")).alias("spans")))
     discard(seen, first)
     return out
 
@@ -264,12 +272,21 @@ def _confirmed(passed: DataFrame, least: int) -> DataFrame:
     return texts.mapInArrow(tidy(run), "key long, place long, start long, end long, hash long")
 
 
-def cut_out(data: bytes, cuts: list, least: int = MIN_BYTES) -> tuple[bytes, int]:
-    """Text without the merged spans of at least ``least`` bytes and the white space after them; how many were cut."""
-    s, e = (np.array([r[k] for r in cuts], np.int64) for k in ("start", "end"))
-    keep = _long_runs(s, e, least)
+def _stretches(start: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the merged stretches of at least ``least`` bytes of sorted spans, as :func:`_long_runs` merges them."""
+    if not len(start):
+        return start, end
+    reach = np.maximum.accumulate(end)
+    head = np.flatnonzero(np.append(True, start[1:] > reach[:-1] + 1))
+    start, end = start[head], np.maximum.reduceat(reach, head)
+    keep = end - start >= least
+    return start[keep], end[keep]
+
+
+def _without(data: bytes, stretches: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """``data`` without these stretches and the white space after them; how many were cut."""
     out, at, n = b"", 0, 0
-    for a, b in zip(s[keep].tolist(), e[keep].tolist()):
+    for a, b in stretches:
         if a > at:
             out += data[at:a]
             n += 1
@@ -281,6 +298,12 @@ def cut_out(data: bytes, cuts: list, least: int = MIN_BYTES) -> tuple[bytes, int
     return out + data[at:], n
 
 
+def cut_out(data: bytes, cuts: list, least: int = MIN_BYTES) -> tuple[bytes, int]:
+    """Text without the merged spans of at least ``least`` bytes and the white space after them; how many were cut."""
+    s, e = _stretches(*(np.array([r[k] for r in cuts], np.int64) for k in ("start", "end")), least)
+    return _without(data, list(zip(s.tolist(), e.tolist())))
+
+
 def dedup_lines(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """``docs`` (all columns, doc_id and text among them) with repeated chunks cut out of text, and ``cut_runs``, their number.
 
@@ -295,13 +318,18 @@ def dedup_lines(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
 
     def run(batches):
         for rows in slices(batches):
-            texts, runs = rows.column(at).to_pylist(), []
-            for i, cuts in enumerate(rows.column(len(names)).to_pylist()):
-                n = 0
-                if cuts:
-                    data, n = cut_out(texts[i].encode(), cuts, least)
-                    texts[i] = data.decode()
-                runs.append(n)
+            texts, runs, own = rows.column(at).to_pylist(), [0] * rows.num_rows, rows.column(len(names))
+            of = np.repeat(np.arange(rows.num_rows), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
+            span = own.flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((span, of))
+            of, span = of[order] << 40, span[order]
+            s, e = _stretches(of + (span >> 32), of + (span & 0xFFFFFFFF), least)
+            of = s >> 40
+            s, e = (s - (of << 40)).tolist(), (e - (of << 40)).tolist()
+            head = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
+            for i, a, b in zip(of[head].tolist() if len(of) else (), head, [*head[1:], len(of)]):
+                data, runs[i] = _without(texts[i].encode(), list(zip(s[a:b], e[a:b])))
+                texts[i] = data.decode()
             columns = [pa.array(texts, pa.string()) if j == at else rows.column(j) for j in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(runs, pa.int64())], names=[*names, "cut_runs"])
 

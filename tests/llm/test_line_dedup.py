@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from foldline.llm import line_dedup
 from foldline.llm.line_dedup import MIN_BYTES, Powers, cut_out, dedup_lines, spans
 from foldline.llm.queries import op1_line_dedup
@@ -130,3 +132,14 @@ def test_edge_rows(spark):
     assert len(texts[3][0]) < 60 and None in texts[None] and len(texts[7][0]) < 120 and texts[9] == ["é" * 40_000]
     assert dedup_lines(docs_frame(spark, [])).count() == 0
     assert cut_out(b"abc def ghi jkl", [{"start": 4, "end": 11}], 3) == (b"abc jkl", 1)
+
+
+def test_stretches_are_the_long_runs():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        start = np.sort(rng.integers(0, 60, rng.integers(0, 12)))
+        end = start + rng.integers(1, 9, len(start))
+        kept = line_dedup._long_runs(start, end, 10)
+        got = list(zip(*(v.tolist() for v in line_dedup._stretches(start, end, 10))))
+        assert got == runs(list(zip(start[kept].tolist(), end[kept].tolist())), 10)
+        assert line_dedup._without(b"x" * 80, got) == (b"x" * (80 - sum(b - a for a, b in got)), len(got))
