@@ -14,6 +14,7 @@ from foldline.operators.ensemble import segment_stats
 from foldline.operators.metrics import BALANCED_COMPOSITE
 from foldline.operators.moments import scalar_stats
 from foldline.operators.ranks import rank_normalize
+from foldline.session import cut_lineage, discard
 
 
 def rank_columns(df: DataFrame, id: str, cols: Sequence[str]) -> DataFrame:
@@ -135,12 +136,16 @@ def anchor_blend_scan(
     """
     versions = list(dict.fromkeys([*anchor_weights, *[v for vs in groups.values() for v in vs]]))
     segments = ["full", "tail20", "tail10", "tail5"]
-    ranked_oof = rank_columns(oof, id, versions).join(oof.select(id, *[c for c in order if c != id], y), id)
+    used = [*dict.fromkeys([*versions, anchor, *([failed] if failed else [])])]
+    # out-of-fold rows that are the predictions, too, are ranked once; ranks are read several times
+    ranks = cut_lineage(rank_columns(preds, id, used))
+    own = ranks.select(id, *versions) if preds is oof else rank_columns(oof, id, versions)
+    ranked_oof = cut_lineage(own.join(oof.select(id, *[c for c in order if c != id], y), id))
     stats = segment_stats(ranked_oof, order, y, versions, segments)
+    discard(ranked_oof)
     unit = {v: np.eye(len(versions))[i] for i, v in enumerate(versions)}
     total = sum(anchor_weights.values())
     base = sum(unit[v] * (w / total) for v, w in anchor_weights.items())
-    ranks = rank_columns(preds, id, [*dict.fromkeys([*versions, anchor, *([failed] if failed else [])])])
     made, rows = {}, []
     for g, members in groups.items():
         mean = sum(unit[v] for v in members) / len(members)

@@ -115,3 +115,19 @@ def test_ridge_medians_in_nine_jobs(spark):
         want = df.filter(F.col("fold") != f).agg(*[F.percentile(c, F.lit(0.5)) for c in cols]).first()
         assert [q[f, c] for c in cols] == [stats.medians[f][c] for c in cols] == list(want)
     assert jobs <= 9 * 2 + 4  # adaptive execution runs a scan's shuffle and its result as jobs of their own
+
+
+def test_anchor_scan_ranks_shared_rows_once(spark, monkeypatch):
+    """Predictions that are the out-of-fold rows are ranked once, with the values of two separate frames."""
+    from foldline.operators import geometry as G
+
+    df = spark.createDataFrame([(i, float(i * 7 % 41), float(i * 5 % 37), float(i % 11), float(i)) for i in range(80)], "id long, a double, b double, c double, y double")
+    calls, rank = [], G.rank_columns
+    monkeypatch.setattr(G, "rank_columns", lambda df, id, cols: calls.append(cols) or rank(df, id, cols))
+
+    def scan(preds):
+        return G.anchor_blend_scan(df, preds, "id", ["id"], "y", {"a": 1.0}, {"b": ["b"]}, (0.1,), "a", "c").collect()[0].asDict()
+
+    shared = scan(df)
+    assert calls == [["a", "b", "c"]]
+    assert shared == pytest.approx(scan(df.select("*"))) and len(calls) == 3
