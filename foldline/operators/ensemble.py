@@ -593,9 +593,10 @@ def nested_stack(
 def nested_select(summary: DataFrame, fold: str, candidate: str, sse: str, rows: str) -> DataFrame:
     """Per fold the candidate with the lowest pooled RMSE on the other folds, and its held-out RMSE.
 
-    The row with a null fold is the final choice over all folds. Ties take the smaller name.
+    The row with a null fold is the final choice over all folds. Ties take the smaller name. Failed rows, which have no squared
+    error, take no part.
     """
-    per = summary.groupBy(fold, candidate).agg(F.sum(sse).alias("s"), F.sum(rows).alias("n"))
+    per = summary.filter(F.col(sse).isNotNull()).groupBy(fold, candidate).agg(F.sum(sse).alias("s"), F.sum(rows).alias("n"))
     total = per.groupBy(candidate).agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     held = per.join(total, candidate).select(
         fold, candidate,
