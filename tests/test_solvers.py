@@ -10,6 +10,7 @@ from pyspark.ml.regression import LinearRegression
 from foldline.operators import ensemble as E
 from foldline.operators import folds as FO
 from foldline.operators import models as M
+from foldline.plans import q_models
 
 
 def _stats(streams, y):
@@ -179,3 +180,16 @@ def test_time_slices_make_their_rows_a_few_times(spark):
     res = M.time_slice_ensemble(df.drop("fold"), "y", ["a", "b"], ["id"], make, k=2)
     placed = made.value
     assert res.oof.count() == n and made.value == placed <= 8 * n
+
+
+def test_default_trees_go_on_while_the_held_out_fold_gains(spark):
+    """All default rounds and the default depth; a fit does not end with its first tree."""
+    est = q_models._default_gbt()
+    assert all(est.getOrDefault(k) == v for k, v in M.GBT_DEFAULTS.items())
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2))
+    rows = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": 3 * x[:, 0] + np.sin(2 * x[:, 1]), "f": np.arange(400) % 4})
+    df = M.assemble(spark.createDataFrame(rows), ["a", "b"]).selectExpr("__features", "y AS __label", "f = 0 AS __valid").coalesce(1).cache()
+    trees = {name: make().fit(df).getNumTrees for name, make in (("spark's tolerance", M.gbt), ("query", q_models._default_gbt))}
+    assert trees["query"] > max(10, trees["spark's tolerance"])
+    df.unpersist()
