@@ -147,3 +147,49 @@ def test_particles_side_by_side_equal_each_alone():
         for f, mv, (preds, lls) in zip(alone, parts, K.particle_lanes(beside, parts)):
             want = [(f.advance(*row), f.log_likelihood) for row in zip(*mv)]
             assert preds.tolist() == [w[0] for w in want] and lls.tolist() == [w[1] for w in want]
+
+
+@pytest.mark.parametrize("blocks,rate", [(1, 0.0), (2, 0.05), (12, 0.02)])
+def test_lattice_of_shares_equals_lattice_of_logs(blocks, rate):
+    """Both passes on shares give the moments and likelihoods of the passes on logs, and stop at a crowded edge."""
+    rng = np.random.default_rng(blocks)
+    x = np.arange(60.0, 180.0, 4.0)
+    v = 40 + 10 * np.sin(x / 9)
+    offsets, rates = K.lattice_grids(rate, 64.0)
+    md = np.arange(21 * blocks) + 0.25 * rng.integers(0, 3, 21 * blocks)
+    gr, z = 45 + 12 * rng.normal(size=21 * blocks), -0.25 * np.arange(21 * blocks)
+    parts = [slice(21 * b, 21 * b + 21) for b in range(blocks)]
+    ems = [K.block_emission(md[p], z[p], gr[p], md[p][10], 100.0 + z[p][10], offsets, rates, x, v, 1.1, 2.0, 20.0).astype(np.float32) for p in parts]
+    gaps, shifts = np.maximum(np.diff(md[10::21], prepend=-1.0), 1.0), np.diff(100.0 + z[10::21], prepend=100.25)
+    for c in K.LATTICE_CONFIGS:
+        alpha, ll, alphas, totals, want = K.lattice_start(offsets, rates, rate, c), 0.0, [], [], []
+        for gap, shift, e in zip(gaps, shifts, ems):
+            alpha, norm = K.lattice_forward(alpha, e.astype(float), offsets, rates, gap, shift, c)
+            ll += norm
+            alphas.append(alpha)
+            totals.append(ll)
+        beta = np.zeros(alpha.shape)
+        for i in reversed(range(blocks)):
+            if i < blocks - 1:
+                beta = K.lattice_backward(beta, ems[i + 1].astype(float), offsets, rates, gaps[i + 1], shifts[i + 1], c)
+            want.append(K.lattice_summary(alphas[i], beta, offsets, rates))
+        got, lls = K.lattice_smooth(ems, gaps, shifts, offsets, rates, rate, c)
+        np.testing.assert_allclose(got, want[::-1], atol=1e-8)
+        np.testing.assert_allclose(lls, totals, rtol=1e-10)
+        assert K.lattice_smooth(ems, gaps, shifts, offsets, rates, rate, c, enough=-1.0) == []
+    # all mass leaves the grid but for tails that shares cannot hold
+    assert K.lattice_smooth(ems, gaps, shifts + 4000.0, offsets, rates, rate, c) is None
+
+
+def test_emission_inside_and_outside_the_curve():
+    """Cells outside the curve lose a constant, the others the log of one and a square."""
+    offsets, rates = K.lattice_grids(0.0, 64.0)
+    x, v = np.array([95.0, 100.0, 112.0]), np.array([30.0, 50.0, 45.0])
+    md, z, gr = np.array([0.0, 1.0, 2.0]), np.array([0.0, -0.5, -1.0]), np.array([44.0, np.nan, 200.0])
+    got = K.block_emission(md, z, gr, 1.0, 101.0, offsets, rates, x, v, 0.9, 1.0, 12.0)
+    want = np.zeros((len(offsets), len(rates)))
+    for i in (0, 2):
+        at = 101.0 + offsets[:, None] + rates[None, :] * (md[i] - 1.0) - z[i]
+        off = (np.interp(at, x, 0.9 * v + 1.0) - gr[i]) / 12.0
+        want -= np.where((at < 95) | (at > 112), K.OUT_OF_SUPPORT, 2.5 * np.log1p(off * off / 4.0)) / K.TEMPER
+    np.testing.assert_allclose(got, want, atol=1e-12)
